@@ -1,0 +1,2 @@
+from worldstate.plans import scalars  # noqa: F401
+from worldstate.plans.registry import ORACLES, QUERIES  # noqa: F401
