@@ -36,17 +36,18 @@ def parse_change_feed(
     """
     lists = ", ".join(f"{op}: array<struct<{entity_schema}>>" for op in OPS)
     envelope = F.from_json(payload, f"struct<{lists}, server_id: double>")
-    tagged = [
-        F.transform(
-            F.coalesce(F.col(f"_e.{op}"), F.array().cast(f"array<struct<{entity_schema}>>")),
-            lambda e, i, op=op: F.struct(F.lit(op).alias("op"), i.alias("pos"), e.alias("entity")),
+    none = F.array().cast(f"array<struct<{entity_schema}>>")
+
+    def tagged(op: str) -> Column:
+        return F.transform(
+            F.coalesce(F.col(f"_e.{op}"), none),
+            lambda e, i: F.struct(F.lit(op).alias("op"), i.alias("pos"), e.alias("entity")),
         )
-        for op in OPS
-    ]
+
     kept = [c for c in df.columns if c != payload]
     return (
         df.withColumn("_e", envelope)
-        .select(*kept, F.col("_e.server_id").cast(server_type).alias("server_id"), F.inline(F.concat(*tagged)))
+        .select(*kept, F.col("_e.server_id").cast(server_type).alias("server_id"), F.inline(F.concat(*[tagged(op) for op in OPS])))
         .select(*kept, "server_id", "op", "pos", "entity.*")
     )
 
@@ -126,9 +127,9 @@ def tick_sample(
     rate: int = TICK_RATE,
 ) -> DataFrame:
     """At most one row per key and period, the latest; ``bucket`` numbers the periods."""
-    micros = order_value(df, order[0]).cast("bigint")
-    bucket = F.floor(micros * rate / F.lit(period_ticks * 1_000_000)).cast("bigint")
-    return last_row(df.withColumn("bucket", bucket), [*keys, "bucket"], order)
+    ticks = order_value(df, order[0]).cast("bigint") * rate
+    timed = df.withColumn("_t", ticks).withColumn("bucket", F.expr(f"_t div {period_ticks * 1_000_000}L")).drop("_t")
+    return last_row(timed, [*keys, "bucket"], order)
 
 
 def latest_state(df: DataFrame, keys: Sequence[str], order: Sequence[str], op: str = "op") -> DataFrame:

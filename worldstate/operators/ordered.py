@@ -189,10 +189,3 @@ def last_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     rest = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
     return picked.select(*keys, "_r.*").select(*df.columns)
-
-
-def bounded(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; looks at no more than one row beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-

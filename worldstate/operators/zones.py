@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from worldstate.operators.boxes import point_box_pairs
-from worldstate.operators.ordered import ROWS_PER_TASK, Ordered, bounded
+from worldstate.operators.ordered import ROWS_PER_TASK, Ordered
 
 # fixed values: zone used when a server has none, player limit before a split, missing player name
 DEFAULT_BOUND = 100000.0
 MAX_PLAYERS = 2
 NO_NAME = "Pigeon with no name"
 
-SCAN_ZONES = 64  # zone lists up to this size are scanned per row, without any shuffle
+SCAN_ZONES = 64  # zone lists up to this size are written into the plan
 BOUNDS = [f"{axis}_{end}" for axis in "xyz" for end in ("start", "end")]
 
 
@@ -27,6 +27,17 @@ def _holds(zone, x: Column, y: Column, z: Column) -> Column:
     return out
 
 
+def _first_of(listed: Sequence[Row], at: Sequence[Column], own: str | None) -> Column:
+    """One CASE over a short zone list: compiled code per row, nothing to join."""
+    choice = F.when(F.lit(False), F.struct(F.lit(0).alias("id"), F.lit("").alias("name")))
+    for zone in listed:
+        inside = _holds(lambda f: F.lit(zone[f]), *at)
+        if own is not None:
+            inside = inside & ~F.col(own).eqNullSafe(F.lit(zone["id"]))
+        choice = choice.when(inside, F.struct(F.lit(zone["id"]).alias("id"), F.lit(zone["name"]).alias("name")))
+    return choice
+
+
 def zone_assign(
     points: DataFrame,
     zones: DataFrame,
@@ -37,19 +48,17 @@ def zone_assign(
     """Adds ``target_id, target_name``: first zone in ``seq`` order that holds (x, y, z).
 
     The point's ``own`` server is skipped; null when no zone holds it. ``key`` must be unique.
-    A short zone list travels with the plan and is searched per row; a long one is joined by
-    grid cell, keeping the smallest ``seq`` per point.
+    A zone list of at most ``scan_zones`` rows (checked: one row more is looked at) becomes a CASE
+    expression, without any shuffle; a longer one is joined by grid cell, keeping the smallest
+    ``seq`` per point.
     """
     x, y, z = (F.col(c).cast("double") for c in "xyz")
     zones = zones.select("seq", "id", "name", *[F.col(b).cast("double").alias(b) for b in BOUNDS])
-    if bounded(zones, scan_zones):
-        listed = zones.agg(F.array_sort(F.collect_list(F.struct("*"))).alias("v")).scalar()
-
-        def fits(zone: Column) -> Column:
-            inside = _holds(lambda f: zone[f], x, y, z)
-            return inside if own is None else inside & ~zone["id"].eqNullSafe(F.col(own))
-
-        found = points.withColumn("_hit", F.get(F.filter(listed, fits), F.lit(0)))
+    listed = zones.limit(scan_zones + 1).collect()
+    if len(listed) <= scan_zones:
+        hit = _first_of(sorted(listed, key=lambda r: r["seq"]), (x, y, z), own)
+        types = dict(zones.dtypes)
+        found = points.withColumn("_hit", hit.cast(f"struct<id: {types['id']}, name: {types['name']}>"))
         return found.select(*points.columns, F.col("_hit.id").alias("target_id"), F.col("_hit.name").alias("target_name"))
 
     named = zones.select(*[F.col(c).alias(f"_z_{c}") for c in zones.columns])

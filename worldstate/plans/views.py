@@ -93,6 +93,10 @@ VIEWS: dict[str, str] = {
     "homed": """
         select l.entity_id, z.id as server_id, l.x, l.y, l.z
         from latest l join zones z on l.x >= z.x_start and l.x < z.x_end and l.z >= z.z_start and l.z < z.z_end""",
+    # the same, but players just signed up are still with the server they signed up on
+    "settling": """
+        select l.entity_id, case when l.op = 'add' then l.server_id else z.id end as server_id, l.x, l.y, l.z
+        from latest l join zones z on l.x >= z.x_start and l.x < z.x_end and l.z >= z.z_start and l.z < z.z_end""",
     # zones with split and merge orders
     "ordered_zones": """
         select z.*, case when n.n_regionkey = 1 then z.id + 1 end as to_split_server_id,
@@ -134,7 +138,7 @@ VIEWS: dict[str, str] = {
         from {orders}""",
     # server telemetry samples
     "samples": """
-        select ts, event_id as seq, cast(user_id % 25 as int) as server_id, cast(value*100 as bigint) as memory,
+        select ts, event_id as seq, cast(user_id % 25 as int) as server_id, cast(floor(value*100) as bigint) as memory,
           cast(event_id % 977 as bigint) as numberobjects, cast(20 + event_id % 11 as bigint) as timefps,
           cast(user_id % 40 as bigint) as currentplayers
         from {events}""",
