@@ -40,7 +40,7 @@ def next_flush(micros: np.ndarray, urgent: np.ndarray, start: int, held: int, la
 
 def flush_step(size: int, wait_us: float):
     def run(state, rows):
-        micros = rows["_us"].to_numpy(dtype="float64")
+        micros = rows["micros"].to_numpy(dtype="float64")
         urgent = rows["priority"].to_numpy() == 0
         held, last = state if state is not None else (0, float(micros[0]))
         ends = np.zeros(len(micros), dtype=bool)
@@ -69,10 +69,10 @@ def batch_assign(
     A batch ends with the operation that makes it full, comes more than five seconds after the
     last flush, or has priority 0; what is left at the end is the last batch.
     """
-    timed = ops.withColumn("_us", order_value(ops, order[0]))
-    needed = timed.select(*keys, *order, "priority", "_us")
+    timed = ops.withColumn("micros", order_value(ops, order[0]))
+    needed = timed.select(*keys, *order, "priority", "micros")
     step = flush_step(config.start_size, config.flush_seconds * 1e6)
-    marked = chained_fold(needed, keys, order, step, "ends_batch boolean", rows_per_task).drop("_us")
+    marked = chained_fold(needed, keys, order, step, "ends_batch boolean", rows_per_task).drop("micros")
     ended = F.col("ends_batch").cast("bigint")
     counted = Ordered(marked, keys, order, rows_per_task).running_sum("_done", ended).result()
     numbered = counted.select(*keys, *order, (F.col("_done") - ended + 1).alias("batch_no"))

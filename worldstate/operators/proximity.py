@@ -14,6 +14,8 @@ from worldstate.session import cut_lineage
 # fixed values: shapes nearer than the first distance are disabled, those beyond the second removed
 DISABLE_WITHIN, REMOVE_BEYOND = 400.0, 1000.0
 
+FEW_POINTS = 4096  # point sets up to this size are broadcast (27 rows each)
+
 def _centre() -> tuple[Column, Column, Column]:
     return F.col("cx"), F.col("cy"), F.col("cz")
 
@@ -83,31 +85,48 @@ def _verdict(distance: float) -> tuple[Column, Column]:
     return certain, nearest <= limit * (1 + 1e-9)
 
 
+def _around(df: DataFrame, cells: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Each row once per neighbouring cell (27), under new column names."""
+    for c, n in zip(cells, names):
+        df = df.withColumn(n, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    return df
+
+
 def near_any(
-    shapes: DataFrame, points: DataFrame, distance: float, key: Sequence[str], inclusive: bool = False
+    shapes: DataFrame,
+    points: DataFrame,
+    distance: float,
+    key: Sequence[str],
+    inclusive: bool = False,
+    few_points: int = FEW_POINTS,
 ) -> DataFrame:
     """Semi join: shapes with any point at squared distance < distance² (<= when ``inclusive``).
 
-    Points are first reduced to one summary per grid cell; most shapes are settled by comparing
-    them with those summaries. Only shapes still in doubt look at finer cells, and only the
-    doubtful fine cells at single points. Crowded places therefore never pair all with all.
-    ``key`` must be unique among the shapes.
+    At most ``few_points`` distinct points (checked: one more is looked at) are broadcast under
+    their 27 neighbouring cells; shapes then need no shuffle at all. More points are reduced to one
+    summary per grid cell, and most shapes are settled by comparing them with those summaries.
+    Only shapes still in doubt look at finer cells, and only the doubtful fine cells at single
+    points, so crowded places never pair all with all. ``key`` must be unique among the shapes.
     """
-    spots = points.select(*[F.col(a).alias(f"p{a}") for a in "xyz"]).distinct()
     edge = distance * (1 + 1e-6)  # a little more than the distance, so that neighbours cover it
+    spots = points.select(*[F.col(a).alias(f"p{a}") for a in "xyz"]).distinct()
     coarse = {f"g{a}": F.floor(F.col(f"p{a}") / edge) for a in "xyz"}
     fine = {f"f{a}": F.floor(F.col(f"p{a}") / (edge / 8)) for a in "xyz"}
     spots = spots.withColumns({**coarse, **fine})
-    g, f = list(coarse), list(fine)
-    certain, possible = _verdict(distance)
+    g, f, own = list(coarse), list(fine), ["_gx", "_gy", "_gz"]
+    placed = shapes.withColumns({n: F.floor(F.col(a) / edge) for n, a in zip(own, "xyz")})
+    gap = vec_distance_sq(vec(), (F.col("px"), F.col("py"), F.col("pz")))
+    hit = gap <= distance * distance if inclusive else gap < distance * distance
 
-    probes = shapes.select(*key, "x", "y", "z")
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    for a in "xyz":
-        probes = probes.withColumn(f"_o{a}", F.explode(around))
-        probes = probes.withColumn(f"g{a}", F.floor(F.col(a) / edge) + F.col(f"_o{a}")).drop(f"_o{a}")
-    first = probes.join(_summaries(spots, g), g).filter(possible)
-    doubtful = F.collect_list(F.when(~certain, F.struct(*g)))
+    if spots.limit(few_points + 1).count() <= few_points:
+        spread = _around(spots.select("px", "py", "pz", *g), g, ["_nx", "_ny", "_nz"])
+        same = [F.col(o) == F.col(n) for o, n in zip(own, ("_nx", "_ny", "_nz"))]
+        return placed.join(F.broadcast(spread), same[0] & same[1] & same[2] & hit, "left_semi").drop(*own)
+
+    certain, possible = _verdict(distance)
+    summaries = _around(_summaries(spots, g), g, own)
+    first = placed.select(*key, "x", "y", "z", *own).join(summaries, own).filter(possible)
+    doubtful = F.collect_list(F.when(~certain, F.struct(*g)))  # at most 27
     first = first.groupBy(*key, "x", "y", "z").agg(F.max(certain).alias("_near"), doubtful.alias("_cells"))
     first = cut_lineage(first, "near")
     near = first.filter("_near").select(*key)
@@ -118,10 +137,8 @@ def near_any(
         second = opened.join(_summaries(spots, [*g, *f]), g).filter(possible)
         second = cut_lineage(second.select(*key, "x", "y", "z", *f, certain.alias("_near")), "near")
         sure = second.filter("_near").select(*key).distinct()
-        gap = vec_distance_sq(vec(), (F.col("px"), F.col("py"), F.col("pz")))
-        exact = gap <= distance * distance if inclusive else gap < distance * distance
         rest = second.filter(~F.col("_near")).join(sure, list(key), "left_anti")
-        rest = rest.join(spots.select("px", "py", "pz", *f), f).filter(exact).select(*key)
+        rest = rest.join(spots.select("px", "py", "pz", *f), f).filter(hit).select(*key)
         near = near.unionByName(sure).unionByName(rest.distinct())
     return shapes.join(near, list(key), "left_semi")
 

@@ -36,6 +36,7 @@ def quadtree_tiles(
     """
     roots = [(face, "Chunk_0", 0.0, 0.0) for face in range(len(FACES))]
     parents = spark.createDataFrame(roots, "face int, path string, cu double, cv double")
+    focus = cut_lineage(focus.select("x", "y", "z").distinct(), "focus")
     found = None
     for depth in range(max_depth + 1):
         size = 2.0 / 2**depth
@@ -46,7 +47,6 @@ def quadtree_tiles(
             (F.col("cu") + (F.col("_i") % 2 * 2 - 1) * (size / 4)).alias("cu"),
             (F.col("cv") + (F.floor(F.col("_i") / 2) * 2 - 1) * (size / 4)).alias("cv"),
         )
-        children = cut_lineage(children, "tiles")
         if depth < max_depth:
             surface = cube_to_sphere(F.col("face"), F.col("cu"), F.col("cv"), radius + base_height)
             placed = children.withColumns(dict(zip("xyz", surface)))

@@ -67,7 +67,7 @@ def latest_state(v):
     return feeds.latest_state(v.moves, KEY, ORDER).select("entity_id", "server_id", "op", "x", "y", "z")
 
 
-def _snapshot(v):
+def customer_snapshot(v):
     """One row per customer, older than every change."""
     start = F.lit("2000-01-01").cast("timestamp_ntz")
     return v.customer.select(
@@ -84,7 +84,7 @@ def _snapshot(v):
 )
 def snapshot_then_changes(v):
     changes = v.moves.select("entity_id", "seq", "ts", "server_id", "op")
-    return feeds.snapshot_then_changes(_snapshot(v), changes, KEY, ORDER).select("entity_id", "server_id")
+    return feeds.snapshot_then_changes(customer_snapshot(v), changes, KEY, ORDER).select("entity_id", "server_id")
 
 
 def partial_changes(v):
@@ -94,13 +94,14 @@ def partial_changes(v):
     )
 
 
-@query(
-    """select entity_id, arg_max(prop_type, row(ts, seq)) filter (op = 'add') as prop_type, arg_max(x, row(ts, seq)) as x,
+ZONE_STATE_SQL = """select entity_id, arg_max(prop_type, row(ts, seq)) filter (op = 'add') as prop_type, arg_max(x, row(ts, seq)) as x,
       arg_max(z, row(ts, seq)) as z
     from (select m.*, coalesce(row(ts, seq) > g, true) as alive from moves m left join
       (select entity_id, max(row(ts, seq)) as g from moves where op = 'delete' group by entity_id) d using (entity_id)) q
     where alive and op <> 'delete' group by entity_id"""
-)
+
+
+@query(ZONE_STATE_SQL)
 def zone_state_merge(v):
     """Batch twin of the zone state stream: fields missing from an update keep their value."""
     return feeds.merge_partial_updates(partial_changes(v), KEY, ORDER, ["prop_type", "x", "z"])
@@ -145,7 +146,7 @@ def current_parent(v):
     return membership.current_parent(v.membership).select("seq", "parent_area")
 
 
-_FLUSH = """with recursive numbered as (
+FLUSH_SQL = """with recursive numbered as (
       select *, row_number() over (partition by server_id order by ts, seq) as rn from ops),
     run as (
       select server_id, rn, seq, 1 as batch_no, 1 as held, ts as last_flush, priority = 0 as flush, ts from numbered where rn = 1
@@ -159,13 +160,13 @@ _FLUSH = """with recursive numbered as (
       from run r join numbered n on n.server_id = r.server_id and n.rn = r.rn + 1)"""
 
 
-@query(f"{_FLUSH} select seq, server_id, cast(batch_no as bigint) as batch_no from run")
+@query(f"{FLUSH_SQL} select seq, server_id, cast(batch_no as bigint) as batch_no from run")
 def batch_assign(v):
     return batching.batch_assign(v.ops).select("seq", "server_id", "batch_no")
 
 
 @query(
-    f"""{_FLUSH} select r.seq, r.server_id, cast(batch_no as bigint) as batch_no,
+    f"""{FLUSH_SQL} select r.seq, r.server_id, cast(batch_no as bigint) as batch_no,
       cast(row_number() over (partition by r.server_id, batch_no order by o.kind = 'Deletion', o.priority, r.seq) as int) as position
     from run r join ops o using (seq)"""
 )
@@ -174,8 +175,7 @@ def batch_order(v):
     return ordered.select("seq", "server_id", "batch_no", "position")
 
 
-@query(
-    """with recursive numbered as (
+CAMERA_SQL = """with recursive numbered as (
       select *, row_number() over (partition by camera_id order by ts, seq) as rn from camera),
     run as (
       select camera_id, 0 as rn, cast(null as bigint) as seq, false as updated, 0e0 as hx, 0e0 as hy, 0e0 as hz
@@ -186,14 +186,16 @@ def batch_order(v):
       from (select n.*, hx, hy, hz, sqrt((x-hx)*(x-hx) + (y-hy)*(y-hy) + (z-hz)*(z-hz)) as d
         from run r join numbered n on n.camera_id = r.camera_id and n.rn = r.rn + 1) n)
     select camera_id, seq from run where updated"""
-)
+
+
+@query(CAMERA_SQL)
 def camera_updates(v):
     return chunks.camera_updates(v.camera, ["camera_id"], ORDER).select("camera_id", "seq")
 
 
 @query(
-    """select seq, entity_id, coalesce(value - last_value(at ignore nulls) over (partition by entity_id order by ts, seq rows unbounded preceding), -1) as since
-    from (select *, case when op = 'add' then value end as at from moves) q"""
+    """select seq, entity_id, coalesce(value - last_value(mark ignore nulls) over (partition by entity_id order by ts, seq rows unbounded preceding), -1) as since
+    from (select *, case when op = 'add' then value end as mark from moves) q"""
 )
 def counter_since(v):
     rows = v.moves.withColumn("is_marker", F.col("op") == "add")
@@ -206,11 +208,12 @@ def overload_events(v):
     return v.moves.select("server_id", "ts", "seq", kind.alias("kind"), (F.col("seq") % 7).cast("int").alias("players"))
 
 
-@query(
-    """select server_id, min_by(seq, row(ts, seq)) as seq from (
+ALERT_SQL = """select server_id, min_by(seq, row(ts, seq)) as seq from (
       select *, sum(cast(op = 'delete' as int)) over (partition by server_id order by ts, seq) as round from moves) q
     where op <> 'delete' and seq % 7 > 2 group by server_id, round"""
-)
+
+
+@query(ALERT_SQL)
 def overload_alerts(v):
     return alerts.overload_alerts(overload_events(v)).select("server_id", "seq")
 
@@ -222,11 +225,10 @@ def transfer_events(v):
         .when(F.col("prop_type") == "ship", "remote_update")
         .otherwise("local_update")
     )
-    return v.moves.select("entity_id", "ts", "seq", order_value(v.moves, "ts").alias("_us"), event.alias("event"))
+    return v.moves.select("entity_id", "ts", "seq", order_value(v.moves, "ts").alias("micros"), event.alias("event"))
 
 
-@query(
-    """select seq, coalesce(mark = 'plan', false) as in_transfer,
+TRANSFER_SQL = """select seq, coalesce(mark = 'plan', false) as in_transfer,
       case event when 'plan' then case when coalesce(before = 'plan', false) then 'none' else 'open' end
         when 'remote_update' then case when coalesce(before = 'plan', false) then 'close' else 'none' end
         when 'disconnect' then case when coalesce(before = 'plan', false) then 'none' else 'delete' end else 'none' end as action
@@ -236,17 +238,20 @@ def transfer_events(v):
         select *, case when op = 'add' then 'plan' when op = 'delete' then 'disconnect' when prop_type = 'ship' then 'remote_update'
           else 'local_update' end as event from moves) a) b
       window w as (partition by entity_id order by ts, seq)) q"""
-)
+
+
+@query(TRANSFER_SQL)
 def transfer_tracker(v):
     return alerts.transfer_tracker(transfer_events(v)).select("seq", "in_transfer", "action")
 
 
-@query(
-    """select entity_id, min(ts) as started_at, max(until) as ended_at, count(*) as events from (
+SESSION_SQL = """select entity_id, min(ts) as started_at, max(until) as ended_at, count(*) as events from (
       select *, sum(cast(reach is null or ts > reach as int)) over (partition by entity_id order by ts, seq) as s from (
         select *, max(until) over (partition by entity_id order by ts, seq rows between unbounded preceding and 1 preceding) as reach from (
           select *, ts + case when op = 'delete' then interval '1 second' else interval '6 hours' end as until from moves) a) b) c
     group by entity_id, s"""
-)
+
+
+@query(SESSION_SQL)
 def player_sessions(v):
     return sessions.player_sessions(v.moves, "6 hours")

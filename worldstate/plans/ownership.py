@@ -276,7 +276,8 @@ _HIT = "(s.x-p.x)*(s.x-p.x) + (s.y-p.y)*(s.y-p.y) + (s.z-p.z)*(s.z-p.z) < {d}"
 
 @query(f"select uid from shapes s where exists (select 1 from moves p where {_HIT.format(d='1000000')})")
 def near_any(v):
-    return proximity.near_any(v.shapes, v.moves, 1000.0, ["uid"]).select("uid")
+    """With few_points=0: the summary route taken for large point sets."""
+    return proximity.near_any(v.shapes, v.moves, 1000.0, ["uid"], few_points=0).select("uid")
 
 
 @query(

@@ -43,7 +43,7 @@ def overload_alerts(
 
 def _transfer_step(timeout_s: float):
     def run(opened, rows):
-        now = rows["_us"].to_numpy(dtype="float64")
+        now = rows["micros"].to_numpy(dtype="float64")
         inside = np.zeros(len(rows), dtype=bool)
         actions = []
         for i, event in enumerate(rows["event"].tolist()):
@@ -76,7 +76,7 @@ def transfer_tracker(
 
     Events: plan opens; remote_update and arrive close; a disconnect deletes the player unless in
     transfer. A transfer older than ``timeout_s`` at the player's next event expires first.
-    ``events``: entity_id, order columns, ``_us`` (event time in microseconds), event. Works on a
+    ``events``: entity_id, order columns, ``micros`` (event time in microseconds), event. Works on a
     stream or a table.
     """
     step, output = _transfer_step(timeout_s), "action string, in_transfer boolean"

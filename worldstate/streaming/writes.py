@@ -75,7 +75,7 @@ def write_batches(ops: DataFrame, writer: BatchWriter, checkpoint: str) -> Strea
 def assign_stream(ops: DataFrame, config: BatchConfig = BatchConfig()) -> DataFrame:
     """Stream twin of ``batch_assign``: marks the operations that end a batch.
 
-    ``ops`` carries ``_us``, the arrival time in microseconds.
+    ``ops`` carries ``micros``, the arrival time in microseconds.
     """
     step = flush_step(config.start_size, config.flush_seconds * 1e6)
     return stream_fold(ops, ["server_id"], ["ts", "seq"], step, "ends_batch boolean")
