@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from worldstate.operators.ordered import number_in_order
 from worldstate.session import cut_lineage
 
 
@@ -38,6 +39,11 @@ def preorder(nodes: DataFrame) -> DataFrame:
     return hierarchy_paths(nodes).orderBy("path")
 
 
+def preorder_places(nodes: DataFrame) -> DataFrame:
+    """Adds ``path``, ``depth`` and ``place``, the position in depth-first order from 1."""
+    return number_in_order(hierarchy_paths(nodes), ["path"])
+
+
 def subtree(nodes: DataFrame, uid: str) -> DataFrame:
     """All descendants of ``uid``, with depth below it.
 

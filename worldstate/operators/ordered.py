@@ -28,8 +28,13 @@ PARTS = "_segments"
 
 
 def order_value(df: DataFrame, name: str) -> Column:
-    """The order column as a DOUBLE that never decreases when the column grows."""
+    """The order column as a DOUBLE that never decreases when the column grows.
+
+    Texts are read as numbers by their first six bytes.
+    """
     kind = df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.substring(F.hex(F.col(name)), 1, 12), 12, "0"), 16, 10).cast("double")
     if isinstance(kind, T.TimestampNTZType):
         micros = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{name}`)")
         return micros.cast("double")
@@ -184,8 +189,26 @@ class Ordered:
         return self.df.select(*self._columns)
 
 
+def number_in_order(df: DataFrame, order: Sequence[str], name: str = "place") -> DataFrame:
+    """Rows numbered from 1 in a total order of the whole table.
+
+    A range sort spreads the rows; each sorted task numbers its own, and the rows before a task
+    are a prefix sum over tasks. The sorted rows are written once, so numbers cannot shift.
+    """
+    placed = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = cut_lineage(placed, "sorted").withColumn("_task", F.shiftright("_id", 33))
+    sizes = placed.groupBy("_task").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_task", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    numbered = placed.join(starts, "_task")
+    return numbered.select(*df.columns, (F.col("_id") + F.col("_shift")).alias(name))
+
+
 def last_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of every key; combined map-side, so a hot key costs one row per task."""
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-    return picked.select(*keys, "_r.*").select(*df.columns)
+    """The last row of every key.
+
+    Spark keeps one row per key and task before the shuffle (a rank limit of 1), so a hot key
+    costs one row per task; unused columns are pruned at the scan.
+    """
+    newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    return df.withColumn("_newest", F.row_number().over(newest)).filter(F.col("_newest") == 1).drop("_newest")

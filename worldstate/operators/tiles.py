@@ -114,13 +114,19 @@ def tile_vertices(
     )
 
 
-def tile_triangles(spark: SparkSession, edge: int = RESOLUTION + SKIRT) -> DataFrame:
-    """Two triangles per grid cell: triangle, a, b, c (vertex numbers)."""
-    cells = spark.range((edge - 1) * (edge - 1))
-    corner = F.col("id") % (edge - 1) + F.floor(F.col("id") / (edge - 1)) * edge
-    first = F.struct((F.col("id") * 2).alias("triangle"), corner.alias("a"), (corner + edge).alias("b"), (corner + edge + 1).alias("c"))
-    second = F.struct((F.col("id") * 2 + 1).alias("triangle"), corner.alias("a"), (corner + edge + 1).alias("b"), (corner + 1).alias("c"))
-    return cells.select(F.inline(F.array(first, second)))
+def tile_triangles(cells: DataFrame, edge: int = RESOLUTION + SKIRT) -> DataFrame:
+    """Adds triangle, a, b, c (vertex numbers): two triangles per grid cell, for every row.
+
+    ``cells`` is a table of tiles, or one row for the bare index list.
+    """
+    number = F.explode(F.sequence(F.lit(0), F.lit(2 * (edge - 1) * (edge - 1) - 1)))
+    rows = cells.withColumn("triangle", number)
+    cell = F.floor(F.col("triangle") / 2).cast("int")
+    corner = cell % (edge - 1) + F.floor(cell / (edge - 1)).cast("int") * edge
+    second = F.col("triangle") % 2
+    return rows.withColumns(
+        {"a": corner, "b": corner + edge + second, "c": corner + F.when(second == 0, edge + 1).otherwise(1)}
+    )
 
 
 def vertex_normals(vertices: DataFrame, triangles: DataFrame, tile: list[str]) -> DataFrame:

@@ -96,8 +96,7 @@ _TRIANGLES = f"""select 2*i as triangle, c as a, c + {EDGE} as b, c + {EDGE + 1}
 )
 def tile_triangles(v):
     """Index rows of every leaf tile."""
-    grid = F.broadcast(tiles.tile_triangles(v.spark, EDGE))  # (EDGE-1)² × 2 rows
-    return _tiles(v).filter("is_leaf").select("face", "path").join(grid)
+    return tiles.tile_triangles(_tiles(v).filter("is_leaf").select("face", "path"), EDGE)
 
 
 @query(
@@ -113,7 +112,7 @@ def tile_triangles(v):
     select face, path, cast(vertex as int) as vertex, {", ".join(f"round(s{a} / sqrt(sx*sx + sy*sy + sz*sz), 6) + 0e0 as n{a}" for a in "xyz")} from total"""
 )
 def vertex_normals(v):
-    grid = tiles.tile_triangles(v.spark, EDGE)
+    grid = tiles.tile_triangles(v.spark.range(1).select(), EDGE)
     normals = tiles.vertex_normals(_vertices(v), grid, ["face", "path"])
     return normals.select(
         "face", "path", F.col("vertex").cast("int").alias("vertex"), *[r6(F.col(f"n{a}")).alias(f"n{a}") for a in "xyz"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from worldstate.operators import chunks, compare, hierarchy, store
-from worldstate.operators.ordered import Ordered
 from worldstate.plans.registry import query
 from worldstate.plans.scalars import r6
 from worldstate.session import fresh_dir
@@ -129,9 +128,7 @@ def hierarchy_paths(v):
 
 @query(f"{_TREE} select uid, depth, row_number() over (order by string_split(path, '/')) as place from tree")
 def preorder(v):
-    """Place in depth-first order, by a prefix count over the sorted rows."""
-    placed = hierarchy.preorder(v.nodes).select("uid", "depth", "path", F.lit(0).alias("all"))
-    return Ordered(placed, [], ["all", "path"]).row_number("place").result("uid", "depth", "place")
+    return hierarchy.preorder_places(v.nodes).select("uid", "depth", "place")
 
 
 @query(f"{_TREE} select uid, depth from tree where list_contains(string_split(path, '/'), 'n2') and uid <> 'n2'")
