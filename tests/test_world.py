@@ -49,7 +49,7 @@ def test_focus_keeps_huge_nodes_and_the_square_around(spark):
         [("near", 0.1, 20.0, 20.0), ("far", 0.1, 40.0, 0.0), ("huge", 50.0, 9e5, 9e5)], "uid string, size double, x double, z double"
     )
     focus = spark.createDataFrame([(1, 0.0, 0.0)], "f int, x double, z double")
-    got = chunks.focus_contents(focus, chunks.chunk_index(nodes), ["f"])
+    got = chunks.focus_contents(focus, chunks.chunk_index(nodes))
     assert {r["uid"] for r in got.collect()} == {"near", "huge"}
     assert chunks.focus_chunks(focus, ["f"]).count() == 3 * 49 + 1
 

@@ -67,6 +67,19 @@ def cube_to_sphere(face: Column, u: Column, v: Column, radius: Column | float) -
     return tuple(p * radius for p in vec_normalize(point_on_face(face, u, v)))
 
 
+def with_unit_direction(df: DataFrame, face: Column, u: Column, v: Column, names: Sequence[str]) -> DataFrame:
+    """Adds the unit direction of a face point as three columns.
+
+    Computed in steps, each a small projection, so that shared parts are evaluated once.
+    """
+    temps = [f"_face_{n}" for n in names]
+    staged = df.withColumns(dict(zip(temps, point_on_face(face, u, v))))
+    x, y, z = (F.col(t) for t in temps)
+    staged = staged.withColumn("_face_length", F.sqrt(x * x + y * y + z * z))
+    unit = {n: F.col(t) / F.col("_face_length") for n, t in zip(names, temps)}
+    return staged.withColumns(unit).drop(*temps, "_face_length")
+
+
 def hash_draw(*parts: Column) -> Column:
     """Number in [0, 1) that depends only on ``parts``."""
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(float(1 << 53))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from worldstate.operators.folds import chained_fold
 from worldstate.operators.ordered import ROWS_PER_TASK, Ordered, order_value
+from worldstate.session import cut_lineage
 
 
 class BatchConfig(NamedTuple):
@@ -72,7 +73,8 @@ def batch_assign(
     timed = ops.withColumn("micros", order_value(ops, order[0]))
     needed = timed.select(*keys, *order, "priority", "micros")
     step = flush_step(config.start_size, config.flush_seconds * 1e6)
-    marked = chained_fold(needed, keys, order, step, "ends_batch boolean", rows_per_task).drop("micros")
+    marked = chained_fold(needed, keys, order, step, "ends_batch boolean", rows_per_task)
+    marked = cut_lineage(marked.select(*keys, *order, "ends_batch"), "batches")  # fold once, read twice
     ended = F.col("ends_batch").cast("bigint")
     counted = Ordered(marked, keys, order, rows_per_task).running_sum("_done", ended).result()
     numbered = counted.select(*keys, *order, (F.col("_done") - ended + 1).alias("batch_no"))
@@ -189,4 +191,5 @@ def batch_size_controller(
         .running_sum("losses", F.col("aborts").cast("bigint"))
         .result(*keys, *order, "wins", "losses")
     )
+    totals = cut_lineage(totals, "totals")
     return chained_fold(totals, keys, order, _size_step(config), "batch_size int", rows_per_task)

@@ -48,36 +48,56 @@ def chunk_contents(index: DataFrame, nodes: DataFrame, chunks: DataFrame | None
     return nodes.join(index, "uid")
 
 
+def _centres(focus: DataFrame, key: Sequence[str], sizes: Sequence[float]) -> DataFrame:
+    """Own chunk (_x, _z) of each focus point in every size class."""
+    rows = focus.select(*key, "x", "z", F.explode(F.sequence(F.lit(0), F.lit(len(sizes)))).alias("size_cat"))
+    cx, cz = chunk_position(F.col("x"), F.col("z"), F.col("size_cat"), sizes)
+    return rows.select(*key, "size_cat", cx.alias("_x"), cz.alias("_z"))
+
+
+def _square(centres: DataFrame, load_range: int, sizes: Sequence[float]) -> DataFrame:
+    """The (2r+1)² chunks around each centre; HUGE has only its one chunk."""
+    offsets = F.sequence(F.lit(-load_range), F.lit(load_range))
+    around = F.when(F.col("size_cat") < len(sizes), offsets).otherwise(F.array(F.lit(0)))
+    for n in "xz":
+        centres = centres.withColumn("_d", F.explode(around)).withColumn(f"c{n}", F.col(f"_{n}") + F.col("_d"))
+    return centres.drop("_d")
+
+
 def focus_chunks(
     focus: DataFrame, key: Sequence[str], load_range: int = 3, sizes: Sequence[float] = CHUNK_SIZES
 ) -> DataFrame:
     """Chunks each focus point keeps loaded: (2r+1)² per size class, and the one HUGE chunk."""
-    offsets = F.sequence(F.lit(-load_range), F.lit(load_range))
-    centred = focus.select(*key, "x", "z", F.explode(F.sequence(F.lit(0), F.lit(len(sizes)))).alias("size_cat"))
-    cx, cz = chunk_position(F.col("x"), F.col("z"), F.col("size_cat"), sizes)
-    around = F.when(F.col("size_cat") < len(sizes), offsets).otherwise(F.array(F.lit(0)))
-    return (
-        centred.withColumns({"cx": cx, "cz": cz})
-        .withColumn("_dx", F.explode(around))
-        .withColumn("_dz", F.explode(around))
-        .select(*key, "size_cat", (F.col("cx") + F.col("_dx")).alias("cx"), (F.col("cz") + F.col("_dz")).alias("cz"))
-    )
+    return _square(_centres(focus, key, sizes), load_range, sizes).select(*key, *CHUNK_KEY)
 
 
-def focus_contents(focus: DataFrame, index: DataFrame, key: Sequence[str], **kwargs) -> DataFrame:
+def focus_contents(
+    focus: DataFrame, index: DataFrame, load_range: int = 3, sizes: Sequence[float] = CHUNK_SIZES
+) -> DataFrame:
     """Index rows resident for any focus point.
 
-    Focus points in the same chunk need the same chunks: keys are made distinct before the join.
+    Focus points in one chunk need the same chunks: centres are made distinct before they are
+    expanded, and the chunks again before the join.
     """
-    needed = focus_chunks(focus, key, **kwargs).select(*CHUNK_KEY).distinct()
+    centres = _centres(focus, [], sizes).distinct()
+    needed = _square(centres, load_range, sizes).select(*CHUNK_KEY).distinct()
     return index.join(needed, CHUNK_KEY, "left_semi")
 
 
-def focus_load(focus: DataFrame, index: DataFrame, key: Sequence[str], **kwargs) -> DataFrame:
-    """Number of nodes each focus point keeps loaded, per size class; chunks are counted first."""
+def focus_load(
+    focus: DataFrame, index: DataFrame, key: Sequence[str], load_range: int = 3, sizes: Sequence[float] = CHUNK_SIZES
+) -> DataFrame:
+    """Number of nodes each focus point keeps loaded, per size class (classes without nodes left out).
+
+    Nodes are counted per chunk and chunks summed per distinct centre, so the work per focus
+    point is one lookup per class.
+    """
     per_chunk = index.groupBy(*CHUNK_KEY).agg(F.count(F.lit(1)).alias("_n"))
-    near = focus_chunks(focus, key, **kwargs).join(per_chunk, CHUNK_KEY)
-    return near.groupBy(*key, "size_cat").agg(F.sum("_n").alias("nodes"))
+    own = _centres(focus, key, sizes)
+    place = ["size_cat", "_x", "_z"]
+    around = _square(own.select(*place).distinct(), load_range, sizes)
+    per_centre = around.join(per_chunk, CHUNK_KEY).groupBy(*place).agg(F.sum("_n").alias("nodes"))
+    return own.join(per_centre, place).select(*key, "size_cat", "nodes")
 
 
 def chunk_changes(needed: DataFrame, loaded: DataFrame, keys: Sequence[str]) -> DataFrame:

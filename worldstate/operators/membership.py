@@ -22,12 +22,15 @@ def membership_intervals(
 
     Entering again while inside and leaving while outside change nothing.
     """
-    named = events.select(*keys, *order, "kind")
-    flips = Ordered(named, keys, order, rows_per_task).lag("_before", F.col("kind")).result()
-    before = F.coalesce("_before", F.lit("exit"))
-    flips = flips.filter(F.col("kind") != before).drop("_before")
-    paired = Ordered(flips, keys, order, rows_per_task).lead("left_at", F.col(order[0])).result()
-    return paired.filter(F.col("kind") == "enter").select(*keys, F.col(order[0]).alias("entered_at"), "left_at", order[-1])
+    left = F.when(F.col("kind") == "exit", F.col(order[0]))
+    rows = (
+        Ordered(events.select(*keys, *order, "kind"), keys, order, rows_per_task)
+        .lag("_before", F.col("kind"))
+        .next_known("left_at", left)
+        .result()
+    )
+    entering = (F.col("kind") == "enter") & (F.coalesce("_before", F.lit("exit")) == "exit")
+    return rows.filter(entering).select(*keys, F.col(order[0]).alias("entered_at"), "left_at", order[-1])
 
 
 def _innermost_step(area: str):

@@ -103,7 +103,9 @@ class Ordered:
         self.df = segmented if self._split else df
         group = [*self.keys, SEG] if self._split else self.keys
         self._window = Window.partitionBy(*group).orderBy(*self.order)
+        self._backwards = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in self.order])
         self._across = Window.partitionBy(*self.keys).orderBy(SEG)
+        self._across_back = Window.partitionBy(*self.keys).orderBy(F.desc(SEG))
 
     def _add(self, name: str, value: Column, summary: Column, across: Column, merge) -> Ordered:
         """``merge(value within the segment, what the other segments contribute)``."""
@@ -160,6 +162,17 @@ class Ordered:
             F.coalesce,
         )
 
+    def next_known(self, name: str, value: Column) -> Ordered:
+        """First non-null ``value`` of the rows after this one."""
+        known = F.when(value.isNotNull(), self._position())
+        return self._add(
+            name,
+            F.last(value, ignorenulls=True).over(self._backwards.rowsBetween(Window.unboundedPreceding, -1)),
+            F.min_by(value, known),
+            F.last("_s", ignorenulls=True).over(self._across_back.rowsBetween(Window.unboundedPreceding, -1)),
+            F.coalesce,
+        )
+
     def running_sum(self, name: str, value: Column) -> Ordered:
         """Sum of ``value`` up to and including the row."""
         return self._add(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worldstate.functions.spatial import cell_seed
-from worldstate.functions.terrain import FACES, cube_to_sphere, hash_draw, point_on_face, terrain_elevation
+from worldstate.functions.terrain import FACES, hash_draw, terrain_elevation, with_unit_direction
 from worldstate.functions.vectors import Vec, vec_cross, vec_normalize
 from worldstate.operators.chunks import chunk_changes
 from worldstate.operators.proximity import near_any
@@ -48,8 +48,8 @@ def quadtree_tiles(
             (F.col("cv") + (F.floor(F.col("_i") / 2) * 2 - 1) * (size / 4)).alias("cv"),
         )
         if depth < max_depth:
-            surface = cube_to_sphere(F.col("face"), F.col("cu"), F.col("cv"), radius + base_height)
-            placed = children.withColumns(dict(zip("xyz", surface)))
+            placed = with_unit_direction(children, F.col("face"), F.col("cu"), F.col("cv"), "xyz")
+            placed = placed.withColumns({a: F.col(a) * (radius + base_height) for a in "xyz"})
             reach = radius * size * SPLIT_FACTOR
             split = near_any(placed, focus, reach, ["face", "path"], inclusive=True).select(*children.columns)
             split = cut_lineage(split, "tiles")
@@ -94,18 +94,19 @@ def tile_vertices(
     ``noise`` maps the unit direction of a vertex to its noise columns. Adds ``vertex`` (x + y·edge),
     x, y, z and ``height``, the distance from the planet's centre. Needs no shuffle.
     """
+    origin, unit = ["_ox", "_oy", "_oz"], ["_dx", "_dy", "_dz"]
     line = F.sequence(F.lit(0), F.lit(edge - 1))
-    grid = tiles.withColumn("_gx", F.explode(line)).withColumn("_gy", F.explode(line))
     step = F.col("size") / float(edge - SKIRT - 1)
+    based = with_unit_direction(tiles, F.col("face"), F.col("u"), F.col("v"), origin)
+    grid = based.withColumn("_gx", F.explode(line)).withColumn("_gy", F.explode(line))
     u, v = F.col("u") + F.col("_gx") * step, F.col("v") + F.col("_gy") * step
-    grid = grid.withColumns({f"_d{a}": c for a, c in zip("xyz", vec_normalize(point_on_face(F.col("face"), u, v)))})
-    unit = tuple(F.col(f"_d{a}") for a in "xyz")
-    lift = terrain_elevation(noise(unit)) * elevation_scale if noise else F.lit(0.0)
-    origin = cube_to_sphere(F.col("face"), F.col("u"), F.col("v"), radius)
+    grid = with_unit_direction(grid, F.col("face"), u, v, unit)
+    direction = tuple(F.col(d) for d in unit)
+    lift = terrain_elevation(noise(direction)) * elevation_scale if noise else F.lit(0.0)
+    grid = grid.withColumn("height", radius + lift)
     rim = (F.col("_gx").isin(0, edge - 1)) | (F.col("_gy").isin(0, edge - 1))
     drop = F.when(rim, EDGE_DROP).otherwise(0.0)
-    grid = grid.withColumn("height", radius + lift)
-    places = [d * F.col("height") - o - d * drop for d, o in zip(unit, origin)]
+    places = [d * F.col("height") - F.col(o) * radius - d * drop for d, o in zip(direction, origin)]
     return grid.select(
         *tiles.columns,
         (F.col("_gx") + F.col("_gy") * edge).alias("vertex"),
@@ -146,8 +147,10 @@ def vertex_normals(vertices: DataFrame, triangles: DataFrame, tile: list[str]) -
     p0, p1, p2 = (tuple(F.col(f"{a}{i}") for a in "xyz") for i in range(3))
     ab = tuple(q - p for p, q in zip(p0, p1))
     ac = tuple(q - p for p, q in zip(p0, p2))
-    normal = tuple(-n for n in vec_normalize(vec_cross(ab, ac)))
-    faces = faces.withColumns(dict(zip(("fx", "fy", "fz"), normal)))
+    names = ("fx", "fy", "fz")
+    faces = faces.withColumns(dict(zip(names, vec_cross(ab, ac))))
+    unit = vec_normalize(tuple(F.col(n) for n in names))
+    faces = faces.withColumns({n: -c for n, c in zip(names, unit)})
     summed = (
         faces.select(*tile, F.explode("_all").alias("vertex"), "fx", "fy", "fz")
         .groupBy(*tile, "vertex")

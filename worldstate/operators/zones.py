@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from worldstate.operators.boxes import point_box_pairs
 from worldstate.operators.ordered import ROWS_PER_TASK, Ordered
+from worldstate.session import cut_lineage
 
 # fixed values: zone used when a server has none, player limit before a split, missing player name
 DEFAULT_BOUND = 100000.0
@@ -27,15 +28,23 @@ def _holds(zone, x: Column, y: Column, z: Column) -> Column:
     return out
 
 
-def _first_of(listed: Sequence[Row], at: Sequence[Column], own: str | None) -> Column:
-    """One CASE over a short zone list: compiled code per row, nothing to join."""
-    choice = F.when(F.lit(False), F.struct(F.lit(0).alias("id"), F.lit("").alias("name")))
-    for zone in listed:
-        inside = _holds(lambda f: F.lit(zone[f]), *at)
+def _first_of(listed: Sequence[Row], own: str | None) -> Column:
+    """Number of the first fitting zone of a short list: one CASE, nothing to join.
+
+    Written as text, because building some hundred column objects takes seconds.
+    """
+    cases = []
+    for number, zone in enumerate(listed):
+        tests = [f"{zone[f'{a}_start']!r}D <= double({a}) and double({a}) < {zone[f'{a}_end']!r}D" for a in "xyz"]
         if own is not None:
-            inside = inside & ~F.col(own).eqNullSafe(F.lit(zone["id"]))
-        choice = choice.when(inside, F.struct(F.lit(zone["id"]).alias("id"), F.lit(zone["name"]).alias("name")))
-    return choice
+            tests.append(f"not (`{own}` <=> {zone['id']})")
+        cases.append(f"when {' and '.join(tests)} then {number}")
+    return F.expr(f"case {' '.join(cases)} end") if cases else F.lit(None).cast("int")
+
+
+def _pick(listed: Sequence[Row], field: str, kind: str) -> Column:
+    values = F.array(*[F.lit(zone[field]) for zone in listed]).cast(f"array<{kind}>")
+    return F.get(values, F.col("_hit"))
 
 
 def zone_assign(
@@ -52,15 +61,19 @@ def zone_assign(
     expression, without any shuffle; a longer one is joined by grid cell, keeping the smallest
     ``seq`` per point.
     """
-    x, y, z = (F.col(c).cast("double") for c in "xyz")
     zones = zones.select("seq", "id", "name", *[F.col(b).cast("double").alias(b) for b in BOUNDS])
     listed = zones.limit(scan_zones + 1).collect()
     if len(listed) <= scan_zones:
-        hit = _first_of(sorted(listed, key=lambda r: r["seq"]), (x, y, z), own)
-        types = dict(zones.dtypes)
-        found = points.withColumn("_hit", hit.cast(f"struct<id: {types['id']}, name: {types['name']}>"))
-        return found.select(*points.columns, F.col("_hit.id").alias("target_id"), F.col("_hit.name").alias("target_name"))
+        listed = sorted(listed, key=lambda zone: zone["seq"])
+        kinds = dict(zones.dtypes)
+        found = points.withColumn("_hit", _first_of(listed, own))
+        return found.select(
+            *points.columns,
+            _pick(listed, "id", kinds["id"]).alias("target_id"),
+            _pick(listed, "name", kinds["name"]).alias("target_name"),
+        )
 
+    x, y, z = (F.col(c).cast("double") for c in "xyz")
     named = zones.select(*[F.col(c).alias(f"_z_{c}") for c in zones.columns])
     inside = _holds(lambda f: F.col(f"_z_{f}"), x, y, z)
     if own is not None:
@@ -190,6 +203,7 @@ def split_plan(report: DataFrame, zones: DataFrame, rows_per_task: int = ROWS_PE
 
     The median comes from row numbers, so a server with any number of positions is fine.
     """
+    report = cut_lineage(report.select("id", "x", "y", "z"), "report")  # read three times below
     spread = [(F.max(a) - F.min(a)).alias(f"_s{a}") for a in "xyz"]
     wide = report.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), *spread)
     best = F.greatest("_sx", "_sy", "_sz")

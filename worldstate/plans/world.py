@@ -52,7 +52,7 @@ def focus_chunks(v):
       where i.size_cat = f.size_cat and i.cx = f.cx and i.cz = f.cz)"""
 )
 def focus_contents(v):
-    return chunks.focus_contents(_focus(v), chunks.chunk_index(v.nodes), ["seq"])
+    return chunks.focus_contents(_focus(v), chunks.chunk_index(v.nodes))
 
 
 _NEEDED = """select distinct body_id, cast(trunc(dx/300e0) as bigint) + a.d as cx, cast(trunc(dy/300e0) as bigint) + b.d as cy,
