@@ -6,8 +6,8 @@ A plain window puts all rows of a key into one task. Here keys holding more than
 earlier (or later) rows is a one-row summary per segment, combined across the segments
 of a key and joined back. Results equal those of the plain window.
 
-Sizes are bounded by construction: the limit is at least 1/20000 of all rows, so there
-are fewer than 20,000 split keys and fewer than 40,000 segments, whatever the input.
+Sizes are bounded by construction: at most 20,000 keys are split, into segments of at least
+1/20000 of their rows together, so there are at most 40,000 segments, whatever the input.
 """
 
 from __future__ import annotations
@@ -44,18 +44,19 @@ def order_value(df: DataFrame, name: str) -> Column:
 
 
 def split_keys(df: DataFrame, keys: Sequence[str], split_on: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Hot keys only: ``keys, _lo, _hi, _segments`` (fewer than 20,000 rows)."""
+    """The largest keys above ``rows_per_task`` rows, at most 20,000: ``keys, _lo, _hi, _segments``.
+
+    Keys beyond those stay whole; each then holds less than 1/20000 of all rows.
+    """
     value = order_value(df, split_on)
     sizes = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
     )
-    total = sizes.agg((F.sum("_n") / MAX_SPLIT_KEYS).alias("share")).scalar()
-    limit = F.greatest(F.lit(float(rows_per_task)), F.coalesce(total, F.lit(0.0)))
-    return (
-        sizes.withColumn("_limit", limit)
-        .filter((F.col("_n") > F.col("_limit")) & (F.col("_hi") > F.col("_lo")))
-        .select(*keys, "_lo", "_hi", F.ceil(F.col("_n") / F.col("_limit")).alias(PARTS))
-    )
+    large = sizes.filter((F.col("_n") > rows_per_task) & (F.col("_hi") > F.col("_lo")))
+    largest = large.orderBy(F.desc("_n"), *keys).limit(MAX_SPLIT_KEYS)
+    share = F.sum("_n").over(Window.partitionBy(F.lit(0))) / MAX_SPLIT_KEYS
+    limit = F.greatest(F.lit(float(rows_per_task)), share)
+    return largest.select(*keys, "_lo", "_hi", F.ceil(F.col("_n") / limit).alias(PARTS))
 
 
 def with_segments(

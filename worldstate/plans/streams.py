@@ -208,19 +208,21 @@ def write_batches(v):
       time_taken from test_results where was_run or should_skip"""
 )
 def read_test_results(v):
-    """Runs exported as JSON documents, one per script, read back as tests."""
+    """Runs exported as JSON documents of bounded size, read back as tests."""
     listed = test_status(v.test_results).filter("status <> 'not run'")
     texts = lambda n: F.array_repeat(F.lit("x"), F.col(n))
     test = F.struct(
         "status", texts("pass_n").alias("passing"), texts("fail_n").alias("failing"), texts("pending_n").alias("pending"),
         F.lit(0).alias("orphans"), "time_taken",
     )
-    listed = listed.select("script", F.struct(F.col("test_id").cast("string"), test).alias("t"))
-    runs = listed.groupBy("script").agg(F.map_from_entries(F.collect_list("t")).alias("tests"))
+    page = F.floor(F.col("test_id") / 1000).alias("page")
+    listed = listed.select("script", page, F.struct(F.col("test_id").cast("string"), test).alias("t"))
+    runs = listed.groupBy("script", "page").agg(F.map_from_entries(F.collect_list("t")).alias("tests"))
     document = F.struct(F.create_map("script", F.struct("tests")).alias("scripts")).alias("test_scripts")
     folder = fresh_dir(v.spark, "runs")
-    runs.select("script", F.to_json(F.struct(document)).alias("value")).write.partitionBy("script").text(folder)
-    read = tables.read_test_results(v.spark, f"{folder}/*")
+    texts_out = runs.select("script", "page", F.to_json(F.struct(document)).alias("value"))
+    texts_out.write.partitionBy("script", "page").text(folder)
+    read = tables.read_test_results(v.spark, f"{folder}/*/*")
     return read.select("script", "test", "status", "time_taken")
 
 
