@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from worldstate.operators.boxes import point_box_pairs
 from worldstate.operators.folds import chained_fold
-from worldstate.operators.ordered import Ordered, last_row, split_keys
+from worldstate.operators.ordered import Ordered, last_row, number_in_order, split_keys, with_segments
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -64,6 +64,13 @@ def test_split_keys_are_few_and_segments_bounded(skewed):
     assert hot[0]["_segments"] <= 1000 / 50 * 1.2 + 1
 
 
+def test_segments_are_balanced_when_rows_crowd_in_time(spark):
+    """Almost all rows lie in a small part of the hot key's time span."""
+    df = spark.range(20000).select(F.lit("a").alias("k"), F.when(F.col("id") == 0, 50 * 20000).otherwise(F.col("id")).alias("t"))
+    sizes = with_segments(df, ["k"], "t", 100).groupBy("_segment").count().toPandas()["count"]
+    assert sizes.sum() == 20000 and sizes.max() <= 1000 and len(sizes) >= 30
+
+
 def test_scan_without_keys(spark):
     df = spark.range(500).withColumn("v", F.col("id") % 7)
     out = Ordered(df, [], ["id"], 40).running_sum("s", F.col("v")).result().orderBy("id").toPandas()
@@ -71,6 +78,12 @@ def test_scan_without_keys(spark):
     assert list(out.columns) == ["id", "v", "s"]
 
 
+def test_numbers_in_order(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v")).repartition(7)
+    got = sorted((r["place"], r["v"]) for r in number_in_order(df, ["v"]).collect())
+    assert [p for p, _ in got] == list(range(1, 1001)) and [v for _, v in got] == sorted(v for _, v in got)
+
+
 def test_last_row(skewed):
     got = {r["k"]: r["i"] for r in last_row(skewed, ["k"], ["t", "i"]).collect()}
     want = skewed.toPandas().sort_values(["t", "i"]).groupby("k")["i"].last().to_dict()

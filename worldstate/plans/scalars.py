@@ -72,9 +72,12 @@ def format_chat_line(v):
     return text.format_chat_line(v.chat.withColumn("ts", at)).select("seq_conv", "turn", "line")
 
 
-@query()
+@query("select id, true as version_4 from names")
 def with_uuid(v):
-    return ids.with_uuid(v.names.select("id"))
+    """Random ids cannot be compared; their form can."""
+    made = ids.with_uuid(v.names.select("id"))
+    form = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    return made.select("id", F.col("uuid").rlike(form).alias("version_4"))
 
 
 def _hex(*positions: int) -> str:
@@ -118,6 +121,56 @@ def vector_maths(v):
     )
 
 
+@query("select seq, round(sqrt((x-y)*(x-y) + (y-z)*(y-z) + (z-x)*(z-x)), 6) + 0.0e0 as d from moves", name="vec_distance")
+def distance_query(v):
+    return v.moves.select("seq", r6(vec_distance(vec(), vec(names="yzx"))).alias("d"))
+
+
+@query("select seq, (x-y)*(x-y) + (y-z)*(y-z) + (z-x)*(z-x) as d from moves", name="vec_distance_sq")
+def distance_sq_query(v):
+    return v.moves.select("seq", vec_distance_sq(vec(), vec(names="yzx")).alias("d"))
+
+
+@query("select seq, x*y + y*z + z*x as d from moves", name="vec_dot")
+def dot_query(v):
+    return v.moves.select("seq", vec_dot(vec(), vec(names="yzx")).alias("d"))
+
+
+@query("select seq, y*x - z*z as cx, z*y - x*x as cy, x*z - y*y as cz from moves", name="vec_cross")
+def cross_query(v):
+    crossed = vec_cross(vec(), vec(names="yzx"))
+    return v.moves.select("seq", *[c.alias(f"c{a}") for c, a in zip(crossed, "xyz")])
+
+
+_LENGTH = "sqrt(x*x + y*y + z*z)"
+
+
+@query(
+    "select seq, "
+    + ", ".join(f"case when {_LENGTH} = 0 then 0e0 else round({a} / {_LENGTH}, 6) + 0.0e0 end as u{a}" for a in "xyz")
+    + " from moves",
+    name="vec_normalize",
+)
+def normalize_query(v):
+    return v.moves.select("seq", *[r6(c).alias(f"u{a}") for c, a in zip(vec_normalize(vec()), "xyz")])
+
+
+_TOWARDS = "sqrt((1-x)*(1-x) + (2-y)*(2-y) + (3-z)*(3-z))"
+
+
+@query(
+    "select seq, "
+    + ", ".join(
+        f"case when {_TOWARDS} = 0 then 0e0 else round(({n}-{a}) / {_TOWARDS}, 6) + 0.0e0 end as u{a}" for n, a in enumerate("xyz", 1)
+    )
+    + " from moves",
+    name="vec_direction",
+)
+def direction_query(v):
+    target = (F.lit(1.0), F.lit(2.0), F.lit(3.0))
+    return v.moves.select("seq", *[r6(c).alias(f"u{a}") for c, a in zip(vec_direction(vec(), target), "xyz")])
+
+
 @query(
     """select seq, (value <> last_value or x <> last_x) and (floor(value) <> last_value or floor(x) <> last_x) as moved
     from (select seq, value, x, floor(value) + case when seq % 3 = 0 then 1 else 0 end as last_value, x as last_x
@@ -210,10 +263,12 @@ def cube_to_sphere(v):
     return v.nodes.select("uid", *[r6(p).alias(f"s{a}") for p, a in zip(place, "xyz")])
 
 
-@query()
+@query("select id, radius + 1 as height from fields")
 def point_on_sphere(v):
+    """Places are hashed draws; their height above the centre is known."""
     centre = (F.col("cx"), F.col("cy"), F.col("cz"))
-    return terrain.point_on_sphere(v.fields, ["id"], centre, F.col("radius")).select("id", "px", "py", "pz")
+    placed = terrain.point_on_sphere(v.fields, ["id"], centre, F.col("radius"))
+    return placed.select("id", r6(vec_distance(vec("p"), centre)).alias("height"))
 
 
 @query(

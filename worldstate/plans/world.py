@@ -55,14 +55,14 @@ def focus_contents(v):
     return chunks.focus_contents(_focus(v), chunks.chunk_index(v.nodes))
 
 
-_NEEDED = """select distinct body_id, cast(trunc(dx/300e0) as bigint) + a.d as cx, cast(trunc(dy/300e0) as bigint) + b.d as cy,
+NEEDED_SQL = """select distinct body_id, cast(trunc(dx/300e0) as bigint) + a.d as cx, cast(trunc(dy/300e0) as bigint) + b.d as cy,
     cast(trunc(dz/300e0) as bigint) + c.d as cz
     from (select f.id as body_id, p.x - f.cx as dx, p.y - f.cy as dy, p.z - f.cz as dz, f.radius from latest p, fields f) q
     cross join generate_series(-1, 1) a(d) cross join generate_series(-1, 1) b(d) cross join generate_series(-1, 1) c(d)
     where sqrt(dx*dx + dy*dy + dz*dz) < radius + 1200"""
 
 
-@query(_NEEDED)
+@query(NEEDED_SQL)
 def needed_cells(v):
     return chunks.needed_cells(v.latest, v.fields, ["entity_id"])
 
@@ -76,7 +76,7 @@ def _early(v):
 @query(
     f"""select coalesce(n.body_id, l.body_id) as body_id, coalesce(n.cx, l.cx) as cx, coalesce(n.cy, l.cy) as cy, coalesce(n.cz, l.cz) as cz,
       case when l.cx is null then 'load' when n.cx is null then 'unload' else 'keep' end as action
-    from ({_NEEDED}) n full join ({_NEEDED.replace("latest p", "(select entity_id, arg_min(x, row(ts, seq)) as x, arg_min(y, row(ts, seq)) as y, arg_min(z, row(ts, seq)) as z from moves group by entity_id) p")}) l
+    from ({NEEDED_SQL}) n full join ({NEEDED_SQL.replace("latest p", "(select entity_id, arg_min(x, row(ts, seq)) as x, arg_min(y, row(ts, seq)) as y, arg_min(z, row(ts, seq)) as z from moves group by entity_id) p")}) l
       on n.body_id = l.body_id and n.cx = l.cx and n.cy = l.cy and n.cz = l.cz"""
 )
 def chunk_changes(v):
