@@ -14,10 +14,10 @@ FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 
 HEADLINE = (
-    "players_per_zone zone_assign zone_assign_many_zones plan_transfers overload_report split_plan server_metrics "
+    "players_per_zone zone_assign_many_zones plan_transfers overload_report split_plan server_metrics "
     "latest_state moved_since_last tick_sample parse_change_feed publish_change_feed config_in_effect "
-    "membership_intervals current_parent player_sessions metrics_windows keep_last_messages batch_assign batch_order "
-    "batch_stats batch_size_controller chunk_index focus_chunks focus_contents chunk_changes moved_chunks camera_updates "
+    "membership_intervals current_parent player_sessions metrics_windows keep_last_messages batch_assign "
+    "batch_stats batch_size_controller chunk_index focus_chunks focus_contents moved_chunks camera_updates "
     "entities_near containing_field near_any hierarchy_paths node_bounds upsert_entities diff_tables expect "
     "clean_player_name text_color quadtree_tiles vertex_normals"
 ).split()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -160,15 +161,13 @@ def dedupe_uids(nodes: DataFrame, order: Sequence[str], rows_per_task: int = ROW
 
 def camera_step(step: float):
     def run(last, rows):
-        places = rows[["x", "y", "z"]].to_numpy(dtype="float64")
-        updated = np.zeros(len(places), dtype=bool)
-        here = None if last is None else np.array(last)
-        for i, place in enumerate(places):
-            if here is None:
-                here = np.zeros(3)
-            if np.sqrt(((place - here) ** 2).sum()) >= step:
-                updated[i], here = True, place
-        return [float(v) for v in here], {"updated": updated}
+        x0, y0, z0 = last if last is not None else (0.0, 0.0, 0.0)
+        updated = np.zeros(len(rows), dtype=bool)
+        for i, (x, y, z) in enumerate(zip(rows["x"].tolist(), rows["y"].tolist(), rows["z"].tolist())):
+            if math.sqrt((x - x0) * (x - x0) + (y - y0) * (y - y0) + (z - z0) * (z - z0)) >= step:
+                updated[i] = True
+                x0, y0, z0 = x, y, z
+        return [x0, y0, z0], {"updated": updated}
 
     return run
 

@@ -28,13 +28,13 @@ Step = Callable[[object, pd.DataFrame], tuple[object, dict[str, np.ndarray]]]
 
 def _runs(pdf: pd.DataFrame, group: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """Consecutive rows of equal group columns."""
-    codes = pd.MultiIndex.from_frame(pdf[group]) if len(group) > 1 else pdf[group[0]]
-    same = np.asarray(codes[1:] == codes[:-1]) if len(group) > 1 else (codes.to_numpy()[1:] == codes.to_numpy()[:-1])
-    cuts = np.flatnonzero(~same) + 1
-    starts = np.concatenate(([0], cuts, [len(pdf)]))
-    for a, b in zip(starts[:-1], starts[1:]):
-        rows = pdf.iloc[a:b]
-        yield tuple(rows[group].iloc[0]), rows
+    columns = [pdf[c].to_numpy() for c in group]
+    same = np.ones(len(pdf) - 1, dtype=bool)
+    for values in columns:
+        same &= values[1:] == values[:-1]
+    borders = [0, *(np.flatnonzero(~same) + 1).tolist(), len(pdf)]
+    for a, b in zip(borders[:-1], borders[1:]):
+        yield tuple(values[a] for values in columns), pdf.iloc[a:b]
 
 
 def _stream(step: Step, group: list[str], outputs: list[str], ends_only: bool):
@@ -45,7 +45,7 @@ def _stream(step: Step, group: list[str], outputs: list[str], ends_only: bool):
         for pdf in batches:
             if pdf.empty:
                 continue
-            done, parts = [], []
+            done, added = [], {}
             for k, rows in _runs(pdf, group):
                 if k != key:
                     if key is not None:
@@ -54,12 +54,12 @@ def _stream(step: Step, group: list[str], outputs: list[str], ends_only: bool):
                     key, state = k, (json.loads(entering) if isinstance(entering, str) else None)
                 state, out = step(state, rows)
                 if not ends_only:
-                    parts.append(rows.drop(columns=["_entering"]).assign(**out))
-            if ends_only:
-                if done:
-                    yield pd.DataFrame(done, columns=[*group, "_leaving"])
-            else:
-                yield pd.concat(parts)[outputs]
+                    for name, values in out.items():
+                        added.setdefault(name, []).append(values)
+            if not ends_only:
+                yield pdf.assign(**{name: np.concatenate(parts) for name, parts in added.items()})[outputs]
+            elif done:
+                yield pd.DataFrame(done, columns=[*group, "_leaving"])
         if ends_only and key is not None:
             yield pd.DataFrame([(*key, json.dumps(state))], columns=[*group, "_leaving"])
 

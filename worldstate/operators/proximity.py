@@ -123,6 +123,7 @@ def near_any(
         same = [F.col(o) == F.col(n) for o, n in zip(own, ("_nx", "_ny", "_nz"))]
         return placed.join(F.broadcast(spread), same[0] & same[1] & same[2] & hit, "left_semi").drop(*own)
 
+    spots = cut_lineage(spots, "spots")  # read up to three times below
     certain, possible = _verdict(distance)
     summaries = _around(_summaries(spots, g), g, own)
     first = placed.select(*key, "x", "y", "z", *own).join(summaries, own).filter(possible)

@@ -8,7 +8,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from worldstate.functions.text import format_chat_line
 from worldstate.operators.feeds import route_topics
-from worldstate.streaming.state_table import LastMessages
+from worldstate.streaming.state_table import UNTIL_READ, LastMessages
 
 LINES_SCHEMA = "channel int, author string, content string, ts timestamp, seq bigint, line string"
 
@@ -24,12 +24,12 @@ def chat_lines(messages: DataFrame) -> DataFrame:
     return format_chat_line(rows)
 
 
-def chat_stream(messages: DataFrame, history: LastMessages, checkpoint: str) -> StreamingQuery:
+def chat_stream(messages: DataFrame, history: LastMessages, checkpoint: str, **trigger) -> StreamingQuery:
     """Keep ``history`` up to date from a stream of topic messages."""
     return (
         chat_lines(messages)
         .writeStream.foreachBatch(lambda batch, batch_id: history.write(batch, batch_id))
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or UNTIL_READ))
         .start()
     )

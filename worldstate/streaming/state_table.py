@@ -52,8 +52,11 @@ class PartialStateTable(StateTable):
         return merge_partial_updates(self.changes(spark).drop("batch"), self.keys, self.order, self.fields)
 
 
+UNTIL_READ = {"availableNow": True}  # default trigger; pass processingTime="…" to keep running
+
+
 def entity_state_stream(
-    feed: DataFrame, table: StateTable, checkpoint: str, own_server: int | None = None
+    feed: DataFrame, table: StateTable, checkpoint: str, own_server: int | None = None, **trigger
 ) -> StreamingQuery:
     """Maintain ``table`` from a stream of change rows (op, keys, order, entity fields).
 
@@ -67,14 +70,14 @@ def entity_state_stream(
         feed.select(*columns)
         .writeStream.foreachBatch(lambda batch, batch_id: table.write(batch, batch_id))
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or UNTIL_READ))
         .start()
     )
 
 
-def zone_state_stream(changes: DataFrame, table: PartialStateTable, checkpoint: str) -> StreamingQuery:
+def zone_state_stream(changes: DataFrame, table: PartialStateTable, checkpoint: str, **trigger) -> StreamingQuery:
     """Zones after server changes; partial updates keep name, ip and port."""
-    return entity_state_stream(changes, table, checkpoint)
+    return entity_state_stream(changes, table, checkpoint, **trigger)
 
 
 def seed_snapshot(table: StateTable, snapshot: DataFrame, batch_id: int = -1) -> None:

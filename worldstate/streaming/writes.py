@@ -10,6 +10,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from worldstate.operators.batching import BatchConfig, batch_assign, batch_order, flush_step
 from worldstate.streaming.folds import stream_fold
+from worldstate.streaming.state_table import UNTIL_READ
 
 ATTEMPTS_SCHEMA = "micro_batch bigint, attempt_no int, failed boolean, error string"
 
@@ -62,12 +63,12 @@ class BatchWriter:
         return spark.read.option("basePath", f"{self.path}/attempts").parquet(f"{self.path}/attempts")
 
 
-def write_batches(ops: DataFrame, writer: BatchWriter, checkpoint: str) -> StreamingQuery:
+def write_batches(ops: DataFrame, writer: BatchWriter, checkpoint: str, **trigger) -> StreamingQuery:
     """Stream operations (server_id, ts, seq, priority, kind, …) through ``writer``."""
     return (
         ops.writeStream.foreachBatch(writer)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or UNTIL_READ))
         .start()
     )
 
