@@ -145,7 +145,7 @@ two|"f"|0,0,0|0,0,0|1,1,1|1|{}
 
 @pytest.mark.parametrize("rows_per_task", [10**6, 2])
 def test_export_parents_are_the_nearest_shallower_line(spark, tmp_path, rows_per_task):
-    (tmp_path / "w.owdb").write_text(EXPORT)
+    (tmp_path / "w.txt").write_text(EXPORT)
     rows = world_export.read_world_export(spark, str(tmp_path), rows_per_task=rows_per_task).collect()
     assert {r["uid"]: r["parent_uid"] for r in rows} == {
         "root": "", "kid-1": "root", "deep": "kid-1", "mid": "kid-1", "kid-2": "root", "two": "",

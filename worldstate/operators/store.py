@@ -14,7 +14,7 @@ def find_by_id(entities: DataFrame, uid: str) -> DataFrame:
     return entities.filter(F.col("uid") == uid)
 
 
-def find_by_name(entities: DataFrame, name: str, kind: str, kinds: str = "dgraph_type") -> DataFrame:
+def find_by_name(entities: DataFrame, name: str, kind: str, kinds: str = "types") -> DataFrame:
     """Exact name, and ``kind`` among the entity's types."""
     return entities.filter((F.col("name") == name) & F.array_contains(kinds, kind))
 

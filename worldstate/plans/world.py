@@ -202,7 +202,7 @@ def find_by_id(v):
 
 
 def _typed(v):
-    return v.entities.withColumn("dgraph_type", F.array(F.lit("Entity"), F.col("type_obj")))
+    return v.entities.withColumn("types", F.array(F.lit("Entity"), F.col("type_obj")))
 
 
 @query("select uid, name, parent_uid from entities where name = 'ASIA' and type_obj = 'Planete'")
