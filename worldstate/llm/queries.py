@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worldstate.llm import bytebpe, tokencount
+from worldstate.llm import bytebpe, linededup, mixing, sharding, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,18 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op8_token_counts")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return tokencount.token_report(_table(spark, folder, "documents"))
+
+
+@_register("op2_line_dedup", linededup.LINE_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return linededup.line_report(_table(spark, folder, "documents"))
+
+
+@_register("op7_pfair_mix", mixing.MIX_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_report(_table(spark, folder, "documents"))
+
+
+@_register("op9_longest_first_shards")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_report(_table(spark, folder, "documents"))
