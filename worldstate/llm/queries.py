@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worldstate.llm import bytebpe, linededup, mixing, sharding, tokencount
+from worldstate.llm import bytebpe, linededup, mixing, sharding, simhash, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op9_longest_first_shards")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_report(_table(spark, folder, "documents"))
+
+
+@_register("op4_simhash_trees")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
