@@ -2,12 +2,13 @@
 
 import re
 
+
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from worldstate.llm import simhash
+from worldstate.llm import pstable, simhash
 from worldstate.llm.graphs import Forest, connected_components
 from worldstate.llm.queries import QUERIES
 
@@ -83,3 +84,46 @@ def test_trees_lose_no_link(spark):
     table = spark.createDataFrame([(p,) for p in points], "fingerprint long").repartition(3)
     got = {r.node: r.root for r in connected_components(simhash.near_links(table, shard_rows=100)).collect()}
     assert {p: got.get(p, p) for p in points} == {p: points[w] for p, w in zip(points, want)}
+
+
+def brute_links(rows, threshold=0.98):
+    """n_links and component per row of (id, vector, label)."""
+    ok = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) and lab is not None for _, v, lab in rows]
+    pairs = []
+    for i, (_, v, lab) in enumerate(rows):
+        for j in range(i):
+            w = rows[j][1]
+            if ok[i] and ok[j] and lab == rows[j][2] and len(v) == len(w):
+                x, y = np.array(v, np.float64), np.array(w, np.float64)
+                if x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= threshold:
+                    pairs.append((i, j))
+    links = [0] * len(rows)
+    for i, j in pairs:
+        links[i] += 1
+        links[j] += 1
+    return links, components(len(rows), pairs)
+
+
+VEC = "vec_id long, embedding array<float>, label int, n_links string"
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_near_vectors_by_brute_force(spark, block):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((12, 16))
+    rows = [(b + rng.standard_normal(16) * rng.choice([0, 0.02, 0.05, 0.1])).tolist() for b in base for _ in range(6)]
+    rows = [(np.float32(v).tolist(), i % 2) for i, v in enumerate(rows)]
+    rows += [(None, 0), ([], 0), ([0.0] * 16, 0), ([1.0, None], 0), ([float("nan")] + [1.0] * 15, 0), ([float("inf")] * 16, 1), (rows[0][0], None), (rows[0][0], 0), (rows[0][0][:8], 0), (rows[0][0][:8], 0)]
+    rows = [(i, v, lab) for i, (v, lab) in enumerate(rows)]
+    links, comp = brute_links(rows)
+    got = pstable.near_vectors(spark.createDataFrame([(*r, "clash") for r in rows], VEC), block_rows=block).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (links[i], comp[i], comp[i] == i) for i, _, _ in rows}
+    assert len(got) == len(rows)
+
+
+def test_near_vectors_query(spark, small):
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding", "label").orderBy("vec_id").collect()]
+    links, comp = brute_links(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in QUERIES["op5_pstable_embeddings"](spark, small).collect()}
+    assert got == {rows[i][0]: (links[i], rows[comp[i]][0]) for i in range(len(rows))}
+    assert pstable.near_vectors(spark.createDataFrame([], VEC)).count() == 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worldstate.llm import bytebpe, linededup, mixing, sharding, simhash, tokencount
+from worldstate.llm import bytebpe, linededup, mixing, pstable, sharding, simhash, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op4_simhash_trees")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+@_register("op5_pstable_embeddings")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return pstable.near_vectors(_table(spark, folder, "embeddings"))
