@@ -22,12 +22,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from worldstate.llm.texts import blank_parts, chunks
 
 RANKS = "byte_bpe_50k.tiktoken"
-CACHED_PARTS = 500_000
+CACHED_PARTS = 250_000
+BATCH_ROWS = 256
 
 
 @lru_cache
@@ -74,8 +76,7 @@ class Codec:
         self.library = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
         self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)
         self.pattern = regex.compile(pattern)
-        back = {c: b for b, c in byte_table().items()}
-        self.token_bytes = {rank: bytes(back[c] for c in text) for text, rank in vocab.items()}
+        self.token_bytes = _token_bytes(path)
         size = max(self.token_bytes) + 1
         self.opened = np.zeros(size, np.int32)  # characters that begin in a token
         self.inside = np.zeros(size, np.int32)  # 1: it begins inside a character
@@ -125,25 +126,47 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *parts]))
 
 
+def _arrays(own: Codec, texts: list[str | None], outputs: tuple[str, ...]) -> dict[str, pa.Array]:
+    found = [own.encode(text or "") for text in texts]
+    made = {"ids": lambda: _lists(found), "starts": lambda: _lists([own.starts(f) for f in found])}
+    made["decoded"] = lambda: pa.array([own.decode(f.tolist()) for f in found], pa.binary())
+    return {name: made[name]() for name in outputs}
+
+
+KINDS = {"ids": T.ArrayType(T.IntegerType()), "starts": T.ArrayType(T.IntegerType()), "decoded": T.BinaryType()}
+
+
 def encode(
-    docs: DataFrame, text: str = "text", ids: str = "ids", starts: str = "starts",
+    docs: DataFrame, text: str = "text", outputs: tuple[str, ...] = ("ids", "starts"),
     path: str | None = None, pattern: str = public_tokenizers.PATTERN,
 ) -> DataFrame:
-    """Adds ``ids`` (token ids) and ``starts`` (character index each token begins in).
+    """Adds ``ids`` (token ids), ``starts`` (character index each token begins in) and, if asked
+    for, ``decoded`` (the bytes decoded from the ids again).
 
-    Tokens that share a character have the same start. Null text gives empty lists.
+    Tokens that share a character have the same start. Null text gives empty lists. Results leave
+    the worker in small batches, so memory follows the longest text, not the partition.
     """
     path = path or public_tokenizers.path(RANKS)
+    kept = [c for c in docs.columns if c not in outputs]
+    schema = T.StructType([*docs.select(*[f"`{c}`" for c in kept]).schema.fields, *[T.StructField(o, KINDS[o]) for o in outputs]])
 
-    @F.arrow_udf("struct<ids: array<int>, starts: array<int>>")
-    def encoded(column: pa.Array) -> pa.Array:
+    def coded(batches):
         own = codec(path, pattern)
-        found = [own.encode(value.as_py() or "") for value in column]
-        return pa.StructArray.from_arrays([_lists(found), _lists([own.starts(f) for f in found])], ["ids", "starts"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                made = _arrays(own, part.column(text).to_pylist(), outputs)
+                columns = {c: part.column(c) for c in kept} | made
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (ids, starts)]
-    found = docs.select(*kept, encoded(F.col(text)).alias("__encoded"))
-    return found.select(*kept, F.col("__encoded.ids").alias(ids), F.col("__encoded.starts").alias(starts))
+    return docs.mapInArrow(coded, schema)
+
+
+@lru_cache
+def _token_bytes(path: str) -> dict[int, bytes]:
+    """Id to bytes, by the reversed byte table over the vocabulary's texts."""
+    back = {c: b for b, c in byte_table().items()}
+    return {rank: bytes(back[c] for c in _mapped(token)) for token, rank in read_ranks(path).items()}
 
 
 def decode(docs: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -156,8 +179,8 @@ def decode(docs: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
 
     @F.arrow_udf("binary")
     def decoded(column: pa.Array) -> pa.Array:
-        own = codec(path, public_tokenizers.PATTERN)
-        return pa.array([own.decode(value.as_py() or []) for value in column], pa.binary())
+        get = _token_bytes(path).__getitem__
+        return pa.array([b"".join(map(get, value.as_py() or [])) for value in column], pa.binary())
 
     return docs.withColumn(out, decoded(F.col(ids)))
 
@@ -174,13 +197,10 @@ def decoded_text(column):
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: number of tokens, digests of its ids and of the bytes decoded from them."""
-    coded = encode(docs.select(F.col(key), F.col(text)), text, "ids", "starts")
-    back = decode(coded.select(key, "ids", "starts"), "ids", "decoded")
-    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return back.select(
+    coded = encode(docs.select(F.col(key), F.col(text)), text, ("ids", "decoded"))
+    return coded.select(
         F.col(key),
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.coalesce(F.element_at("starts", F.when(F.size("starts") > 0, -1)), F.lit(0)).cast("long").alias("last_start"),
     )
