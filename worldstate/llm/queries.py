@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worldstate.llm import bytebpe, linededup, mixing, pstable, sharding, simhash, tokencount
+from worldstate.llm import bytebpe, linededup, mixing, pstable, sharding, simhash, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op5_pstable_embeddings")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return pstable.near_vectors(_table(spark, folder, "embeddings"))
+
+
+@_register("op6_noisy_or_toxicity")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
