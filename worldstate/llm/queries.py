@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worldstate.llm import bytebpe, linededup, mixing, pstable, sharding, simhash, tokencount, toxicity
+from worldstate.llm import bytebpe, licenses, linededup, mixing, pstable, sharding, simhash, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op6_noisy_or_toxicity")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_register("op10_license_diagonals")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_report(_table(spark, folder, "documents"))
