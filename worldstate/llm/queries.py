@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worldstate.llm import bytebpe, licenses, linededup, mixing, pstable, sharding, simhash, tokencount, toxicity
+from worldstate.llm import bytebpe, licenses, linededup, mixing, pstable, sharding, simhash, tokencount, toxicity, vamana
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op10_license_diagonals")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_report(_table(spark, folder, "documents"))
+
+
+@_register("op3_pruned_graph_neighbours")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return vamana.neighbour_report(_table(spark, folder, "embeddings"))
