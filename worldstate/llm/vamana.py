@@ -31,7 +31,8 @@ SHARD_ROWS = 8192
 QUERY_ROWS = 4096
 DEGREE = 32
 BUILD_BEAM = 64
-SEARCH_BEAM = 96
+SEARCH_BEAM = 128
+RANDOM = 8
 ALPHA = 1.2
 BATCH = 256
 
@@ -101,39 +102,53 @@ def robust_prune(points: np.ndarray, nodes: np.ndarray, candidates: np.ndarray,
 
 
 def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> tuple[np.ndarray, int]:
-    """Out-edges (-1: none) of every node, and the node that searches start from."""
+    """Out-edges (-1: none) of every node, and the node that searches start from.
+
+    All nodes are linked twice; the second time each meets the whole graph. Besides what its
+    search proposes, a node looks at its edges so far and at some random nodes, which gives it far
+    edges and lets no node go unreached.
+    """
     count = len(points)
     start = int(np.argmin(((points - points.mean(axis=0)) ** 2).sum(axis=1)))
-    edges = np.full((count, degree), -1)
-    order = np.random.default_rng(count).permutation(count)
-    order = np.concatenate([[start], order[order != start]])
-    built = 1
-    while built < count:
-        # batches grow with the graph, so early nodes meet a graph that is nearly up to date
-        nodes = order[built : built + min(BATCH, max(1, built))]
-        built += len(nodes)
-        found, _ = beam_search(points, edges, start, points[nodes], beam)
-        edges[nodes] = robust_prune(points, nodes, found, degree, alpha)
-        rows, slots = np.nonzero(edges[nodes] >= 0)
-        source, target = nodes[rows], edges[nodes[rows], slots]
-        by = np.argsort(target, kind="stable")
-        source, target = source[by], target[by]
-        targets, first, sizes = np.unique(target, return_index=True, return_counts=True)
-        for most in range(0, int(sizes.max()), degree):  # new back edges, a degree's worth at a time
-            some = sizes > most
-            own, begin, left = targets[some], first[some] + most, np.minimum(sizes[some] - most, degree)
-            back = np.full((len(own), degree), -1)
-            inside = np.arange(degree)[None, :] < left[:, None]
-            back[inside] = source[(begin[:, None] + np.arange(degree)[None, :])[inside]]
-            together = np.hstack([edges[own], back])
-            fits = (together >= 0).sum(axis=1) <= degree
-            packed = np.sort(together[fits], axis=1)[:, ::-1][:, :degree]
-            edges[own[fits]] = packed
-            if not fits.all():
-                edges[own[~fits]] = robust_prune(points, own[~fits], together[~fits], degree, alpha)
+    edges, rng = np.full((count, degree), -1), np.random.default_rng(count)
+    for first_time in (True, False):
+        order = rng.permutation(count)
+        order = np.concatenate([[start], order[order != start]])
+        at = int(first_time)
+        while at < count:
+            # first batches grow with the graph, so early nodes meet a graph that is nearly up to date
+            nodes = order[at : at + min(BATCH, max(1, at) if first_time else BATCH)]
+            known = order[:at] if first_time else order
+            at += len(nodes)
+            found, _ = beam_search(points, edges, start, points[nodes], beam)
+            far = known[rng.integers(0, len(known), (len(nodes), RANDOM))]
+            edges[nodes] = robust_prune(points, nodes, np.hstack([found, edges[nodes], far]), degree, alpha)
+            _link_back(points, edges, nodes, alpha)
     return edges, start
 
 
+def _link_back(points: np.ndarray, edges: np.ndarray, nodes: np.ndarray, alpha: float) -> None:
+    """Gives the targets of the nodes' edges an edge back; targets with too many are pruned."""
+    degree = edges.shape[1]
+    rows, slots = np.nonzero(edges[nodes] >= 0)
+    source, target = nodes[rows], edges[nodes[rows], slots]
+    by = np.argsort(target, kind="stable")
+    source, target = source[by], target[by]
+    targets, first, sizes = np.unique(target, return_index=True, return_counts=True)
+    for most in range(0, int(sizes.max(initial=0)), degree):  # a degree's worth at a time
+        some = sizes > most
+        own, begin, left = targets[some], first[some] + most, np.minimum(sizes[some] - most, degree)
+        back = np.full((len(own), degree), -1)
+        inside = np.arange(degree)[None, :] < left[:, None]
+        back[inside] = source[(begin[:, None] + np.arange(degree)[None, :])[inside]]
+        back[(back[:, :, None] == edges[own][:, None, :]).any(axis=2)] = -1
+        together = np.hstack([edges[own], back])
+        fits = (together >= 0).sum(axis=1) <= degree
+        edges[own[fits]] = np.sort(together[fits], axis=1)[:, ::-1][:, :degree]
+        if not fits.all():
+            edges[own[~fits]] = robust_prune(points, own[~fits], together[~fits], degree, alpha)
+
+
 def _classes(vectors: DataFrame, key: Column, vector: Column, ids: int) -> DataFrame:
     """``node, vector, members``: distinct vectors, each with its ``ids`` smallest ids."""
     fit = vectors.select(key.alias("id"), vector.alias("vector")).filter(usable(F.col("vector")) & F.col("id").isNotNull())
