@@ -1,19 +1,61 @@
-"""The training-data pipeline: named stages from raw documents to token ids."""
+"""The training-data pipeline: named stages from raw documents to token ids.
+
+Each stage takes (spark, docs, folder) and returns a DataFrame; all but the last return the columns
+of ``docs``, whatever these are besides ``doc_id``, ``text`` and ``source``. Stages work on all rows
+that the one before kept. Null texts pass all stages but near-dedup, where texts without words
+have the same fingerprint and so one of them stays.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from worldstate.llm import bytebpe
+from worldstate.llm import bytebpe, linededup, mixing, simhash, toxicity
 from worldstate.session import cut_lineage
 
+ROWS_PER_FILE = 50_000
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go. Learned from the labels of the folder."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on more than a twentieth of a source's documents go; every document stays."""
+    clean = linededup.drop_boilerplate(docs)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        clean = clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast(kind), F.col("n_chars")))
+    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by their fingerprints the one with the least key stays."""
+    return simhash.keep_representatives(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, laid out file after file in the order of the mix."""
+    files = max(1, -(-docs.count() // ROWS_PER_FILE), docs.sparkSession.sparkContext.defaultParallelism)
+    mixed = mixing.mix(docs.withColumnsRenamed({c: f"={c}" for c in docs.columns}), "=source", "=doc_id", ties=(F.xxhash64("=text"),))
+    slots = mixed.agg(F.max("slot")).first()[0]
+    return mixing.in_order(mixed, files, (slots or 0) + 1).select(*[F.col(f"`={c}`").alias(c) for c in docs.columns])
+
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with its token ids and the character each token begins in."""
     return bytebpe.encode(docs)
 
 
-STAGES = [("byte_bpe", encode_bytes)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_boilerplate),
+    ("simhash_near_dedup", drop_near_copies),
+    ("mix_sources", mix_sources),
+    ("byte_bpe", encode_bytes),
+]
 
 ORACLE_SQL = None
 

@@ -212,3 +212,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     owned = rooted.select("fingerprint", "root").join(named, "root").select("fingerprint", "component_id")
     return marked.join(owned, "fingerprint").select(key, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+    """One row of each component, with its own columns: the least key that is not null.
+
+    Rows of one key are told apart by a number that is written with the fingerprints, before anything
+    is decided by it.
+    """
+    marked = with_fingerprints(docs.withColumns({"__key": F.col(key), "__text": F.col(text)}), "__text", "__print", words).drop("__text")
+    marked = cut_lineage(marked.withColumn("__row", F.struct(F.col("__key").isNull(), "__key", F.monotonically_increasing_id())), "marked")
+    classes = cut_lineage(marked.groupBy(F.col("__print").alias("fingerprint")).agg(F.min("__row").alias("least")), "classes")
+    roots = connected_components(near_links(classes, radius))
+    rooted = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+    kept = rooted.groupBy(F.coalesce("root", "fingerprint")).agg(F.min("least").alias("__row")).select("__row")
+    return marked.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
