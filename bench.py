@@ -19,7 +19,7 @@ HEADLINE = (
     "membership_intervals current_parent player_sessions metrics_windows keep_last_messages batch_assign "
     "batch_stats batch_size_controller chunk_index focus_chunks focus_contents moved_chunks camera_updates "
     "entities_near containing_field near_any hierarchy_paths node_bounds upsert_entities diff_tables expect "
-    "clean_player_name text_color quadtree_tiles vertex_normals"
+    "clean_player_name text_color quadtree_tiles entity_state_stream player_sessions_stream write_batches"
 ).split()
 
 

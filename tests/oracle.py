@@ -39,7 +39,7 @@ def compare(spark, con, name: str, run, sql: str | None, folder: str) -> str:
     rows = [tuple(r) for r in df.collect()]
     took = time.time() - started
     if sql is None:
-        return f"" if rows else "no rows"
+        return "" if rows else "no rows"
     got_names, got = _sorted_rows(df.columns, rows)
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]

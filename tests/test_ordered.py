@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from worldstate.operators.boxes import point_box_pairs
 from worldstate.operators.folds import chained_fold
-from worldstate.operators.ordered import Ordered, last_row, number_in_order, split_keys, with_segments
+from worldstate.operators.ordered import Ordered, last_row, number_in_order, with_segments
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -58,17 +58,27 @@ def test_unsplit_scan_equals_split(skewed):
     pd.testing.assert_frame_equal(_scan(skewed, 10**6), _scan(skewed, 20))
 
 
-def test_split_keys_are_few_and_segments_bounded(skewed):
-    hot = split_keys(skewed, ["k"], "t", 50).collect()
-    assert [r["k"] for r in hot] == [0]
-    assert hot[0]["_segments"] <= 1000 / 50 * 1.2 + 1
+SHAPES = {
+    "outlier": "if(id = 0, -1000000000000, id)",
+    "instant": "7L",
+    "prefix": "concat('the same beginning ', lpad(string(id), 6, '0'))",
+}
 
 
-def test_segments_are_balanced_when_rows_crowd_in_time(spark):
-    """Almost all rows lie in a small part of the hot key's time span."""
-    df = spark.range(20000).select(F.lit("a").alias("k"), F.when(F.col("id") == 0, 50 * 20000).otherwise(F.col("id")).alias("t"))
-    sizes = with_segments(df, ["k"], "t", 100).groupBy("_segment").count().toPandas()["count"]
-    assert sizes.sum() == 20000 and sizes.max() <= 1000 and len(sizes) >= 30
+@pytest.mark.parametrize("shape", SHAPES)
+def test_segments_are_even(spark, shape):
+    df = spark.range(6000).select(F.lit("a").alias("k"), F.expr(SHAPES[shape]).alias("t"), "id")
+    few = df.filter("id < 20").withColumn("k", F.lit("b"))
+    sizes = with_segments(df.union(few), ["k"], ["t", "id"], 200).groupBy("k", "_segment", "_segments").count().toPandas()
+    hot = sizes[sizes.k == "a"]
+    assert hot["count"].sum() == 6000 and hot["count"].max() <= 400 and len(hot) >= 25 and set(hot._segments) == {2}
+    assert sizes[sizes.k == "b"][["_segment", "_segments", "count"]].values.tolist() == [[0, 1, 20]]
+
+
+def test_any_number_of_keys_is_split(spark):
+    df = spark.range(3000).select((F.col("id") % 30).alias("k"), F.col("id").alias("t"))
+    cut = with_segments(df, ["k"], ["t"], 50)
+    assert cut.filter("_segments = 2").count() == 3000 and cut.groupBy("k", "_segment").count().agg(F.max("count")).first()[0] <= 100
 
 
 def test_scan_without_keys(spark):

@@ -193,6 +193,12 @@ def test_number_text(spark):
     assert got == ["0.0", "1.5", "-2.25", "10000000.0", "-10000000.0", "123456789.125", "0.0001"]
 
 
+def test_number_text_reads_back(spark):
+    values = [0.0001234567890123456, 1e-13, 123456789012.34567, 2.0**60 + 512, 1e300, 5e-324, 0.1 + 0.2, -1e-19]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [float(r[0]) for r in df.select(text.number_text(F.col("v"))).collect()] == values
+
+
 def test_zone_label_shows_unlimited_bounds(spark):
     df = spark.sql("select -1e7D as x_start, 1e3D as x_end, -1e7D as y_start, 1e7D as y_end, 0D as z_start, 5D as z_end")
     assert text.zone_label(df).first()["label"] == "Server zone | x ∞ -> 1000.0 | y ∞ -> ∞ | z 0.0 -> 5.0 |"
@@ -231,33 +237,6 @@ def test_point_on_sphere_lies_one_above_and_is_fixed(spark):
     assert abs(np.mean([r["pz"] for r in a])) < 1.5
 
 
-def test_default_grid_of_one_tile(spark):
-    tile = spark.createDataFrame([(3, "t", -1.0, -1.0, 2.0)], "face int, path string, u double, v double, size double")
-    assert tiles.grid_size() == 62 and tiles.grid_size(collision=True) == 42
-    rows = tiles.tile_vertices(tile, 100.0).toPandas().sort_values("vertex", ignore_index=True)
-    assert len(rows) == 62 * 62 and set(rows["vertex"]) == set(range(3844))
-    assert np.allclose(rows["height"], 100.0)
-    grid = tiles.tile_triangles(spark.range(1).select()).toPandas()
-    assert len(grid) == 61 * 61 * 2 and grid[["a", "b", "c"]].to_numpy().max() == 3843
-    assert grid.iloc[0][["a", "b", "c"]].tolist() == [0, 62, 63] and grid.iloc[1][["a", "b", "c"]].tolist() == [0, 63, 1]
-
-
-def test_normals_of_a_small_grid_against_numpy(spark):
-    edge = 6
-    tile = spark.createDataFrame([(1, "t", -0.5, 0.0, 0.5)], "face int, path string, u double, v double, size double")
-    vertices = tiles.tile_vertices(tile, 50.0, edge, lambda d: {"macro": d[0], "micro": d[1]})
-    grid = tiles.tile_triangles(spark.range(1).select(), edge)
-    got = tiles.vertex_normals(vertices, grid, ["path"]).toPandas().sort_values("vertex")[["nx", "ny", "nz"]].to_numpy()
-    v = vertices.toPandas().sort_values("vertex")[["x", "y", "z"]].to_numpy()
-    want = np.zeros_like(v)
-    for a, b, c in grid.toPandas()[["a", "b", "c"]].to_numpy():
-        n = -np.cross(v[b] - v[a], v[c] - v[a])
-        n /= np.linalg.norm(n)
-        want[[a, b, c]] += n
-    want /= np.linalg.norm(want, axis=1, keepdims=True)
-    assert np.allclose(got, want)
-
-
 def test_quadtree_tiles_cover_each_face_once(spark):
     focus = spark.createDataFrame([(0.0, 0.0, -10.0), (10.0, 0.0, 0.0)], "x double, y double, z double")
     found = tiles.quadtree_tiles(spark, focus, 10.0, max_depth=4).toPandas()

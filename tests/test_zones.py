@@ -29,8 +29,7 @@ def two_zones(spark):
     )
 
 
-@pytest.mark.parametrize("scan_zones", [64, 0])
-def test_membership_fixture(spark, two_zones, scan_zones):
+def test_membership_fixture(spark, two_zones):
     """Coordinates arrive as text; the third player is in no zone at all."""
     x, y = "-25.934005737305", "-0.014608105644584"
     players = spark.createDataFrame(
@@ -39,7 +38,7 @@ def test_membership_fixture(spark, two_zones, scan_zones):
     ).withColumns({c: F.col(c).cast("double") for c in "xyz"})
     axis = {r["key"]: r["failed_axis"] for r in zones.in_own_zone(players, two_zones).collect()}
     assert axis == {"a": None, "b": "Z", "c": "Z"}
-    plan = zones.plan_transfers(players, two_zones, ["key"], scan_zones=scan_zones)
+    plan = zones.plan_transfers(players, two_zones, ["key"])
     assert {(r["key"], r["target_name"], r["status"]) for r in plan.collect()} == {
         ("b", "gameserver0102", "transfer"),
         ("c", None, "no_server"),
@@ -106,7 +105,7 @@ def test_overloaded_server_with_players_due_does_not_report(spark):
     assert zones.overload_report(calm, split, ["k"], changing).isEmpty()
 
 
-def test_grid_join_equals_scan_on_overlapping_zones(spark):
+def test_overlapping_zones_by_brute_force(spark):
     rng = np.random.default_rng(1)
     n = 200
     zs = pd.DataFrame({"seq": rng.permutation(n), "id": range(n), "name": [f"z{i}" for i in range(n)]})
@@ -117,9 +116,24 @@ def test_grid_join_equals_scan_on_overlapping_zones(spark):
         zs[f"{a}_start"], zs[f"{a}_end"] = np.where(size > 1e9, -2e10, start), np.where(size > 1e9, 2e10, start + size)
     pts = pd.DataFrame({"k": range(400), "server_id": rng.integers(0, n, 400), **{a: rng.uniform(-60, 60, 400) for a in "xyz"}})
     zdf, pdf = spark.createDataFrame(zs), spark.createDataFrame(pts)
-    scan = {r["k"]: r["target_id"] for r in zones.zone_assign(pdf, zdf, ["k"], scan_zones=n).collect()}
-    grid = {r["k"]: r["target_id"] for r in zones.zone_assign(pdf, zdf, ["k"], scan_zones=0).collect()}
-    assert scan == grid and len(set(scan.values())) > 10
+    want = {}
+    for p in pts.itertuples():
+        fits = zs[(zs.id != p.server_id) & np.logical_and.reduce([(zs[f"{a}_start"] <= getattr(p, a)) & (getattr(p, a) < zs[f"{a}_end"]) for a in "xyz"])]
+        want[p.k] = None if fits.empty else int(fits.sort_values("seq").id.iloc[0])
+    got = {r["k"]: r["target_id"] for r in zones.zone_assign(pdf, zdf, ["k"]).collect()}
+    assert got == want and len(set(got.values())) > 10
+
+
+@pytest.mark.parametrize("more", [0, 3000])
+def test_null_infinite_and_text_zones(spark, more):
+    """Few and many zones give the same rows; the additional ones lie elsewhere."""
+    inf, schema = float("inf"), "seq int, id string, name string, x_start double, x_end double, y_start double, y_end double, z_start double, z_end double"
+    rows = [(0, "a", "null bound", None, 9.0, -9.0, 9.0, -9.0, 9.0), (1, "b", "open", -inf, inf, -9.0, 9.0, -inf, 9.0), (2, "c", "box", 0.0, 5.0, 0.0, 50.0, 0.0, 5.0)]
+    rows += [(3 + i, f"m{i}", "far", 1e5 + i, 1e5 + i + 1, 0.0, 1.0, 0.0, 1.0) for i in range(more)]
+    points = [("p", "b", 1.0, 2.0, 3.0), ("q", "c", 1.0, 2.0, 3.0), ("r", None, 1.0, 40.0, 3.0), ("s", "b", -4.0, 0.0, 0.0), ("t", "c", None, 0.0, 0.0)]
+    df = spark.createDataFrame(points, "k string, server_id string, x double, y double, z double")
+    got = {r["k"]: r["target_id"] for r in zones.zone_assign(df, spark.createDataFrame(rows, schema), ["k"]).collect()}
+    assert got == {"p": "c", "q": "b", "r": "c", "s": None, "t": None}
 
 
 def test_every_point_on_a_shared_face_has_one_zone(spark):
@@ -135,10 +149,10 @@ def test_every_point_on_a_shared_face_has_one_zone(spark):
     assert len(got) == 16 and len({r["target_id"] for r in got}) == 16
 
 
-def test_zone_scan_adds_no_shuffle(spark, two_zones):
-    points = spark.range(100).select("id", *[F.lit(0.0).alias(a) for a in "xyz"])
-    plan = zones.zone_assign(points, two_zones, ["id"], own=None)._jdf.queryExecution().toString()
-    assert "Exchange" not in plan and "Join" not in plan
+def test_zone_lookup_does_not_shuffle_points(spark, two_zones):
+    points = spark.range(100).select("id", *[F.col("id").cast("double").alias(a) for a in "xyz"])
+    plan = zones.zone_assign(points, two_zones, ["id"], own=None)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "NestedLoop" not in plan
 
 
 def test_spawn_points(spark):

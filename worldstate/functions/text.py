@@ -30,11 +30,17 @@ def accept_player_name(name: Column, default: Column | str) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """Decimal text of a DOUBLE without exponent, at least one digit after the point."""
-    plain = F.rtrim(value.cast("decimal(38,12)").cast("string"), F.lit("0"))
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    small = (F.abs(value) < 1e7) & ((F.abs(value) >= 1e-3) | (value == 0))
-    return F.when(small | (F.abs(value) >= 1e25), value.cast("string")).otherwise(plain)
+    """Shortest text that reads back as the same DOUBLE, with at least one digit after the point.
+
+    Without exponent from 1e-20 up to 1e20; beyond that the exponent stays.
+    """
+
+    def plain(kind: str) -> Column:
+        digits = F.rtrim(text.try_cast(kind).cast("string"), F.lit("0"))
+        return F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+
+    text, size = value.cast("string"), F.abs(value)
+    return F.when((size >= 1e7) & (size < 1e20), plain("decimal(38,17)")).when((size < 1e-3) & (size >= 1e-20), plain("decimal(38,37)")).otherwise(text)
 
 
 def zone_label(df: DataFrame, name: str = "label") -> DataFrame:
@@ -64,10 +70,10 @@ def format_chat_line(
     channel: str = "channel",
     content: str = "content",
 ) -> DataFrame:
-    """``[hh:mm:ss] : author (CHANNEL) content``; no tag for UNSPECIFIED."""
+    """``[hh:mm:ss] : author (CHANNEL) content``; no tag for UNSPECIFIED and unknown channels."""
     names = F.create_map(*[F.lit(v) for pair in enumerate(CHANNELS) for v in pair])
     tag = F.when(F.col(channel) == UNSPECIFIED, F.lit("")).otherwise(
-        F.concat(F.lit("("), F.try_element_at(names, F.col(channel).cast("int")), F.lit(") "))
+        F.coalesce(F.concat(F.lit("("), F.try_element_at(names, F.col(channel).cast("int")), F.lit(") ")), F.lit(""))
     )
     stamp = F.date_format(F.col(at), "HH:mm:ss")
     line = F.concat(F.lit("["), stamp, F.lit("] : "), F.col(author), F.lit(" "), tag, F.col(content))

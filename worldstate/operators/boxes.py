@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from worldstate.session import cut_lineage
+
 UNBOUNDED = 2.0**31
 FINEST = -16  # smallest cell edge 2^-16
 
@@ -59,3 +61,27 @@ def point_box_pairs(
         is_open = F.col("_open").bitwiseAND(1 << i) != 0
         probes = probes.withColumn(f"_c{i}", _cell(value, edge, is_open))
     return probes.join(laid, [*on, *_CELL]).filter(condition).drop(*_CELL)
+
+
+def with_box_lists(
+    points: DataFrame, boxes: DataFrame, at: Sequence[Column], lows: Sequence[Column], highs: Sequence[Column]
+) -> tuple[DataFrame, list[Column]]:
+    """``points`` with, per grid level in use, the list of boxes (as structs) laid on the point's cell.
+
+    The boxes are grouped by cell first, so a point joins at most one list per level and stays one
+    row. There are a few dozen levels whatever the number of boxes. A list holds the boxes of
+    about one size that overlap one cell.
+    """
+    item = F.struct(*[F.col(c) for c in boxes.columns])
+    lists = _lay_out(boxes, lows, highs).groupBy(*_CELL).agg(F.collect_list(item).alias("_list"))
+    lists = cut_lineage(lists, "box-lists")
+    levels = sorted(tuple(r) for r in lists.select("_level", "_open").distinct().collect())
+    columns = []
+    for n, (level, open_axes) in enumerate(levels):
+        names = [f"_at{n}_{i}" for i in range(3)]
+        own = lists.filter((F.col("_level") == level) & (F.col("_open") == open_axes))
+        own = own.select(*[F.col(f"_c{i}").alias(name) for i, name in enumerate(names)], F.col("_list").alias(f"_list{n}"))
+        cells = {name: _cell(value, F.lit(2.0**level), F.lit(bool(open_axes & 1 << i))) for i, (name, value) in enumerate(zip(names, at))}
+        points = points.withColumns(cells).join(own, names, "left").drop(*names)
+        columns.append(F.coalesce(F.col(f"_list{n}"), F.array().cast(lists.schema["_list"].dataType)))
+    return points, columns

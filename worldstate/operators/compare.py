@@ -35,7 +35,12 @@ def diff_tables(a: DataFrame, b: DataFrame, keys: Sequence[str], deep: bool = Tr
         elif kinds_a[c] != kinds_b[c] and not (kinds_a[c] in _WHOLE and kinds_b[c] in _WHOLE) and deep:
             status = status.otherwise(DIFFERENT)
         else:
-            status = status.when(here.eqNullSafe(there), EQUAL).otherwise(DIFFERENT)
+            if (kinds_a[c] == "string") != (kinds_b[c] == "string"):  # by value; a text that is no number differs
+                same = F.equal_null(here.try_cast("double"), there.try_cast("double")) & (here.isNull() == there.isNull())
+                same = same & (here.try_cast("double").isNotNull() | here.isNull())
+            else:
+                same = here.eqNullSafe(there)
+            status = status.when(same, EQUAL).otherwise(DIFFERENT)
         return F.struct(
             F.lit(c).alias("column"),
             here.cast("string").alias("left_value"),

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from worldstate.operators.ordered import ROWS_PER_TASK, Ordered, last_row, order_value
 
@@ -31,30 +32,62 @@ def parse_change_feed(
 ) -> DataFrame:
     """One row per entity of each envelope: kept columns, ``server_id, op, pos``, entity fields.
 
-    Numbers in the JSON may be written as 1 or 1.0. Texts that are no envelope give no rows;
-    ``rejected_envelopes`` returns them.
+    Whole numbers in the JSON may be written as 1 or 1.0. Texts that are no envelope give no rows,
+    a value that is no whole number gives null; ``rejected_envelopes`` returns both kinds.
     """
-    lists = ", ".join(f"{op}: array<struct<{entity_schema}>>" for op in OPS)
-    envelope = F.from_json(payload, f"struct<{lists}, server_id: double>")
-    none = F.array().cast(f"array<struct<{entity_schema}>>")
-
-    def tagged(op: str) -> Column:
-        return F.transform(
-            F.coalesce(F.col(f"_e.{op}"), none),
-            lambda e, i: F.struct(F.lit(op).alias("op"), i.alias("pos"), e.alias("entity")),
-        )
-
+    fields = T.StructType.fromDDL(entity_schema).fields
     kept = [c for c in df.columns if c != payload]
+    values = [_whole(F.col(f"entity.{f.name}"), f.dataType).alias(f.name) if _is_whole(f) else F.col(f"entity.{f.name}") for f in fields]
     return (
-        df.withColumn("_e", envelope)
-        .select(*kept, F.col("_e.server_id").cast(server_type).alias("server_id"), F.inline(F.concat(*[tagged(op) for op in OPS])))
-        .select(*kept, "server_id", "op", "pos", "entity.*")
+        df.withColumn("_e", F.from_json(payload, _envelope(fields)))
+        .select(*kept, F.col("_e.server_id").cast(server_type).alias("server_id"), F.inline(_entities(fields)))
+        .select(*kept, "server_id", "op", "pos", *values)
     )
 
 
-def rejected_envelopes(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Payloads that are not JSON objects."""
-    return df.filter(F.json_object_keys(F.col(payload)).isNull())
+def _is_whole(field: T.StructField) -> bool:
+    return isinstance(field.dataType, T.IntegralType)
+
+
+def _envelope(fields: Sequence[T.StructField]) -> T.StructType:
+    """Whole-number fields are read as text, so that no digit is lost and bad ones can be told."""
+    entity = T.StructType([T.StructField(f.name, T.StringType() if _is_whole(f) else f.dataType) for f in fields])
+    lists = [T.StructField(op, T.ArrayType(entity)) for op in OPS]
+    return T.StructType([*lists, T.StructField("server_id", T.DoubleType())])
+
+
+def _entities(fields: Sequence[T.StructField]) -> Column:
+    none = F.array().cast(_envelope(fields)[OPS[0]].dataType)
+
+    def tagged(op: str) -> Column:
+        listed = F.coalesce(F.col(f"_e.{op}"), none)
+        return F.transform(listed, lambda e, i: F.struct(F.lit(op).alias("op"), i.alias("pos"), e.alias("entity")))
+
+    return F.concat(*[tagged(op) for op in OPS])
+
+
+def _whole(text: Column, kind: T.DataType) -> Column:
+    number = text.try_cast("decimal(38,6)")
+    return F.when(number == F.floor(number), number).try_cast(kind)
+
+
+def rejected_envelopes(df: DataFrame, payload: str = "payload", entity_schema: str | None = None) -> DataFrame:
+    """Payloads that are not JSON objects and, with the schema, those with a value in a whole-number
+    field that is none."""
+    bad = F.json_object_keys(F.col(payload)).isNull()
+    if entity_schema is None:
+        return df.filter(bad)
+    fields = T.StructType.fromDDL(entity_schema).fields
+
+    def lost(item: Column) -> Column:
+        out = F.lit(False)
+        for f in filter(_is_whole, fields):
+            text = item["entity"][f.name]
+            out = out | (text.isNotNull() & _whole(text, f.dataType).isNull())
+        return out
+
+    read = df.withColumn("_e", F.from_json(payload, _envelope(fields)))
+    return read.filter(bad | F.exists(_entities(fields), lost)).select(*df.columns)
 
 
 def publish_change_feed(

@@ -6,7 +6,8 @@ Hot keys have many, and the state entering a segment is not known in advance: ev
 segment first runs from a guess (a fresh start), then segments whose entering state turned
 out different run again, until nothing changes. At that point all entering states are
 consistent from the first segment on, so the result equals a sequential fold. Folds that
-forget their past (a flush, a jump, an emptied list) settle after one or two rounds.
+forget their past (a flush, a jump, an emptied list) settle soon; a state that is never
+forgotten moves on by one segment per round.
 """
 
 from __future__ import annotations
@@ -73,7 +74,6 @@ def chained_fold(
     step: Step,
     output: str,
     rows_per_task: int = ROWS_PER_TASK,
-    split_on: str | None = None,
 ) -> DataFrame:
     """Apply ``step`` along each key. ``output`` is the DDL of the columns it adds.
 
@@ -81,7 +81,7 @@ def chained_fold(
     Keys and order columns must not be null.
     """
     group = [*keys, SEG]
-    rows = with_segments(df, keys, split_on or order[0], rows_per_task)
+    rows = with_segments(df, keys, order, rows_per_task)
     split = rows is not None
     if not split:
         rows = df.withColumn(SEG, F.lit(0).cast("bigint"))
@@ -106,7 +106,7 @@ def chained_fold(
 
 
 def _settled_states(hot_rows: DataFrame, keys: list[str], leaving) -> DataFrame:
-    """Entering state per (key, segment); one row per segment, fewer than 40,000."""
+    """Entering state per (key, segment); one row per segment of ``rows_per_task`` rows."""
     group = [*keys, SEG]
     across = Window.partitionBy(*keys).orderBy(SEG)
     entering = cut_lineage(hot_rows.select(*group).distinct().withColumn("_entering", F.lit(None).cast("string")))

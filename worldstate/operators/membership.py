@@ -36,14 +36,14 @@ def membership_intervals(
 def _innermost_step(area: str):
     def run(inside, rows):
         inside = [] if inside is None else inside
-        parents = np.empty(len(rows), dtype="float64")
+        parents = np.empty(len(rows), dtype=object)
         for i, (where, kind) in enumerate(zip(rows[area].tolist(), rows["kind"].tolist())):
             if kind == "enter":
                 if where not in inside:
                     inside.append(where)
             elif where in inside:
                 inside.remove(where)
-            parents[i] = inside[-1] if inside else np.nan
+            parents[i] = inside[-1] if inside else None
         return inside, {"parent": parents}
 
     return run
@@ -58,9 +58,9 @@ def current_parent(
 ) -> DataFrame:
     """Adds ``parent_area``: the area entered last and not yet left, after each event; else null.
 
-    The state is the short list of areas the entity is in. Area ids must be whole numbers.
+    The state is the short list of areas the entity is in. Areas may be numbers or texts.
     """
-    rows = events.select(*keys, *order, area, "kind")
-    folded = chained_fold(rows, keys, order, _innermost_step(area), "parent double", rows_per_task)
-    known = F.when(~F.isnan("parent"), F.col("parent").cast(dict(events.dtypes)[area]))
-    return folded.withColumn("parent_area", known).drop("parent")
+    kind = dict(events.dtypes)[area]
+    rows = events.select(*keys, *order, F.col(area).cast("string").alias(area), "kind")  # texts pass Python unchanged
+    folded = chained_fold(rows, keys, order, _innermost_step(area), "parent string", rows_per_task)
+    return folded.withColumns({area: F.col(area).cast(kind), "parent_area": F.col("parent").cast(kind)}).drop("parent")

@@ -1,14 +1,11 @@
 """Order-dependent operators over keys of any size.
 
 A plain window puts all rows of a key into one task. Here keys holding more than
-``rows_per_task`` rows are first cut into consecutive ranges of the order column
-("segments"). Each window runs per (key, segment); what a segment needs to know about
-earlier (or later) rows is a one-row summary per segment, combined across the segments
-of a key and joined back. Results equal those of the plain window.
-
-Sizes are bounded by construction: at most 20,000 keys are split, into segments of at least
-1/20000 of their rows together, so there are at most 40,000 segments, whatever the input, cut
-along 16 times as many bins of equal width.
+``rows_per_task`` rows are first cut into consecutive ranges of the whole order ("segments"), by
+sampled ranks, so outliers, crowded times and equal beginnings of texts are cut like all else. Each
+window runs per (key, segment); what a segment needs to know about earlier (or later) rows is a
+one-row summary per segment, combined across the segments of a key and joined back. Results equal
+those of the plain window. Rows whose whole order is equal stay together.
 """
 
 from __future__ import annotations
@@ -22,21 +19,14 @@ from pyspark.sql import types as T
 from worldstate.session import cut_lineage
 
 ROWS_PER_TASK = 2_000_000
-MAX_SPLIT_KEYS = 20_000
-BINS_PER_SEGMENT = 16
 
 SEG = "_segment"
 PARTS = "_segments"
 
 
 def order_value(df: DataFrame, name: str) -> Column:
-    """The order column as a DOUBLE that never decreases when the column grows.
-
-    Texts are read as numbers by their first six bytes.
-    """
+    """A time or number as a DOUBLE that never decreases when the column grows; times in microseconds."""
     kind = df.schema[name].dataType
-    if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.substring(F.hex(F.col(name)), 1, 12), 12, "0"), 16, 10).cast("double")
     if isinstance(kind, T.TimestampNTZType):
         micros = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{name}`)")
         return micros.cast("double")
@@ -45,58 +35,30 @@ def order_value(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def split_keys(df: DataFrame, keys: Sequence[str], split_on: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """The largest keys above ``rows_per_task`` rows, at most 20,000: ``keys, _lo, _hi, _segments``.
+def with_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
+    """``df`` with ``_segment`` and ``_segments`` (2 for keys that are split, else 1); None when none is.
 
-    Keys beyond those stay whole; each then holds less than 1/20000 of all rows.
-    """
-    value = order_value(df, split_on)
-    sizes = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
-    )
-    large = sizes.filter((F.col("_n") > rows_per_task) & (F.col("_hi") > F.col("_lo")))
-    largest = large.orderBy(F.desc("_n"), *keys).limit(MAX_SPLIT_KEYS)
-    share = F.sum("_n").over(Window.partitionBy(F.lit(0))) / MAX_SPLIT_KEYS
-    limit = F.greatest(F.lit(float(rows_per_task)), share)
-    return largest.select(*keys, "_lo", "_hi", F.ceil(F.col("_n") / limit).alias(PARTS))
-
-
-def with_segments(
-    df: DataFrame, keys: Sequence[str], split_on: str, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame | None:
-    """``df`` with ``_segment`` / ``_segments`` columns; None when no key needs splitting.
-
-    Runs one counting job over the key and order columns, and one more over the hot keys' rows.
+    Rows of all large keys are range partitioned by key and order and written once, so segments
+    can't shift and later steps read files. Segments hold about ``rows_per_task`` rows each. Rows with
+    a null key are never split.
     """
-    hot = split_keys(df, keys, split_on, rows_per_task)
-    if hot.isEmpty():
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = cut_lineage(sizes.filter(F.col("_n") > rows_per_task), "hot-keys")
+    total = hot.agg(F.sum("_n")).first()[0]
+    if not total:
         return None
-    hot = cut_lineage(hot, "hot-keys")
-    bins = F.col(PARTS) * BINS_PER_SEGMENT
-    share = (order_value(df, split_on) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    bin_no = F.greatest(F.least(F.floor(share * bins), bins - 1), F.lit(0))
-    sliced = df.join(F.broadcast(hot), list(keys), "left").withColumn("_bin", bin_no)
-
-    # bins of equal width, put together into segments of about equal size
-    filled = sliced.filter(F.col("_bin").isNotNull()).groupBy(*keys, "_bin").agg(
-        F.count(F.lit(1)).alias("_n"), F.first(PARTS).alias(PARTS)
-    )
-    whole = Window.partitionBy(*keys)
-    before = F.coalesce(F.sum("_n").over(whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    segment = F.floor(before * F.col(PARTS) / F.sum("_n").over(whole))
-    segments = cut_lineage(filled.select(*keys, "_bin", segment.alias(SEG)), "segments")
-    return (
-        sliced.join(F.broadcast(segments), [*keys, "_bin"], "left")
-        .withColumn(SEG, F.coalesce(SEG, F.lit(0).cast("bigint")))
-        .withColumn(PARTS, F.coalesce(F.col(PARTS), F.lit(1).cast("bigint")))
-        .select(*df.columns, SEG, PARTS)
-    )
+    marked = df.join(hot.select(*keys, F.lit(2).cast("bigint").alias(PARTS)), list(keys), "left")
+    ranges = marked.filter(F.col(PARTS).isNotNull()).repartitionByRange(-(-total // rows_per_task), *keys, *order)
+    cut = cut_lineage(ranges.withColumn(SEG, F.spark_partition_id().cast("bigint")), "segments")
+    rest = marked.filter(F.col(PARTS).isNull()).withColumns({SEG: F.lit(0).cast("bigint"), PARTS: F.lit(1).cast("bigint")})
+    return cut.unionByName(rest).select(*df.columns, SEG, PARTS)
 
 
 class Ordered:
     """Rows of each key in a total order; methods add columns, ``result()`` ends the chain.
 
-    All methods share one partitioning, so a chain costs one shuffle of the rows.
+    All methods share one partitioning, so a chain costs one shuffle of the rows; with split keys
+    each step adds a pass over the written segments for its summaries.
     """
 
     def __init__(
@@ -105,14 +67,13 @@ class Ordered:
         keys: Sequence[str],
         order: Sequence[str],
         rows_per_task: int = ROWS_PER_TASK,
-        split_on: str | None = None,
     ):
         self._columns = list(df.columns)
         if not keys:
             df = df.withColumn("_all", F.lit(0))
         self.keys = list(keys) or ["_all"]
         self.order = list(order)
-        segmented = with_segments(df, self.keys, split_on or self.order[0], rows_per_task)
+        segmented = with_segments(df, self.keys, self.order, rows_per_task)
         self._split = segmented is not None
         self.df = segmented if self._split else df
         group = [*self.keys, SEG] if self._split else self.keys

@@ -1,4 +1,4 @@
-"""Planet tiles: quadtree by distance, vertex grids, triangles, normals, asset scatter."""
+"""Planet tiles: quadtree by distance, asset scatter, tile changes."""
 
 from __future__ import annotations
 
@@ -9,16 +9,14 @@ from pyspark.sql import functions as F
 
 from worldstate.functions.spatial import cell_seed
 from worldstate.functions.terrain import FACES, hash_draw, terrain_elevation, with_unit_direction
-from worldstate.functions.vectors import Vec, vec_cross, vec_normalize
+from worldstate.functions.vectors import Vec, vec_normalize
 from worldstate.operators.chunks import chunk_changes
 from worldstate.operators.proximity import near_any
 from worldstate.session import cut_lineage
 
-# fixed values of the tile grid
+# fixed values of the quadtree
 MAX_DEPTH = 8
-RESOLUTION, SKIRT, COLLISION_LESS = 60, 2, 20
 SPLIT_FACTOR = 0.7
-EDGE_DROP = 0.01
 # fixed values: assets per cell, share of the cell they spread over
 MIN_ASSETS, MAX_ASSETS, JITTER = 3, 10, 0.5
 
@@ -77,89 +75,6 @@ def quadtree_tiles(
     return found
 
 
-def grid_size(resolution: int = RESOLUTION, collision: bool = False) -> int:
-    """Vertices per tile edge."""
-    return resolution + SKIRT - (COLLISION_LESS if collision else 0)
-
-
-def tile_vertices(
-    tiles: DataFrame,
-    radius: float,
-    edge: int = RESOLUTION + SKIRT,
-    noise: Noise | None = None,
-    elevation_scale: float = 1.0,
-) -> DataFrame:
-    """Grid of ``edge`` × ``edge`` vertices per tile, relative to the tile's origin on the sphere.
-
-    ``noise`` maps the unit direction of a vertex to its noise columns. Adds ``vertex`` (x + y·edge),
-    x, y, z and ``height``, the distance from the planet's centre. Needs no shuffle.
-    """
-    origin, unit = ["_ox", "_oy", "_oz"], ["_dx", "_dy", "_dz"]
-    line = F.sequence(F.lit(0), F.lit(edge - 1))
-    step = F.col("size") / float(edge - SKIRT - 1)
-    based = with_unit_direction(tiles, F.col("face"), F.col("u"), F.col("v"), origin)
-    grid = based.withColumn("_gx", F.explode(line)).withColumn("_gy", F.explode(line))
-    u, v = F.col("u") + F.col("_gx") * step, F.col("v") + F.col("_gy") * step
-    grid = with_unit_direction(grid, F.col("face"), u, v, unit)
-    direction = tuple(F.col(d) for d in unit)
-    lift = terrain_elevation(noise(direction)) * elevation_scale if noise else F.lit(0.0)
-    grid = grid.withColumn("height", radius + lift)
-    rim = (F.col("_gx").isin(0, edge - 1)) | (F.col("_gy").isin(0, edge - 1))
-    drop = F.when(rim, EDGE_DROP).otherwise(0.0)
-    places = [d * F.col("height") - F.col(o) * radius - d * drop for d, o in zip(direction, origin)]
-    return grid.select(
-        *tiles.columns,
-        (F.col("_gx") + F.col("_gy") * edge).alias("vertex"),
-        *[p.alias(a) for p, a in zip(places, "xyz")],
-        "height",
-    )
-
-
-def tile_triangles(cells: DataFrame, edge: int = RESOLUTION + SKIRT) -> DataFrame:
-    """Adds triangle, a, b, c (vertex numbers): two triangles per grid cell, for every row.
-
-    ``cells`` is a table of tiles, or one row for the bare index list.
-    """
-    number = F.explode(F.sequence(F.lit(0), F.lit(2 * (edge - 1) * (edge - 1) - 1)))
-    rows = cells.withColumn("triangle", number)
-    cell = F.floor(F.col("triangle") / 2).cast("int")
-    corner = cell % (edge - 1) + F.floor(cell / (edge - 1)).cast("int") * edge
-    second = F.col("triangle") % 2
-    return rows.withColumns(
-        {"a": corner, "b": corner + edge + second, "c": corner + F.when(second == 0, edge + 1).otherwise(1)}
-    )
-
-
-def vertex_normals(vertices: DataFrame, triangles: DataFrame, tile: list[str]) -> DataFrame:
-    """Unit normal nx, ny, nz per vertex: sum of the unit normals of its triangles.
-
-    Triangles are the same for every tile. Each vertex is sent to its triangles (at most six on a
-    grid), three corners make a face normal, and each face normal is summed at its corners.
-    """
-    corners = triangles.select(
-        "triangle", F.posexplode(F.array("a", "b", "c")).alias("_corner", "vertex"), F.array("a", "b", "c").alias("_all")
-    )
-    spread = vertices.select(*tile, "vertex", "x", "y", "z").join(corners, "vertex")
-    at = {
-        f"{a}{i}": F.max(F.when(F.col("_corner") == i, F.col(a))).alias(f"{a}{i}") for i in range(3) for a in "xyz"
-    }
-    faces = spread.groupBy(*tile, "triangle").agg(F.first("_all").alias("_all"), *at.values())
-    p0, p1, p2 = (tuple(F.col(f"{a}{i}") for a in "xyz") for i in range(3))
-    ab = tuple(q - p for p, q in zip(p0, p1))
-    ac = tuple(q - p for p, q in zip(p0, p2))
-    names = ("fx", "fy", "fz")
-    faces = faces.withColumns(dict(zip(names, vec_cross(ab, ac))))
-    unit = vec_normalize(tuple(F.col(n) for n in names))
-    faces = faces.withColumns({n: -c for n, c in zip(names, unit)})
-    summed = (
-        faces.select(*tile, F.explode("_all").alias("vertex"), "fx", "fy", "fz")
-        .groupBy(*tile, "vertex")
-        .agg(*[F.sum(f"f{a}").alias(f"_s{a}") for a in "xyz"])
-    )
-    unit = vec_normalize(tuple(F.col(f"_s{a}") for a in "xyz"))
-    return summed.select(*tile, "vertex", *[n.alias(f"n{a}") for n, a in zip(unit, "xyz")])
-
-
 def scatter_assets(
     cells: DataFrame,
     kinds: int,

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worldstate.operators.boxes import point_box_pairs
+from worldstate.operators.boxes import with_box_lists
 from worldstate.operators.ordered import ROWS_PER_TASK, Ordered
 from worldstate.session import cut_lineage
 
@@ -16,7 +16,6 @@ DEFAULT_BOUND = 100000.0
 MAX_PLAYERS = 2
 NO_NAME = "Pigeon with no name"
 
-SCAN_ZONES = 64  # zone lists up to this size are written into the plan
 BOUNDS = [f"{axis}_{end}" for axis in "xyz" for end in ("start", "end")]
 
 
@@ -28,69 +27,30 @@ def _holds(zone, x: Column, y: Column, z: Column) -> Column:
     return out
 
 
-def _first_of(listed: Sequence[Row], own: str | None) -> Column:
-    """Number of the first fitting zone of a short list: one CASE, nothing to join.
-
-    Written as text, because building some hundred column objects takes seconds.
-    """
-    cases = []
-    for number, zone in enumerate(listed):
-        tests = [f"{zone[f'{a}_start']!r}D <= double({a}) and double({a}) < {zone[f'{a}_end']!r}D" for a in "xyz"]
-        if own is not None:
-            tests.append(f"not (`{own}` <=> {zone['id']})")
-        cases.append(f"when {' and '.join(tests)} then {number}")
-    return F.expr(f"case {' '.join(cases)} end") if cases else F.lit(None).cast("int")
-
-
-def _pick(listed: Sequence[Row], field: str, kind: str) -> Column:
-    values = F.array(*[F.lit(zone[field]) for zone in listed]).cast(f"array<{kind}>")
-    return F.get(values, F.col("_hit"))
-
-
 def zone_assign(
     points: DataFrame,
     zones: DataFrame,
     key: Sequence[str],
     own: str | None = "server_id",
-    scan_zones: int = SCAN_ZONES,
 ) -> DataFrame:
     """Adds ``target_id, target_name``: first zone in ``seq`` order that holds (x, y, z).
 
-    The point's ``own`` server is skipped; null when no zone holds it. ``key`` must be unique.
-    A zone list of at most ``scan_zones`` rows (checked: one row more is looked at) becomes a CASE
-    expression, without any shuffle; a longer one is joined by grid cell, keeping the smallest
-    ``seq`` per point.
+    The point's ``own`` server is skipped; null when no zone holds it. Points look up the zones
+    of their grid cell, so they aren't shuffled while Spark can broadcast the zones. A zone with a
+    null bound holds nothing, one with an infinite bound is unlimited there.
     """
     zones = zones.select("seq", "id", "name", *[F.col(b).cast("double").alias(b) for b in BOUNDS])
-    listed = zones.limit(scan_zones + 1).collect()
-    if len(listed) <= scan_zones:
-        listed = sorted(listed, key=lambda zone: zone["seq"])
-        kinds = dict(zones.dtypes)
-        found = points.withColumn("_hit", _first_of(listed, own))
-        return found.select(
-            *points.columns,
-            _pick(listed, "id", kinds["id"]).alias("target_id"),
-            _pick(listed, "name", kinds["name"]).alias("target_name"),
-        )
-
     x, y, z = (F.col(c).cast("double") for c in "xyz")
-    named = zones.select(*[F.col(c).alias(f"_z_{c}") for c in zones.columns])
-    inside = _holds(lambda f: F.col(f"_z_{f}"), x, y, z)
-    if own is not None:
-        inside = inside & ~F.col("_z_id").eqNullSafe(F.col(own))
-    extra = [] if own is None or own in key else [own]
-    pairs = point_box_pairs(
-        points.select(*key, *[c for c in "xyz" if c not in key], *extra),
-        named,
-        (x, y, z),
-        [F.col(f"_z_{a}_start") for a in "xyz"],
-        [F.col(f"_z_{a}_end") for a in "xyz"],
-        inside,
-    )
-    first = pairs.groupBy(*key).agg(
-        F.min_by(F.struct(F.col("_z_id").alias("target_id"), F.col("_z_name").alias("target_name")), "_z_seq").alias("_hit")
-    )
-    return points.join(first, list(key), "left").select(*points.columns, "_hit.target_id", "_hit.target_name")
+
+    def fits(zone: Column) -> Column:
+        inside = _holds(lambda bound: zone[bound], x, y, z)
+        return inside if own is None else inside & ~zone["id"].eqNullSafe(F.col(own))
+
+    lows, highs = ([F.col(f"{a}_{end}") for a in "xyz"] for end in ("start", "end"))
+    found, lists = with_box_lists(points, zones, (x, y, z), lows, highs)
+    hit = F.array_min(F.filter(F.concat(*lists), fits)) if lists else F.lit(None).cast(zones.schema)
+    found = found.withColumn("_hit", hit)
+    return found.select(*points.columns, F.col("_hit.id").alias("target_id"), F.col("_hit.name").alias("target_name"))
 
 
 def in_own_zone(points: DataFrame, zones: DataFrame) -> DataFrame:
@@ -124,10 +84,9 @@ def plan_transfers(
     zones: DataFrame,
     key: Sequence[str],
     in_transfer: DataFrame | None = None,
-    scan_zones: int = SCAN_ZONES,
 ) -> DataFrame:
     """Out-of-zone points with their target server; ``status`` is transfer or no_server."""
-    moving = zone_assign(out_of_zone(points, zones, key, in_transfer), zones, key, scan_zones=scan_zones)
+    moving = zone_assign(out_of_zone(points, zones, key, in_transfer), zones, key)
     return moving.withColumn("status", F.when(F.col("target_id").isNull(), "no_server").otherwise("transfer"))
 
 
@@ -172,11 +131,12 @@ def overload_report(
     in_transfer: DataFrame | None = None,
     max_players: int = MAX_PLAYERS,
 ) -> DataFrame:
-    """Positions on overloaded servers: ``id, players, x, y, z``, one row per player.
+    """Positions on overloaded servers: ``id, players``, key, ``x, y, z``, one row per placed player.
 
     A server reports when it has more than ``max_players`` players, is not changing its zone,
     and none of its players is due for transfer (the check starts those transfers instead).
-    Positions of exactly (0, 0, 0) are left out: their spawn is not set yet.
+    Positions of exactly (0, 0, 0) are left out: their spawn is not set yet. A server without any
+    other position still reports, with one row of null position.
     """
     due = plan_transfers(players, zones, key, in_transfer).filter(F.col("status") == "transfer")
     loaded = players_per_server(players).filter(F.col("players") > max_players)
@@ -184,7 +144,7 @@ def overload_report(
     if changing is not None:
         loaded = loaded.join(changing.select(F.col("id").alias("server_id")).distinct(), "server_id", "left_anti")
     placed = players.filter((F.col("x") != 0) | (F.col("y") != 0) | (F.col("z") != 0))
-    return placed.join(loaded, "server_id").select(F.col("server_id").alias("id"), "players", *key, "x", "y", "z")
+    return loaded.join(placed, "server_id", "left").select(F.col("server_id").alias("id"), "players", *key, "x", "y", "z")
 
 
 def overload_messages(
@@ -193,7 +153,8 @@ def overload_messages(
     """Report messages ``(id, part, positions, payload)``; long lists are spread over parts."""
     rows = Ordered(report, ["id"], order, rows_per_task).row_number("_n").result()
     part = F.floor((F.col("_n") - 1) / max_positions).cast("int").alias("part")
-    listed = F.sort_array(F.collect_list(F.struct("_n", F.struct("x", "y", "z").alias("p"))))
+    place = F.when(F.col("x").isNotNull(), F.struct("_n", F.struct("x", "y", "z").alias("p")))
+    listed = F.sort_array(F.collect_list(place))
     grouped = rows.groupBy("id", part).agg(F.transform(listed, lambda s: s["p"]).alias("players"))
     return grouped.select("id", "part", F.size("players").alias("positions"), F.to_json(F.struct("id", "players")).alias("payload"))
 
@@ -203,7 +164,8 @@ def split_plan(report: DataFrame, zones: DataFrame, rows_per_task: int = ROWS_PE
 
     The median comes from row numbers, so a server with any number of positions is fine.
     """
-    report = cut_lineage(report.select("id", "x", "y", "z"), "report")  # read three times below
+    placed = report.filter("x is not null and y is not null and z is not null")
+    report = cut_lineage(placed.select("id", "x", "y", "z"), "report")  # read three times below
     spread = [(F.max(a) - F.min(a)).alias(f"_s{a}") for a in "xyz"]
     wide = report.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), *spread)
     best = F.greatest("_sx", "_sy", "_sz")

@@ -42,7 +42,7 @@ def zone_assign(v):
 @query(f"select p.seq, {_TARGET.format(c='id')} as target_id from moves p")
 def zone_assign_many_zones(v):
     """The grid join taken for long zone lists, on every feed row."""
-    return zones.zone_assign(v.moves, v.zones, ["seq"], scan_zones=0).select("seq", "target_id")
+    return zones.zone_assign(v.moves, v.zones, ["seq"]).select("seq", "target_id")
 
 
 _OUT_ALL = f"""select p.entity_id, p.server_id, p.x, p.y, p.z, {_AXIS} as failed_axis

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from worldstate.operators import chunks, tiles
 from worldstate.plans.registry import query
 from worldstate.plans.world import NEEDED_SQL
-from worldstate.plans.scalars import _ELEVATION, FACE_SQL, PLANE_SQL, r6
+from worldstate.plans.scalars import FACE_SQL, PLANE_SQL
 
-RADIUS, DEPTH, EDGE = 8000.0, 3, 8
+RADIUS, DEPTH = 8000.0, 3
 _UNIT = "sqrt(px*px + py*py + pz*pz)"
 
 
@@ -60,66 +60,6 @@ def _noise(unit):
     return {"macro": unit[0], "micro": unit[2]}
 
 
-def _vertices(v):
-    return tiles.tile_vertices(_tiles(v).filter("is_leaf").select("face", "path", "u", "v", "size"), RADIUS, EDGE, _noise)
-
-
-_STEP = f"size / {EDGE - 3}e0"
-_VERTICES = f"""{_TREE}, grid as (select face, path, u, v, size, gx, gy, u + gx * ({_STEP}) as gu, v + gy * ({_STEP}) as gv
-      from tiles cross join range({EDGE}) a(gx) cross join range({EDGE}) b(gy) where is_leaf),
-    placed as (select face, path, u, v, size, gx, gy, px / {_UNIT} as dx, py / {_UNIT} as dy, pz / {_UNIT} as dz
-      from (select *, {PLANE_SQL.format(u='gu', v='gv')} from grid join faces using (face)) p),
-    origin as (select face, path, px / {_UNIT} * {RADIUS}e0 as ox, py / {_UNIT} * {RADIUS}e0 as oy, pz / {_UNIT} * {RADIUS}e0 as oz
-      from (select face, path, {PLANE_SQL.format(u='u', v='v')} from tiles join faces using (face) where is_leaf) p),
-    vertices as (select face, path, gx + gy * {EDGE} as vertex, height,
-        dx * height - ox - dx * drop_ as x, dy * height - oy - dy * drop_ as y, dz * height - oz - dz * drop_ as z
-      from (select *, {RADIUS}e0 + ({_ELEVATION.replace("macro", "dx").replace("micro", "dz")}) as height,
-          case when gx in (0, {EDGE - 1}) or gy in (0, {EDGE - 1}) then 0.01e0 else 0e0 end as drop_ from placed) h
-      join origin using (face, path))"""
-
-
-@query(
-    f"""{_VERTICES} select face, path, cast(vertex as int) as vertex, round(x, 6) + 0e0 as x, round(y, 6) + 0e0 as y,
-      round(z, 6) + 0e0 as z, round(height, 6) as height from vertices"""
-)
-def tile_vertices(v):
-    return _vertices(v).select("face", "path", "vertex", *[r6(F.col(c)).alias(c) for c in ("x", "y", "z", "height")])
-
-
-_TRIANGLES = f"""select 2*i as triangle, c as a, c + {EDGE} as b, c + {EDGE + 1} as c from (
-      select i, i % {EDGE - 1} + i // {EDGE - 1} * {EDGE} as c from range({(EDGE - 1) ** 2}) r(i)) q
-    union all select 2*i + 1, c, c + {EDGE + 1}, c + 1 from (
-      select i, i % {EDGE - 1} + i // {EDGE - 1} * {EDGE} as c from range({(EDGE - 1) ** 2}) r(i)) q"""
-
-
-@query(
-    f"""{_TREE} select t.face, t.path, triangle, a, b, c from tiles t cross join ({_TRIANGLES}) g where t.is_leaf"""
-)
-def tile_triangles(v):
-    """Index rows of every leaf tile."""
-    return tiles.tile_triangles(_tiles(v).filter("is_leaf").select("face", "path"), EDGE)
-
-
-@query(
-    f"""{_VERTICES}, tri as (select * from ({_TRIANGLES}) g),
-    faces_n as (select p.face, p.path, t.a, t.b, t.c,
-        -((q.y-p.y)*(r.z-p.z) - (q.z-p.z)*(r.y-p.y)) as nx, -((q.z-p.z)*(r.x-p.x) - (q.x-p.x)*(r.z-p.z)) as ny,
-        -((q.x-p.x)*(r.y-p.y) - (q.y-p.y)*(r.x-p.x)) as nz
-      from tri t join vertices p on p.vertex = t.a join vertices q on q.vertex = t.b and q.face = p.face and q.path = p.path
-        join vertices r on r.vertex = t.c and r.face = p.face and r.path = p.path),
-    unit as (select face, path, unnest([a, b, c]) as vertex, nx / l as ux, ny / l as uy, nz / l as uz
-      from (select *, sqrt(nx*nx + ny*ny + nz*nz) as l from faces_n) f),
-    total as (select face, path, vertex, sum(ux) as sx, sum(uy) as sy, sum(uz) as sz from unit group by 1, 2, 3)
-    select face, path, cast(vertex as int) as vertex, {", ".join(f"round(s{a} / sqrt(sx*sx + sy*sy + sz*sz), 6) + 0e0 as n{a}" for a in "xyz")} from total"""
-)
-def vertex_normals(v):
-    grid = tiles.tile_triangles(v.spark.range(1).select(), EDGE)
-    normals = tiles.vertex_normals(_vertices(v), grid, ["face", "path"])
-    return normals.select(
-        "face", "path", F.col("vertex").cast("int").alias("vertex"), *[r6(F.col(f"n{a}")).alias(f"n{a}") for a in "xyz"]
-    )
-
-
 @query()
 def scatter_assets(v):
     cells = chunks.needed_cells(v.latest, v.fields, ["entity_id"])

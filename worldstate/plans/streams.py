@@ -31,18 +31,19 @@ from worldstate.streaming.state_table import (
 )
 
 ORDER = ["ts", "seq"]
+FILES = 4  # files per micro-batch
 
 
 def replay(v: Views, df: DataFrame, closing: DataFrame | None = None) -> DataFrame:
-    """``df`` as a stream of two files of consecutive time; ``closing`` rows come last."""
+    """``df`` as a stream of two micro-batches of consecutive time, several files each; ``closing`` rows come last."""
     df = df.withColumn("ts", F.col("ts").cast("timestamp"))
     folder = fresh_dir(v.spark, "replay")
     middle = df.agg(F.percentile_approx(F.unix_micros("ts"), 0.5).alias("m")).scalar()
     early = F.unix_micros("ts") < middle
     for part in (df.filter(early), df.filter(~early), closing):
         if part is not None:
-            part.coalesce(1).write.mode("append").parquet(folder)
-    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+            part.repartition(FILES).write.mode("append").parquet(folder)
+    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
 
 
 def finished(v: Views, stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -61,7 +61,7 @@ VIEWS: dict[str, str] = {
     "chat": """
         select conv_id as seq_conv, turn, role as author, cast(conv_id % 6 as int) as channel, text as content
         from {conversations}""",
-    "names": "select doc_id as id, substr(text, 1, 60) as raw from {documents}",
+    "names": "select doc_id as id, text as raw from {documents}",
     "fields": """
         select s_suppkey as id, s_name as name, cast((s_suppkey*7919) % 20001 - 10000 as double) as cx, 0e0 as cy,
           cast((s_suppkey*104729) % 20001 - 10000 as double) as cz,
@@ -69,7 +69,7 @@ VIEWS: dict[str, str] = {
         from {supplier}""",
     "config_updates": """
         select ts, event_id as seq, cast(event_id % 20 + 2 as int) as max_players
-        from {events} where event_type='purchase' and event_id % 50 = 0""",
+        from {events} where event_type='purchase'""",
     "membership": """
         select event_id as seq, ts, user_id as entity_id, cast(event_id % 5 as int) as area_id,
           case when event_type in ('view','signup') then 'enter' else 'exit' end as kind
@@ -87,7 +87,7 @@ VIEWS: dict[str, str] = {
     "translations": """
         select part_type as k, min(case when b=0 then nm end) as en, min(case when b=1 then nm end) as fr,
           min(case when b=2 then nm end) as es
-        from (select p_brand as part_type, p_partkey % 4 as b, p_name as nm from {part} where p_partkey < 60) q
+        from (select p_brand as part_type, p_partkey % 4 as b, p_name as nm from {part}) q
         group by part_type""",
     # players placed on the server whose zone holds them
     "homed": """

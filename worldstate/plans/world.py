@@ -274,10 +274,13 @@ def top_differences(v):
     """select id, cast(i - 1 as int) as index, a[i] as left_value, b[i] as right_value,
       case when i > len(a) then 'missing left' when i > len(b) then 'missing right' when a[i] = b[i] then 'equal' else 'different' end as status
     from (select id, a, b, unnest(generate_series(1, greatest(len(a), len(b)))) as i
-      from (select id, string_split(raw, ' ') as a, string_split(lower(substr(raw, 1, 40)), ' ') as b from names) s) q"""
+      from (select id, string_split(raw, ' ') as a, case when id % 3 = 0 then string_split(lower(raw), ' ')[:-2]
+          else string_split(lower(raw), ' ') end as b from names) s) q"""
 )
 def diff_arrays(v):
-    words = v.names.select("id", F.split("raw", " ").alias("a"), F.split(F.lower(F.substring("raw", 1, 40)), " ").alias("b"))
+    lower = F.split(F.lower("raw"), " ")
+    shorter = F.slice(lower, F.lit(1), F.greatest(F.size(lower) - 1, F.lit(0)))  # a word less for every third text
+    words = v.names.select("id", F.split("raw", " ").alias("a"), F.when(F.col("id") % 3 == 0, shorter).otherwise(lower).alias("b"))
     return compare.diff_arrays(words, "a", "b")
 
 

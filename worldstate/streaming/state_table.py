@@ -48,6 +48,19 @@ class PartialStateTable(StateTable):
     def write(self, changes: DataFrame, batch_id: int) -> None:
         changes.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
+    def compact(self, spark: SparkSession, into: str) -> PartialStateTable:
+        """A new table at ``into`` with one delta of the changes that still matter: per key the latest
+        delete, and after it the latest change of each field and the latest change at all."""
+        rows = self.changes(spark).drop("batch")
+        position, deleted = F.struct(*self.order), F.col("op") == "delete"
+        gone = rows.filter(deleted).groupBy(*self.keys).agg(F.max(position).alias("_gone"))
+        since = rows.join(gone, self.keys, "left").filter(F.col("_gone").isNull() | (position >= F.col("_gone")))
+        latest = [F.max(F.when(~deleted & F.col(f).isNotNull(), position)) for f in self.fields]
+        wanted = F.array_distinct(F.array_compact(F.array(F.max(position), F.max("_gone"), *latest)))
+        winners = since.groupBy(*self.keys).agg(wanted.alias("_w")).select(*self.keys, F.inline("_w"))
+        rows.join(winners, [*self.keys, *self.order], "left_semi").write.parquet(f"{into}/batch=0")
+        return PartialStateTable(into, self.keys, self.order, self.schema, self.fields)
+
     def current(self, spark: SparkSession) -> DataFrame:
         return merge_partial_updates(self.changes(spark).drop("batch"), self.keys, self.order, self.fields)
 
