@@ -17,7 +17,7 @@ HEADLINE = (
     "players_per_zone zone_assign_many_zones plan_transfers overload_report split_plan server_metrics "
     "latest_state moved_since_last tick_sample parse_change_feed publish_change_feed config_in_effect "
     "membership_intervals current_parent player_sessions metrics_windows keep_last_messages batch_assign "
-    "batch_stats batch_size_controller chunk_index focus_chunks focus_contents moved_chunks camera_updates "
+    "batch_stats batch_size_controller chunk_index focus_load focus_contents moved_chunks camera_updates "
     "entities_near containing_field near_any hierarchy_paths node_bounds upsert_entities diff_tables expect "
     "clean_player_name text_color quadtree_tiles entity_state_stream player_sessions_stream write_batches"
 ).split()

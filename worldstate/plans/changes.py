@@ -39,6 +39,28 @@ def parse_change_feed(v):
     return parsed.select("server_id", "op", "pos", "entity_id", "seq", "x", "y", "z")
 
 
+@query(
+    """select event_id as n from events where event_id % 7 in (0, 1)"""
+)
+def rejected_envelopes(v):
+    """Texts that are no envelope, and envelopes with a fraction where a whole number belongs."""
+    whole = F.format_string('{"server_id": 1.0, "add": [{"entity_id": %d.0, "seq": 2, "x": 1}]}', F.col("event_id"))
+    fraction = F.format_string('{"server_id": 1, "update": [{"entity_id": %d.5}]}', F.col("event_id"))
+    kind = F.col("event_id") % 7
+    rows = v.events.select(F.col("event_id").alias("n"), F.when(kind == 0, F.col("event_type")).when(kind == 1, fraction).otherwise(whole).alias("payload"))
+    return feeds.rejected_envelopes(rows, entity_schema=ENTITY).select("n")
+
+
+@query(
+    """select event_id as n, 1 as server_id, event_id as entity_id, 9007199254740993 as seq, cast(event_id as double) as x from events"""
+)
+def parse_written_numbers(v):
+    """Whole numbers written with a point, and one that a DOUBLE can't hold."""
+    body = F.format_string('{"server_id": 1.0, "add": [{"entity_id": %d.0, "seq": 9007199254740993, "x": %d}]}', F.col("event_id"), F.col("event_id"))
+    rows = v.events.select(F.col("event_id").alias("n"), body.alias("payload"))
+    return feeds.parse_change_feed(rows, ENTITY).select("n", "server_id", "entity_id", "seq", "x")
+
+
 _LAG = "lag({c}, 1, 0e0) over (partition by entity_id order by ts, seq)"
 
 

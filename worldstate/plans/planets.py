@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from worldstate.operators import chunks, tiles
 from worldstate.plans.registry import query
 from worldstate.plans.world import NEEDED_SQL
-from worldstate.plans.scalars import FACE_SQL, PLANE_SQL
+from worldstate.plans.scalars import _ELEVATION, FACE_SQL, PLANE_SQL, draw_sql, r6
 
 RADIUS, DEPTH = 8000.0, 3
 _UNIT = "sqrt(px*px + py*py + pz*pz)"
@@ -60,10 +60,22 @@ def _noise(unit):
     return {"macro": unit[0], "micro": unit[2]}
 
 
-@query()
+_SCATTER = f"""with draws as (
+      select body_id, c.cx, c.cy, c.cz, asset_no, xor(xor(c.cx*73856093, c.cy*19349663), c.cz*83492791) as seed
+      from ({NEEDED_SQL}) c cross join range(1, 11) a(asset_no)),
+    places as (select *, {", ".join(f"(c{a} + {draw_sql('seed', 'asset_no', str(k))} * 0.5e0) * 300e0 as i{a}" for k, a in enumerate("xyz", 1))}
+      from draws where asset_no <= 3 + floor({draw_sql('seed', '0', '0')} * 8)),
+    units as (select *, {", ".join(f"i{a} / sqrt(ix*ix + iy*iy + iz*iz) as u{a}" for a in "xyz")} from places),
+    lifted as (select *, 2000e0 + ({_ELEVATION.replace("macro", "ux").replace("micro", "uz")}) as height from units)
+    select body_id, cx, cy, cz, cast(asset_no as bigint) as asset_no, cast(floor({draw_sql('seed', 'asset_no', '4')} * 4) as int) as kind,
+      {", ".join(f"round(u{a} * height, 6) + 0e0 as {a}" for a in "xyz")} from lifted"""
+
+
+@query(_SCATTER)
 def scatter_assets(v):
     cells = chunks.needed_cells(v.latest, v.fields, ["entity_id"])
-    return tiles.scatter_assets(cells, kinds=4, radius=2000.0, noise=_noise)
+    found = tiles.scatter_assets(cells, kinds=4, radius=2000.0, noise=_noise)
+    return found.select("body_id", "cx", "cy", "cz", "asset_no", "kind", *[r6(F.col(a)).alias(a) for a in "xyz"])
 
 
 @query(f"select *, true as as_designed from ({NEEDED_SQL}) c")

@@ -263,12 +263,21 @@ def cube_to_sphere(v):
     return v.nodes.select("uid", *[r6(p).alias(f"s{a}") for p, a in zip(place, "xyz")])
 
 
-@query("select id, radius + 1 as height from fields")
+def draw_sql(*parts: str) -> str:
+    """A hashed draw in [0, 1) of the parts' texts."""
+    return f"(('0x' || substr(md5(concat_ws(',', {', '.join(parts)})), 1, 13))::bigint / 4503599627370496e0)"
+
+
+@query(
+    """select id, round(cx + sin(phi)*cos(theta)*(radius+1), 6) + 0e0 as px, round(cy + sin(phi)*sin(theta)*(radius+1), 6) + 0e0 as py,
+      round(cz + cos(phi)*(radius+1), 6) + 0e0 as pz
+    from (select *, %s * (2*pi()) as theta, acos(1e0 - %s * 2) as phi from fields) q"""
+    % (draw_sql("id", "1"), draw_sql("id", "2"))
+)
 def point_on_sphere(v):
-    """Places are hashed draws; their height above the centre is known."""
     centre = (F.col("cx"), F.col("cy"), F.col("cz"))
     placed = terrain.point_on_sphere(v.fields, ["id"], centre, F.col("radius"))
-    return placed.select("id", r6(vec_distance(vec("p"), centre)).alias("height"))
+    return placed.select("id", *[r6(F.col(f"p{a}")).alias(f"p{a}") for a in "xyz"])
 
 
 @query(

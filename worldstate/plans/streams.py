@@ -251,18 +251,30 @@ def junit_tests(v) -> DataFrame:
     )
 
 
+def _fleet(v):
+    """One settings file per zone, written and read back."""
+    folder = fresh_dir(v.spark, "fleet")
+    text = F.format_string('[server]\nname="%s"\nport=%d\n\n[chat]\nurl="host%d"', "name", F.col("id") + 7000, "id")
+    v.zones.select("id", text.alias("value")).write.partitionBy("id").text(folder)
+    config = tables.read_fleet_config(v.spark, f"{folder}/*")
+    return config.select("file", F.regexp_extract("file", "/id=(\\d+)/", 1).alias("server"), "section", "key", "value")
+
+
 @query(
     """select cast(id as varchar) as server, 'server' as section, 'name' as key, name as value from zones
     union all select cast(id as varchar), 'server', 'port', cast(7000 + id as varchar) from zones
     union all select cast(id as varchar), 'chat', 'url', 'host' || cast(id as varchar) from zones"""
 )
 def read_fleet_config(v):
-    """One settings file per zone, written and read back."""
-    folder = fresh_dir(v.spark, "fleet")
-    text = F.format_string('[server]\nname="%s"\nport=%d\n\n[chat]\nurl="host%d"', "name", F.col("id") + 7000, "id")
-    v.zones.select("id", text.alias("value")).write.partitionBy("id").text(folder)
-    config = tables.read_fleet_config(v.spark, f"{folder}/*")
-    return config.select(F.regexp_extract("file", "/id=(\\d+)/", 1).alias("server"), "section", "key", "value")
+    return _fleet(v).drop("file")
+
+
+@query("select cast(id as varchar) as server, name as server_name, 'host' || cast(id as varchar) as chat_url, cast(null as varchar) as chat_key from zones")
+def fleet_table(v):
+    """One row per settings file; a setting that is missing is null."""
+    config = _fleet(v)
+    wide = tables.fleet_table(config, ["server.name", "chat.url", "chat.key"])
+    return wide.join(config.select("file", "server").distinct(), "file").drop("file")
 
 
 @query(

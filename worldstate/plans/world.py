@@ -43,10 +43,16 @@ def _focus(v):
     f"""select seq, cast(f.size_cat as int) as size_cat, count(*) as nodes from ({_AROUND}) f
     join ({_INDEX}) i on i.size_cat = f.size_cat and i.cx = f.cx and i.cz = f.cz group by 1, 2"""
 )
-def focus_chunks(v):
+def focus_load(v):
     return chunks.focus_load(_focus(v), chunks.chunk_index(v.nodes), ["seq"])
 
 
+@query("select entity_id, cast(size_cat as int) as size_cat, cx, cz from (" + _AROUND.replace("seq", "entity_id").replace("moves", "latest") + ") a")
+def focus_chunks(v):
+    focus = v.latest.select("entity_id", (F.col("x") / 10).alias("x"), (F.col("z") / 10).alias("z"))
+    return chunks.focus_chunks(focus, ["entity_id"])
+
+
 @query(
     f"""select i.* from ({_INDEX}) i where exists (select 1 from (select distinct size_cat, cx, cz from ({_AROUND}) a) f
       where i.size_cat = f.size_cat and i.cx = f.cx and i.cz = f.cz)"""

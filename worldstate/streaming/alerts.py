@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from worldstate.operators.folds import chained_fold
-from worldstate.operators.ordered import ROWS_PER_TASK
+from worldstate.operators.ordered import ROWS_PER_TASK, Ordered
 from worldstate.operators.zones import MAX_PLAYERS
 from worldstate.streaming.folds import stream_fold
 
@@ -33,12 +34,15 @@ def overload_alerts(
     ``events``: server_id, order columns, kind (population or zone_changed), players. Works on a
     stream or a table.
     """
-    step, output = _latch_step(max_players), "alert boolean"
     if events.isStreaming:
-        marked = stream_fold(events, ["server_id"], order, step, output)
-    else:
-        marked = chained_fold(events, ["server_id"], order, step, output, rows_per_task)
-    return marked.filter("alert").drop("alert", "kind")
+        marked = stream_fold(events, ["server_id"], order, _latch_step(max_players), "alert boolean")
+        return marked.filter("alert").drop("alert", "kind")
+    changed = F.when(F.col("kind") == "zone_changed", 1).otherwise(0)
+    rows = Ordered(events, ["server_id"], order, rows_per_task).running_sum("_change", changed).result()
+    high = rows.filter((F.col("kind") != "zone_changed") & (F.col("players") > max_players))
+    kept = [c for c in events.columns if c != "kind"]
+    first = high.groupBy("server_id", "_change").agg(F.min_by(F.struct(*kept), F.struct(*order)).alias("_first"))
+    return first.select("_first.*")
 
 
 def _transfer_step(timeout_s: float):
