@@ -11,7 +11,8 @@ def plan_of(spark, name, folder):
 
 @pytest.mark.parametrize(
     "name",
-    ["zone_assign_many_zones", "entities_near", "containing_field", "focus_chunks", "chunk_contents", "players_per_zone", "diff_tables"],
+    ["zone_assign_many_zones", "entities_near", "containing_field", "focus_chunks", "chunk_contents", "players_per_zone", "diff_tables",
+     "overload_report", "overload_with_transfers_due", "overload_messages", "zone_assign", "plan_transfers"],
 )
 def test_no_nested_loops(spark, small, name):
     plan = plan_of(spark, name, small)

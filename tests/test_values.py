@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from worldstate.functions import text
-from worldstate.operators import compare, feeds, membership, zones
+from worldstate.operators import compare, feeds, hierarchy, membership, zones
 from worldstate.session import fresh_dir
 from worldstate.streaming.state_table import PartialStateTable
 
@@ -74,3 +74,10 @@ def test_number_against_text_by_value(spark):
     b = spark.createDataFrame([(1, "1"), (2, "two"), (3, None), (4, None)], "k int, v string")
     got = {r.k: r.status for r in compare.diff_tables(a, b, ["k"], deep=False).collect()}
     assert got == {1: "equal", 2: "different", 3: "equal", 4: "different"}
+
+
+def test_bounds_of_empty_subtrees(spark):
+    rows = [("a", "", 0.0, 1.0), ("b", "a", 2.0, 1.0), ("c", "a", 0.0, 5.0), ("d", "c", 0.0, 6.0)]
+    df = spark.createDataFrame(rows, "uid string, parent_uid string, size double, x double").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
+    got = {r.uid: (r.lo_x, r.hi_x, r.bounds_size) for r in hierarchy.node_bounds(df).collect()}
+    assert got == {"a": (0.0, 2.0, 2.0), "b": (0.0, 2.0, 2.0), "c": (None, None, 0.0), "d": (None, None, 0.0)}

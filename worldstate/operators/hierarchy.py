@@ -76,11 +76,11 @@ def node_bounds(nodes: DataFrame) -> DataFrame:
     """Bounding box of each node with everything below it, and its largest edge ``bounds_size``.
 
     A node's own box is a cube of edge ``size`` around (x, y, z) in world space; empty boxes are
-    ignored. Each box is sent to all its ancestors and merged map-side first.
+    ignored. A node without any box has null bounds and ``bounds_size`` 0. Each box is sent to all
+    its ancestors and merged map-side first.
     """
-    placed = hierarchy_paths(nodes).filter(F.col("size") > 0)
-    half = F.col("size") / 2
-    boxes = placed.select(
+    half = F.when(F.col("size") > 0, F.col("size") / 2)
+    boxes = hierarchy_paths(nodes).select(
         F.explode("path").alias("uid"),
         *[(F.col(a) - half).alias(f"lo_{a}") for a in "xyz"],
         *[(F.col(a) + half).alias(f"hi_{a}") for a in "xyz"],
@@ -89,4 +89,4 @@ def node_bounds(nodes: DataFrame) -> DataFrame:
         *[F.min(f"lo_{a}").alias(f"lo_{a}") for a in "xyz"], *[F.max(f"hi_{a}").alias(f"hi_{a}") for a in "xyz"]
     )
     edges = [F.col(f"hi_{a}") - F.col(f"lo_{a}") for a in "xyz"]
-    return merged.withColumn("bounds_size", F.greatest(*edges))
+    return merged.withColumn("bounds_size", F.coalesce(F.greatest(*edges), F.lit(0.0)))

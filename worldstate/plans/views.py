@@ -89,14 +89,18 @@ VIEWS: dict[str, str] = {
           min(case when b=2 then nm end) as es
         from (select p_brand as part_type, p_partkey % 4 as b, p_name as nm from {part}) q
         group by part_type""",
-    # players placed on the server whose zone holds them
+    # players placed on the server whose zone holds them; zones lie on a grid of 5 by 5
     "homed": """
         select l.entity_id, z.id as server_id, l.x, l.y, l.z
-        from latest l join zones z on l.x >= z.x_start and l.x < z.x_end and l.z >= z.z_start and l.z < z.z_end""",
+        from latest l join zones z
+          on z.id = cast(floor((l.x + 10000)/4000.0e0) as int) + 5*cast(floor((l.z + 10000)/4000.0e0) as int)
+          and l.x >= z.x_start and l.x < z.x_end and l.z >= z.z_start and l.z < z.z_end""",
     # the same, but players just signed up are still with the server they signed up on
     "settling": """
         select l.entity_id, case when l.op = 'add' then l.server_id else z.id end as server_id, l.x, l.y, l.z
-        from latest l join zones z on l.x >= z.x_start and l.x < z.x_end and l.z >= z.z_start and l.z < z.z_end""",
+        from latest l join zones z
+          on z.id = cast(floor((l.x + 10000)/4000.0e0) as int) + 5*cast(floor((l.z + 10000)/4000.0e0) as int)
+          and l.x >= z.x_start and l.x < z.x_end and l.z >= z.z_start and l.z < z.z_end""",
     # zones with split and merge orders
     "ordered_zones": """
         select z.*, case when n.n_regionkey = 1 then z.id + 1 end as to_split_server_id,
