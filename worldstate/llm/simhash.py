@@ -6,6 +6,10 @@ kept in one shard; as a query it also visits the later shards that its ball over
 triangle inequality. A shard searches its own tree of the same kind, pruned by the same bounds, and
 compares what remains exactly. So every pair within the radius is seen in some shard.
 
+At four of 64 bits a level of the tree sends about two thirds of its queries to both sides, so the
+copies per fingerprint grow as (fingerprints / shard rows) to the power 0.75. Shards are thus as
+large as one task can search; inside a shard the tree needs no copies.
+
 Equal fingerprints are one node whatever their number. Shards give a spanning forest of their
 links, never the pairs. Null and empty texts, and those without words, have fingerprint zero.
 Repeated rows belong to the same component. Texts of any length are read whole.
@@ -29,7 +33,7 @@ WORDS = 4
 RADIUS = 4
 SEED = 42
 SAMPLE = 32_768
-SHARD_ROWS = 4096
+SHARD_ROWS = 32_768
 QUERY_ROWS = 65_536
 LEAF = 192
 
