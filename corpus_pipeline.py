@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, folder) and returns a DataFrame; all but the last return the columns
 of ``docs``, whatever these are besides ``doc_id``, ``text`` and ``source``. Stages work on all rows
 that the one before kept. Null texts pass all stages but near-dedup, where texts without words
-have the same fingerprint and so one of them stays.
+have the same (empty) shingle set and so one of them stays.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their fingerprints the one with the least key stays."""
-    return simhash.keep_representatives(docs)
+    """Of documents linked by 0.8 of their five-word shingles the one with the least key stays."""
+    return simhash.keep_unlike(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,3 +127,33 @@ def test_near_vectors_query(spark, small):
     got = {r.vec_id: (r.n_links, r.component_id) for r in QUERIES["op5_pstable_embeddings"](spark, small).collect()}
     assert got == {rows[i][0]: (links[i], rows[comp[i]][0]) for i in range(len(rows))}
     assert pstable.near_vectors(spark.createDataFrame([], VEC)).count() == 0
+
+
+def shingle_sets(texts, words=5):
+    lowered = ["".join(c.lower() if "A" <= c <= "Z" else c for c in t or "") for t in texts]
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in lowered]
+    return [frozenset(" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset() for w in split]
+
+
+@pytest.mark.parametrize("rows,radius", [(simhash.SET_ROWS, simhash.SET_RADIUS), (7, 64)])
+def test_sets_link_at_four_fifths(spark, rows, radius):
+    rng = np.random.default_rng(11)
+    texts = [None, "", "one", "One", "a b c d e", "a b c d e f"]
+    for base, edits in enumerate([0, 1, 2, 4, 6, 8, 12, 20, 40] * 3):  # from alike to unlike, either side of 0.8
+        words = [f"w{base}_{k}" for k in range(rng.integers(120, 400))]
+        changed = list(words)
+        for k in rng.choice(len(words), edits, replace=False):
+            changed[k] = f"new{base}_{k}"
+        texts += [" ".join(words), " ".join(changed), " ".join(words + words[:9]), " ".join(words[: len(words) * 9 // 10])]
+    sets = shingle_sets(texts)
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    assert sum((prints[a] ^ prints[b]) & (2**64 - 1) != 0 and ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() > 4 for a, b in pairs) > 9
+    want = {root for root in components(len(texts), pairs)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    nodes = simhash.with_shingles(docs, "text").select("__set.*").groupBy("node").agg(F.min("fingerprint").alias("fingerprint"), F.min("shingles").alias("shingles"))
+    linked = {r.node: r.root for r in connected_components(simhash.set_links(nodes, radius, rows=rows)).collect()}
+    of = {r.doc_id: r.node for r in simhash.with_shingles(docs, "text").select("doc_id", "__set.node").collect()}
+    root = components(len(texts), pairs)
+    assert all((linked.get(of[i], of[i]) == linked.get(of[j], of[j])) == (root[i] == root[j]) for i in of for j in of)
+    assert {r.doc_id for r in simhash.keep_unlike(docs).collect()} == want

@@ -13,16 +13,21 @@ large as one task can search; inside a shard the tree needs no copies.
 Equal fingerprints are one node whatever their number. Shards give a spanning forest of their
 links, never the pairs. Null and empty texts, and those without words, have fingerprint zero.
 Repeated rows belong to the same component. Texts of any length are read whole.
+
+``keep_unlike`` links by shingle sets instead: fingerprints within a wide radius are candidates only, and
+a link is a Jaccard similarity of the whole sets. At that radius balls overlap both sides of nearly every
+vantage point, so tasks are cut by set size (sets of 0.8 or more in common differ in size by a quarter at
+most) and hashed blocks, and each task searches its own trees.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,25 +41,41 @@ SAMPLE = 32_768
 SHARD_ROWS = 32_768
 QUERY_ROWS = 65_536
 LEAF = 192
+# links by sets: words of a shingle, least similarity, bits that cover it, rows and bytes of sets in a task
+SET_WORDS = 5
+SIMILARITY = 0.8
+SET_RADIUS = 18
+SET_ROWS = 32_768
+SET_BYTES = 64 << 20
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """Majority bits of the hashes of all word shingles, repeats included."""
+def _shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """Hashes of all word shingles, repeats included, in pieces."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(words, len(tokens))
     starts, ends = starts[: len(tokens) - width + 1].tolist(), ends[width - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), 1 << 15):
         pairs = zip(starts[at : at + (1 << 15)], ends[at : at + (1 << 15)])
-        hashes = np.array([digest(joined[i:j], SEED) for i, j in pairs], "<u8")
+        yield np.array([digest(joined[i:j], SEED) for i, j in pairs], "<u8")
+
+
+def _majority(pieces: Iterable[np.ndarray]) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in pieces:
+        n += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > len(starts)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<i8")[0])
+    return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """Majority bits of the hashes of all word shingles, repeats included."""
+    return _majority(_shingle_hashes(text, words))
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", words: int = WORDS) -> DataFrame:
@@ -130,19 +151,104 @@ def _link_all(points: np.ndarray, mine: np.ndarray, asking: np.ndarray, radius:
         forest.link(mine[i], rows[j])
 
 
-def _search(points: np.ndarray, mine: np.ndarray, asking: np.ndarray, radius: int, forest: Forest) -> None:
+def _search(points: np.ndarray, mine: np.ndarray, asking: np.ndarray, radius: int, forest: Forest | SetForest, link=_link_all) -> None:
     """Links rows ``mine`` (kept here) with one another and with rows ``asking``."""
     halves = Tree.cut(points[mine]) if len(mine) > LEAF else None
     if halves is None:
-        _link_all(points, mine, np.concatenate([mine, asking]), radius, forest)
+        link(points, mine, np.concatenate([mine, asking]), radius, forest)
         return
     point, bound, near = halves
     left, right = mine[near], mine[~near]
     distance = np.bitwise_count(points[asking] ^ point).astype(np.int64)
     own = np.bitwise_count(points[left] ^ point).astype(np.int64)
-    _search(points, left, asking[distance - radius <= bound], radius, forest)
+    _search(points, left, asking[distance - radius <= bound], radius, forest, link)
     # what lies left asks right where its ball crosses the bound; the other way round finds the same pairs
-    _search(points, right, np.concatenate([left[own + radius > bound], asking[distance + radius > bound]]), radius, forest)
+    _search(points, right, np.concatenate([left[own + radius > bound], asking[distance + radius > bound]]), radius, forest, link)
+
+
+class SetForest:
+    """Union of rows whose shingle sets (sorted distinct hashes) are alike."""
+
+    def __init__(self, sets: pa.Array, similarity: float):
+        self.sets, self.similarity = sets, similarity
+        self.sizes = np.fromiter((len(s.as_buffer()) // 4 for s in sets), np.int64, len(sets))
+        self.parent = list(range(len(sets)))
+
+    def root(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    def alike(self, i: int, j: int) -> bool:
+        a, b = (np.frombuffer(self.sets[k].as_buffer(), "<u4") for k in (i, j))
+        both = np.concatenate([a, b])
+        both.sort()
+        common = int((both[1:] == both[:-1]).sum())
+        return common >= self.similarity * (len(both) - common)
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Compares what no earlier link has joined; most of a group's pairs are joined already."""
+        for i, j in zip(a.tolist(), b.tolist()):
+            ri, rj = self.root(i), self.root(j)
+            if ri != rj and self.alike(i, j):
+                self.parent[max(ri, rj)] = min(ri, rj)
+
+
+def _link_sets(points: np.ndarray, mine: np.ndarray, asking: np.ndarray, radius: int, forest: SetForest) -> None:
+    for at in range(0, len(asking), 8192):
+        rows = asking[at : at + 8192]
+        i, j = np.nonzero(np.bitwise_count(points[mine][:, None] ^ points[rows][None, :]) <= radius)
+        i, j = mine[i], rows[j]
+        small, large = np.minimum(forest.sizes[i], forest.sizes[j]), np.maximum(forest.sizes[i], forest.sizes[j])
+        fits = (small >= forest.similarity * large) & (i != j)
+        forest.link(i[fits], j[fits])
+
+
+def set_links(nodes: DataFrame, radius: int = SET_RADIUS, similarity: float = SIMILARITY, rows: int = SET_ROWS) -> DataFrame:
+    """``a, b``: links that connect just what all pairs within ``radius`` bits and of ``similarity`` connect.
+
+    ``nodes`` has distinct ``node`` (long), ``fingerprint`` and ``shingles`` (sorted distinct 32-bit hashes).
+    Home rows of a task are a block of one size band; what asks there is a later block of the band, or one
+    of the band below. Counts of the bands are all that passes through the driver.
+    """
+    step = 1.0001 / similarity
+    size = F.greatest(F.lit(1), F.octet_length("shingles") / 4)
+    banded = nodes.withColumn("band", F.floor(F.log(size) / F.log(F.lit(step))).cast("int"))
+    sums = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("shingles")).alias("bytes")).collect()
+    blocks = {r.band: max(1, -(-r.n // rows), -(-r.bytes // SET_BYTES)) for r in sums}
+    own, below, above = F.lit(1), F.lit(0), F.lit(0)
+    for band, n in blocks.items():
+        own = F.when(F.col("band") == band, n).otherwise(own)
+        below = F.when(F.col("band") == band + 1, n).otherwise(below)
+        above = F.when(F.col("band") == band - 1, n).otherwise(above)
+    placed = banded.withColumns({"own": own, "below": below, "above": above})
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("own")).cast("int"))
+
+    def visit(band: Column, home: Column, cell: Column, kept: bool) -> Column:
+        return F.struct(band.alias("at"), home.alias("home"), cell.alias("cell"), F.lit(kept).alias("kept"))
+
+    def upto(n: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
+
+    visits = F.concat(
+        F.transform(upto(F.greatest(F.col("own") - F.col("block"), "below")), lambda c: visit(F.col("band"), F.col("block"), c, True)),
+        F.transform(upto(F.col("block")), lambda i: visit(F.col("band"), i, F.col("block") - i, False)),
+        F.transform(upto(F.col("above")), lambda i: visit(F.col("band") + 1, i, F.col("block"), False)),
+    )
+    routed = placed.select("node", "fingerprint", "shingles", F.explode(visits).alias("v")).select("node", "fingerprint", "shingles", "v.*")
+
+    def linked(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        values, kept = table["node"].to_numpy(), table["kept"].to_numpy()
+        forest = SetForest(table["shingles"].chunk(0), similarity)
+        points = table["fingerprint"].to_numpy().view(np.uint64)
+        _search(points, np.flatnonzero(kept), np.flatnonzero(~kept), radius, forest, _link_sets)
+        a = np.arange(len(values))
+        b = np.array([forest.root(i) for i in range(len(values))], np.int64)
+        return pa.table({"a": values[a[a != b]], "b": values[b[a != b]]})
+
+    return routed.groupBy("at", "home", "cell").applyInArrow(linked, "a long, b long")
 
 
 def near_links(fingerprints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -231,3 +337,39 @@ def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text
     rooted = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     kept = rooted.groupBy(F.coalesce("root", "fingerprint")).agg(F.min("least").alias("__row")).select("__row")
     return marked.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def with_shingles(docs: DataFrame, text: str, words: int = SET_WORDS) -> DataFrame:
+    """Adds ``__set``: fingerprint, shingles (sorted distinct 32-bit hashes) and node, a 64-bit digest of these."""
+
+    @F.arrow_udf("fingerprint long, shingles binary, node long")
+    def made(column: pa.Array) -> pa.Array:
+        prints, sets, nodes = [], [], []
+        for value in column:
+            pieces = list(_shingle_hashes(value.as_py(), words))
+            whole = np.unique(np.concatenate(pieces).astype("<u4")).tobytes() if pieces else b""
+            prints.append(_majority(pieces))
+            sets.append(whole)
+            nodes.append(int(np.uint64(xxhash.xxh64_intdigest(whole, SEED)).astype(np.int64)))
+        columns = [pa.array(prints, pa.int64()), pa.array(sets, pa.binary()), pa.array(nodes, pa.int64())]
+        return pa.StructArray.from_arrays(columns, ["fingerprint", "shingles", "node"])
+
+    return docs.withColumn("__set", made(F.col(text)))
+
+
+def keep_unlike(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SET_WORDS, similarity: float = SIMILARITY, radius: int = SET_RADIUS
+) -> DataFrame:
+    """One row of each component of texts whose shingle sets have ``similarity``: the least key that is not null.
+
+    Texts with the same set are one node; of their fingerprints, which repeats may change, the least is taken.
+    """
+    marked = with_shingles(docs.withColumns({"__key": F.col(key), "__text": F.col(text)}), "__text", words).drop("__text")
+    marked = cut_lineage(marked.withColumn("__row", F.struct(F.col("__key").isNull(), "__key", F.monotonically_increasing_id())), "marked")
+    least = marked.groupBy(F.col("__set.node").alias("node")).agg(F.min("__row").alias("least"), F.min("__set.fingerprint").alias("fingerprint"))
+    classes = cut_lineage(least, "classes")
+    firsts = marked.select(F.col("__row").alias("least"), F.col("__set.shingles").alias("shingles"))
+    roots = connected_components(set_links(classes.join(firsts, "least").select("node", "fingerprint", "shingles"), radius, similarity))
+    rooted = classes.join(roots, "node", "left")
+    kept = rooted.groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("__row")).select("__row")
+    return marked.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
