@@ -79,6 +79,25 @@ def test_mix_keeps_every_deadline(spark, sizes):
             assert abs(order[:t].count(s) - Fraction(c[s] * t, sum(c.values()))) < 1
 
 
+@pytest.mark.parametrize("n,rows,hot", [(20, 200, 2000), (300, 6, 900), (1000, 4, 2000)])
+def test_mix_follows_exact_weights(spark, n, rows, hot):
+    sizes = {f"s{i}": rows for i in range(n - 1)} | {"hot": hot}
+    docs = [(i, "t", s) for i, s in enumerate(s for s, k in sizes.items() for _ in range(k))]
+    got = mixing.mix(table(spark, docs), block_rows=1).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(docs))) and sorted(r.slot for r in got) == list(range(len(docs)))
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    total = sum(k**0.5 for k in sizes.values())
+    order = [r.source for r in sorted(got, key=lambda r: r.slot)]
+    period = max(64, 2 + int(total // min(k**0.5 for k in sizes.values())))
+    # up to the period in which the first source runs out
+    had, lasting = Counter(), int(min(k**0.5 * total for k in sizes.values()) // period * period)
+    assert lasting >= 3 * period
+    for t, s in enumerate(order[:lasting], 1):
+        had[s] += 1
+        if t % 7 == 0 or n == 20:
+            assert all(abs(had[x] - k**0.5 / total * t) < 2 for x, k in sizes.items())
+
+
 def test_mix_of_nothing_and_written_order(spark):
     none = table(spark, []) if False else table(spark, LINES).limit(0)
     assert mixing.mix(none).count() == 0

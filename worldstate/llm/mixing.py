@@ -6,6 +6,13 @@ blocks, block j (from 0) is released at slot floor(j*P/k) and due by slot ceil((
 Earliest-deadline-first over released blocks meets every deadline, because the weights of a
 period add up to one; so at any slot each source is less than one block away from its share.
 
+Rounded parts are used for all periods only where they keep every source within a block of its exact weight
+to the end of the mix. Otherwise a source's blocks in a period follow its exact weight: after p periods it has had
+floor or ceil of its share, and the period grows with the sources until the smallest weight has a block in each.
+So a source is less than two blocks away from its exact share at any slot, one from rounding and one from
+deadlines, up to the period in which a source runs out, however long the mix. Weights that would need a period beyond 4096 have their blocks at the
+nearest whole number of their own share instead.
+
 A source that runs out has its last blocks in one shorter period; the others keep their parts
 after that, so their ratios stay as given. No row is dropped or repeated. Periods with the same
 blocks have the same order, and there are at most 2 * sources + 1 different ones, so only those
@@ -25,6 +32,7 @@ from worldstate.session import cut_lineage
 
 BLOCK_ROWS = 4
 PERIOD = 64
+MOST_PERIOD = 4096
 TEMPERATURE = 0.5
 
 
@@ -32,7 +40,7 @@ def source_parts(
     docs: DataFrame, source: str, parts: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS,
     period: int = PERIOD, temperature: float = TEMPERATURE,
 ) -> DataFrame:
-    """``__key, c, blocks`` per source.
+    """``__key, c, blocks, w`` per source, ``w`` being the exact weight (of given parts, their share).
 
     Without ``parts`` the weight grows as the source's rows to the power ``temperature``, rounded to
     parts of about ``period``, 1 at least. Sources that ``parts`` doesn't name get 1.
@@ -48,7 +56,8 @@ def source_parts(
         share = F.pow(F.col("n"), F.lit(temperature))
         total = F.aggregate(F.array_sort(F.collect_list(share).over(Window.partitionBy())), F.lit(0.0), lambda a, x: a + x)
         given = F.greatest(F.lit(1), F.floor(period * share / total + 0.5))
-    return sizes.select("__key", given.cast("long").alias("c"), F.ceil(F.col("n") / block_rows).alias("blocks"))
+    weight = share / total if parts is None else given / F.sum(given).over(Window.partitionBy())
+    return sizes.select("__key", given.cast("long").alias("c"), F.ceil(F.col("n") / block_rows).alias("blocks"), weight.alias("w"))
 
 
 def _earliest_deadline_first(ks: Column, size: Column) -> Column:
@@ -62,8 +71,12 @@ def _earliest_deadline_first(ks: Column, size: Column) -> Column:
             return F.when(released, F.struct(due.alias("due"), i.cast("long").alias("i")))
 
         chosen = F.array_min(F.filter(F.transform(ks, window), lambda x: x.isNotNull()))["i"]
-        done = F.transform(state["done"], lambda n, i: n + F.when(i == chosen, 1).otherwise(0).cast("long"))
-        return F.struct(done.alias("done"), F.concat(state["order"], F.array(chosen)).alias("order"))
+
+        def taken(c: Column) -> Column:
+            done = F.transform(state["done"], lambda n, i: n + F.when(i == c, 1).otherwise(0).cast("long"))
+            return F.struct(done.alias("done"), F.concat(state["order"], F.array(c)).alias("order"))
+
+        return F.transform(F.array(chosen), taken)[0]  # found once per slot, not once per source
 
     start = F.struct(F.transform(ks, lambda k: F.lit(0).cast("long")).alias("done"), F.array().cast("array<long>").alias("order"))
     return F.aggregate(F.sequence(F.lit(0).cast("long"), size - 1), start, step, lambda state: state["order"])
@@ -91,6 +104,59 @@ def schedule(parts: DataFrame) -> DataFrame:
     return listed.join(parts.select("__key", F.col("c").alias("__c")), "__key")
 
 
+def schedule_exact(parts: DataFrame, period: int) -> DataFrame:
+    """``__key, block, slot, release, deadline`` of every block, by exact weights.
+
+    At the edge of each period a source has had floor or ceil of its exact share; the whole sum is
+    rounded and larger remainders are rounded up first. A period's blocks are in one row until scheduled.
+    """
+    least = parts.agg(F.min("w")).first()[0]
+    period = int(min(MOST_PERIOD, max(period, 2 + 1 // least)))
+    share, slow = F.col("p") * period * F.col("w"), F.col("w") * period < 1
+    last = F.ceil(F.col("blocks") / F.col("w") / period) + 1
+    edges = parts.select("__key", "w", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("p"))
+    edges = edges.withColumn("over_", share >= F.col("blocks"))
+    whole = F.when(F.col("over_"), F.col("blocks")).otherwise(F.when(slow, F.floor(share + 0.5)).otherwise(F.floor(share)))
+    edges = edges.withColumn("whole", whole)
+    rest = F.when(~F.col("over_") & ~slow, share - F.col("whole")).otherwise(F.lit(0.0))
+    missing = F.sum(F.least(share, F.col("blocks").cast("double")) - F.col("whole")).over(Window.partitionBy("p"))
+    rank = F.row_number().over(Window.partitionBy("p").orderBy(F.col("rest").desc(), "__key"))
+    edges = edges.withColumn("rest", rest).withColumns({"missing": F.floor(F.round(missing, 6) + 0.5), "rank": rank})
+    up = (F.col("rest") > 0) & (F.col("rank") <= F.col("missing"))
+    edges = cut_lineage(edges.select("__key", "p", "over_", (F.col("whole") + up.cast("long")).alias("had")), "edges")
+    # an edge begins one period and ends the one before
+    both = edges.select("__key", "had", "over_", F.explode(F.array(F.col("p"), F.col("p") - 1)).alias("q"), "p")
+    counts = both.groupBy("__key", "q").agg(F.min("had").alias("had"), F.max("had").alias("has"), F.min("over_").alias("over_"), F.count(F.lit(1)).alias("edges"))
+    counts = counts.filter("edges = 2 and not over_").withColumn("k", F.col("has") - F.col("had"))
+    counts = counts.groupBy(F.col("q").alias("p")).agg(
+        F.array_sort(F.collect_list(F.when(F.col("k") > 0, F.struct("__key", "had", "k")))).alias("own"), F.sum("had").alias("open"), F.sum("k").alias("size")
+    )
+    ended = parts.groupBy().agg(F.collect_list(F.struct("w", "blocks")).alias("sources"))
+    done = F.aggregate("sources", F.lit(0).cast("long"), lambda a, s: a + F.when(F.col("p") * period * s["w"] >= s["blocks"], s["blocks"]).otherwise(0))
+    counts = counts.filter("size > 0").crossJoin(F.broadcast(ended)).withColumn("base", F.col("open") + done)
+    counts = cut_lineage(counts.select("p", "base", "size", "own", F.transform("own", lambda s: s["k"]).alias("ks")), "periods")
+    counts = counts.repartition(4 * parts.sparkSession.sparkContext.defaultParallelism, "p")  # few bytes, much work
+    slots = counts.withColumn("order", _earliest_deadline_first(F.col("ks"), F.col("size"))).select(
+        "p", "base", "size", "own", F.posexplode("order").alias("at", "i")
+    )
+    slots = slots.select("p", "base", "size", "at", F.col("own")[F.col("i")].alias("s"))
+    j = F.row_number().over(Window.partitionBy("p", "s.__key").orderBy("at")) - 1
+    return slots.withColumn("j", j).select(
+        F.col("s.__key").alias("__key"),
+        (F.col("s.had") + F.col("j")).alias("block"),
+        (F.col("base") + F.col("at")).alias("slot"),
+        (F.col("base") + F.floor(F.col("j") * F.col("size") / F.col("s.k"))).alias("release"),
+        (F.col("base") + F.ceil((F.col("j") + 1) * F.col("size") / F.col("s.k"))).alias("deadline"),
+    )
+
+
+def _parts_suffice(parts: DataFrame) -> bool:
+    """Do the rounded parts keep each source within a block of its exact weight until the last one ends?"""
+    error = F.abs(F.col("c") / F.sum("c").over(Window.partitionBy()) - F.col("w"))
+    worst, longest = parts.withColumn("error", error).agg(F.max("error"), F.max(F.col("blocks") / F.col("w"))).first()
+    return worst is None or worst * longest < 1
+
+
 def mix(
     docs: DataFrame, source: str = "source", order: str = "doc_id", parts: dict[str | None, int] | None = None,
     block_rows: int = BLOCK_ROWS, period: int = PERIOD, temperature: float = TEMPERATURE, ties: tuple[Column, ...] = (),
@@ -101,8 +167,15 @@ def mix(
     A source's rows are taken in the order of a digest of ``order``. Columns of these names are replaced.
     """
     parts_table = cut_lineage(source_parts(docs, source, parts, block_rows, period, temperature), "parts")
-    plan = cut_lineage(schedule(parts_table), "schedule")
     rows = docs.drop("block", "slot", "release", "deadline", "place")
+    if not _parts_suffice(parts_table):
+        plan = cut_lineage(schedule_exact(parts_table, period), "schedule")
+        found = number_rows(rows, key_text(F.col(source)), digest_of(F.col(order)), "__n", (F.col(order), *ties))
+        block, place = F.floor(F.col("__n") / block_rows), (F.col("__n") % block_rows).cast("int")
+        found = found.withColumns({"block": block, "place": place, "__key": key_text(F.col(source))}).drop("__n")
+        outputs = [F.col(f"`{c}`") for c in rows.columns] + [F.col(c) for c in ("block", "place", "slot", "release", "deadline")]
+        return found.join(plan, ["__key", "block"]).select(*outputs)
+    plan = cut_lineage(schedule(parts_table), "schedule")
     found = number_rows(rows, key_text(F.col(source)), digest_of(F.col(order)), "__n", (F.col(order), *ties), plan)
     block = F.floor(F.col("__n") / block_rows)
     found = found.withColumns({"block": block, "place": (F.col("__n") % block_rows).cast("int")})
