@@ -1,6 +1,7 @@
 """Chunks, proximity, hierarchies, exports, tiles."""
 
 import math
+import types
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ from worldstate.operators import chunks, hierarchy, proximity, store, tiles
 from worldstate.session import fresh_dir
 from worldstate.sources import tables, world_export
 from worldstate.sources.lines import numbered_lines
+from worldstate.functions.terrain import FACES
+from worldstate.plans import planets
 
 few = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -247,6 +250,31 @@ def test_quadtree_tiles_cover_each_face_once(spark):
     assert not found.duplicated(["face", "path"]).any()
 
 
+def test_registered_quadtree_goes_to_full_depth(spark):
+    focus, radius = [(0.0, 0.0, -8000.0), (4700.0, 4600.0, 4500.0)], planets.RADIUS
+    want = set()
+
+    def grow(face, path, cu, cv, depth):
+        size = 2.0 / 2**depth
+        for i in range(4):
+            name, u, v = f"{path}_{i}", cu + (i % 2 * 2 - 1) * size / 4, cv + (i // 2 * 2 - 1) * size / 4
+            n = FACES[face]
+            a = (n[1], n[2], n[0])
+            p = np.array(n) + u * np.array(a) + v * np.cross(n, a)
+            p = p / np.linalg.norm(p) * radius
+            split = depth < 8 and any(math.dist(p, f) <= radius * size * 0.7 for f in focus)
+            if not split or depth == 7:
+                want.add((face, name, depth + 1, not split, depth == 7))
+            if split:
+                grow(face, name, u, v, depth + 1)
+
+    for face in range(6):
+        grow(face, "Chunk_0", 0.0, 0.0, 0)
+    view = types.SimpleNamespace(spark=spark, latest=spark.createDataFrame(focus, "x double, y double, z double"))
+    found = [(r.face, r.path, r.depth, r.is_leaf, r.is_collision) for r in planets._tiles(view).collect()]
+    assert sorted(found) == sorted(want) and max(d for _, _, d, _, _ in want) == 9
+
+
 def test_quadtree_without_focus_stops_at_the_first_level(spark):
     nobody = spark.createDataFrame([], "x double, y double, z double")
     assert tiles.quadtree_tiles(spark, nobody, 10.0, max_depth=4).count() == 24

@@ -9,12 +9,12 @@ from worldstate.plans.registry import query
 from worldstate.plans.world import NEEDED_SQL
 from worldstate.plans.scalars import _ELEVATION, FACE_SQL, PLANE_SQL, draw_sql, r6
 
-RADIUS, DEPTH = 8000.0, 3
+RADIUS, DEPTH = 8000.0, tiles.MAX_DEPTH
 _UNIT = "sqrt(px*px + py*py + pz*pz)"
 
 
 def _quadtree_sql(focus: str) -> str:
-    """The four levels of the tree written out, one pair of CTEs each."""
+    """The levels of the tree written out, one pair of CTEs each."""
     parts = [f"faces as (select * from {FACE_SQL})", "split_up as (select face, 'Chunk_0' as path, 0e0 as cu, 0e0 as cv from faces)"]
     leaves, parent = [], "split_up"
     for d in range(DEPTH + 1):
