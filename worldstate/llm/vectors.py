@@ -14,6 +14,11 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def complete(vector: Column) -> Column:
+    """All components finite and not null; null for a null vector."""
+    return F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
 def vector_digest(vector: Column) -> Column:
     """The same for equal vectors only (up to hash collisions of 128 bits); zero has one sign."""
     shown = F.transform(vector, lambda x: (x + F.lit(0.0)).cast("string"))
