@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worldstate.llm import bond, bytebpe, collocations, licenses, linededup, mixing, pstable, sharding, simhash, tokencount, toxicity, vamana
+from worldstate.llm import bond, bytebpe, collocations, huffman, licenses, linededup, mixing, pstable, sharding, simhash, tokencount, toxicity, vamana
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,8 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op11_trie_collocations", collocations.COLLOCATION_SQL)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(_table(spark, folder, "documents"))
+
+
+@_register("op13_huffman_ids")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return huffman.id_report(_table(spark, folder, "documents"))
