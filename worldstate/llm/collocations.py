@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -90,9 +91,21 @@ class Trie:
         self.burst, self.children, self.size = burst, {}, 0
 
     def add(self, windows: np.ndarray, counts: np.ndarray) -> None:
-        data, width = windows.astype("<i4").tobytes(), 4 * windows.shape[1]
-        for i, (first, count) in enumerate(zip(windows[:, 0].tolist(), counts.tolist())):
-            self._insert(self.children, first, data[i * width + 4 : (i + 1) * width], count)
+        rests = np.ascontiguousarray(windows[:, 1:], "<i4").view(f"V{4 * windows.shape[1] - 4}").ravel().tolist()
+        children, insert, new = self.children, self._insert, 0
+        fits = self.burst if windows.shape[1] > 2 else 1 << 62  # a node of pairs would hold single counts
+        for first, rest, count in zip(windows[:, 0].tolist(), rests, counts.tolist()):
+            is_container, held = children.get(first) or (False, None)
+            if not is_container:
+                insert(children, first, rest, count)
+            elif rest in held:
+                held[rest] += count
+            elif len(held) < fits:
+                held[rest] = count
+                new += 1
+            else:
+                insert(children, first, rest, count)
+        self.size += new
 
     def _insert(self, children: dict, word: int, rest: bytes, count: int) -> None:
         while True:
@@ -181,33 +194,51 @@ def prefix_rows(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], np.diff(np.append(first, len(ordered)))
 
 
-def _place(language: str, phrase: bytes, bits: int) -> int:
-    return xxhash.xxh64_intdigest(language.encode() + b"\n" + phrase) % bits
+_ODD, _WHOLE = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def _hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+def _mixed(state, word):
+    """One more word's hash in the state; for numbers below 2^64 and for arrays of uint64 alike."""
+    state = state ^ state >> (np.uint64(29) if isinstance(state, np.ndarray) else 29)
+    return state * np.uint64(_ODD) + word if isinstance(word, np.ndarray) else (state * _ODD + word) & _WHOLE
+
+
+def _language(language: str) -> int:
+    return _mixed(0, _hash(language.encode()))
 
 
 class Known:
-    """A bitmap of hashed phrases: denies only phrases that are not in it."""
+    """A bitmap of hashed phrases, a power of two of bits: denies only phrases that are not in it."""
 
     def __init__(self, bitmap: bytes):
-        self.bitmap, self.bits = bitmap, 8 * len(bitmap)
+        self.bitmap, self.flags = bitmap, np.frombuffer(bitmap, np.uint8)
+        self.shift = 65 - (8 * len(bitmap)).bit_length()
 
-    def __call__(self, language: str, phrase: bytes) -> bool:
-        place = _place(language, phrase, self.bits)
+    def word(self, language: int, word: int) -> bool:
+        place = _mixed(language, word) >> self.shift
         return bool(self.bitmap[place >> 3] >> (place & 7) & 1)
 
+    def pairs(self, language: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        place = _mixed(_mixed(np.full(len(first), language, np.uint64), first), second) >> np.uint64(self.shift)
+        return (self.flags[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
 
 class Counter:
     """Counts the windows of one language in a task; ``share`` languages divide the task's bounds."""
 
     def __init__(self, language: str, shortest: int, longest: int, words: Known | None, pairs: Known | None):
-        self.language, self.shortest, self.longest = language, shortest, longest
+        self.language, self.shortest, self.longest, self.hashed = language, shortest, longest, _language(language)
         self.words_known, self.pairs_known, self.share = words, pairs, 1
         self._restart()
 
     def _restart(self) -> None:
         known = self.words_known
-        self.words = Words(known and (lambda word: known(self.language, word)))
-        self.trie, self.pairs, self.singles = Trie(), {}, np.zeros(0, np.int64)
+        self.words = Words(known and (lambda word: known.word(self.hashed, _hash(word))))
+        self.trie, self.singles, self.hashes = Trie(), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def take(self, texts: list[str]) -> Iterator[pa.RecordBatch]:
         waiting, n = [], 0
@@ -235,8 +266,6 @@ class Counter:
                 self.trie.add(*_summed(windows))
             if self.trie.size > MOST_WINDOWS // self.share:
                 yield from self._runs(MOST_WINDOWS // self.share // 2)
-        if len(self.pairs) > MOST_WORDS // self.share:
-            self.pairs.clear()
         if len(self.words) > MOST_WORDS // self.share:
             self.words.forget_denied()
             if len(self.words) > MOST_WORDS // self.share // 2:
@@ -247,10 +276,10 @@ class Counter:
         ahead = np.append(part, np.full(self.longest - 1, BREAK, np.int32))
         linked = (ahead[:-1] >= 0) & (ahead[1:] >= 0)
         if self.pairs_known is not None:
+            new = self.words.words[len(self.hashes) :]
+            self.hashes = np.append(self.hashes, np.fromiter(map(_hash, new), np.uint64, len(new)))
             at = np.flatnonzero(linked)
-            pairs, inverse = np.unique(ahead[at].astype(np.int64) << 32 | ahead[at + 1], return_inverse=True)
-            allowed = np.fromiter(map(self._pair, pairs.tolist()), bool, len(pairs))
-            linked[at] = allowed[inverse]
+            linked[at] = self.pairs_known.pairs(self.hashed, self.hashes[ahead[at]], self.hashes[ahead[at + 1]])
         length = np.ones(starts, np.int64)
         going = np.ones(starts, bool)
         for k in range(self.longest - 1):
@@ -261,20 +290,14 @@ class Counter:
         windows[np.arange(self.longest)[None, :] >= length[rows, None]] = -1
         return windows
 
-    def _pair(self, pair: int) -> bool:
-        found = self.pairs.get(pair)
-        if found is None:
-            words = self.words.words
-            found = self.pairs[pair] = self.pairs_known(self.language, words[pair >> 32] + b" " + words[pair & 0xFFFFFFFF])
-        return found
-
     def _runs(self, keep: int) -> Iterator[pa.RecordBatch]:
-        words = self.words.words
+        first = np.array([*self.words.words, None], object)
+        behind = np.array([*(b" " + w for w in self.words.words), None], object)
         for windows, counts in self.trie.spill(keep, self.longest):
             for length in range(self.shortest, self.longest + 1):
                 heads, sums = prefix_counts(windows, counts, length)
                 if len(heads):
-                    yield self._batch([b" ".join([words[i] for i in row]) for row in heads.tolist()], sums, length)
+                    yield self._batch(reduce(add, (behind[heads[:, k]] for k in range(1, length)), first[heads[:, 0]]), sums, length)
 
     def _batch(self, phrases: list, counts: np.ndarray, length: int) -> pa.RecordBatch:
         columns = [pa.repeat(pa.scalar(self.language), len(phrases)), pa.array(phrases, pa.binary()), pa.repeat(pa.scalar(length, pa.int32()), len(phrases)), pa.array(counts, pa.int64())]
@@ -321,9 +344,12 @@ def _known(counts: DataFrame, bits: int) -> Known:
     """The bitmap of a table of phrases: ``bits`` bits, whatever the number of phrases."""
     chunk = min(bits, 1 << 16)
 
+    shift = 65 - bits.bit_length()
+
     @F.arrow_udf("long")
     def place(language: pa.Array, phrase: pa.Array) -> pa.Array:
-        return pa.array([_place(a, b, bits) for a, b in zip(language.to_pylist(), phrase.to_pylist())], pa.int64())
+        both = zip(language.to_pylist(), phrase.to_pylist())
+        return pa.array([reduce(_mixed, map(_hash, b.split(b" ")), _language(a)) >> shift for a, b in both], pa.int64())
 
     def marked(table: pa.Table) -> pa.Table:
         flags = np.zeros(chunk, np.uint8)
