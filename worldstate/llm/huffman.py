@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -42,14 +43,17 @@ BLOCK_IDS = 1 << 16
 EVERY = 256
 MOST_IDS = 1 << 22
 FILE_IDS = 1 << 24
-CACHED_RUNS = 600_000
+CACHED_RUNS = 400_000
 GROUP_IDS = 1 << 21
 # what Python and the library may split or lower differently; such parts go to the library as they are
 _UNSURE = regex.compile("[^\x00-\x1b -\u02ff]|<\\|")
 
 
 class RunIds(dict):
-    """Ids of the words between white space, each found by the library once; a bounded number is kept."""
+    """Ids of the words between white space, each found by the library once; a bounded number is kept.
+
+    When the number is reached a new generation begins; what it meets again moves over from the one before.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -59,31 +63,44 @@ class RunIds(dict):
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.shown = byte_table()
-        self.forget()
+        self.before: dict[str, list[int]] = {}
+        self._begin()
+
+    def _begin(self) -> None:
+        self.ids, self.ends = array("I"), array("q", [0])
 
-    def forget(self) -> None:
+    def renew(self) -> None:
+        ids, ends = self.ids, self.ends
+        self.before = {run: ids[ends[at] : ends[at + 1]] for run, at in self.items()}
         self.clear()
-        self.ids: list[int] = []
-        self.ends: list[int] = [0]
+        self._begin()
 
-    def _keep(self, ids: list[int]) -> int:
-        self.ids += ids
+    def _keep(self, ids) -> int:
+        self.ids.extend(ids)
         self.ends.append(len(self.ids))
         return len(self.ends) - 2
 
     def __missing__(self, run: str) -> int:
-        words = self.pattern.findall(run)
-        if words == [run]:
-            word = run if run.isascii() else "".join(map(self.shown.__getitem__, run.encode()))
-            ids = [token.id for token in self.library.model.tokenize(word)]
-        else:
-            ids = []
-            for word in words:
-                at = self[word]
-                ids += self.ids[self.ends[at] : self.ends[at + 1]]
+        ids = self.before.get(run)
+        if ids is None:
+            if run.isalpha():
+                ids = self._word(run)
+            elif run[:-1].isalpha() and run[-1] in ".,;:!?":
+                ids = self._known(run[:-1]) + self._known(run[-1])
+            else:
+                words = self.pattern.findall(run)
+                ids = self._word(run) if words == [run] else sum(map(self._known, words), array("I"))
         found = self[run] = self._keep(ids)
         return found
 
+    def _word(self, word: str) -> list[int]:
+        shown = word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode()))
+        return [token.id for token in self.library.model.tokenize(shown)]
+
+    def _known(self, word: str) -> array:
+        at = self[word]
+        return self.ids[self.ends[at] : self.ends[at + 1]]
+
     def numbers(self, text: str) -> list[np.ndarray]:
         """Numbers of kept lists of ids, whose ids one after another are those of the text."""
         found = []
@@ -98,15 +115,15 @@ class RunIds(dict):
     def batch(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """Ids of each text with the end id."""
         if len(self.ends) > CACHED_RUNS:
-            self.forget()
+            self.renew()
         last = np.array([self._keep([end])])
         parts = [[*self.numbers(text or ""), last] for text in texts]
         numbers = np.concatenate([p for own in parts for p in own])
-        edges = np.array(self.ends)
+        edges = np.frombuffer(self.ends, np.int64).copy()  # an array that is looked at cannot grow
         lengths = edges[numbers + 1] - edges[numbers]
         after = np.cumsum(lengths)
         places = np.repeat(edges[numbers] - after + lengths, lengths) + np.arange(after[-1])
-        ids = np.array(self.ids, np.uint32)[places]
+        ids = np.frombuffer(self.ids, np.uint32)[places]
         cuts = after[np.cumsum([sum(map(len, own)) for own in parts]) - 1]
         return np.split(ids, cuts[:-1])
 
