@@ -135,25 +135,58 @@ def shingle_sets(texts, words=5):
     return [frozenset(" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset() for w in split]
 
 
-@pytest.mark.parametrize("rows,radius", [(simhash.SET_ROWS, simhash.SET_RADIUS), (7, 64)])
-def test_sets_link_at_four_fifths(spark, rows, radius):
+def kept_by_sets(texts):
+    """Least index of each component at a Jaccard similarity of 0.8, and the pairs that link."""
+    sets = shingle_sets(texts)
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return set(components(len(texts), pairs)), pairs
+
+
+def edited(rng, words, edits, name):
+    changed = list(words)
+    for k in rng.choice(len(words), edits, replace=False):
+        changed[k] = f"new{name}_{k}"
+    return changed
+
+
+@pytest.mark.parametrize("most,most_bytes", [(simhash.SHARD_SETS, simhash.SET_BYTES), (6, 9000)])
+def test_sets_link_at_four_fifths(spark, monkeypatch, most, most_bytes):
+    """Also with shards so small that all groups of copies are cut by more keys, and then into blocks."""
+    monkeypatch.setattr(simhash.sketch_links, "__defaults__", (*simhash.sketch_links.__defaults__[:-1], most))
+    monkeypatch.setattr(simhash.set_links, "__defaults__", (*simhash.set_links.__defaults__[:-1], most_bytes))
     rng = np.random.default_rng(11)
     texts = [None, "", "one", "One", "a b c d e", "a b c d e f"]
     for base, edits in enumerate([0, 1, 2, 4, 6, 8, 12, 20, 40] * 3):  # from alike to unlike, either side of 0.8
         words = [f"w{base}_{k}" for k in range(rng.integers(120, 400))]
-        changed = list(words)
-        for k in rng.choice(len(words), edits, replace=False):
-            changed[k] = f"new{base}_{k}"
-        texts += [" ".join(words), " ".join(changed), " ".join(words + words[:9]), " ".join(words[: len(words) * 9 // 10])]
-    sets = shingle_sets(texts)
-    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+        texts += [" ".join(words), " ".join(edited(rng, words, edits, base)), " ".join(words + words[:9]), " ".join(words[: len(words) * 9 // 10])]
+    hot = [f"h{k}" for k in range(200)]
+    texts += [" ".join(edited(rng, hot, 2, f"hot{k}")) for k in range(40)]
+    want, pairs = kept_by_sets(texts)
     prints = [simhash.fingerprint(t, 5) for t in texts]
-    assert sum((prints[a] ^ prints[b]) & (2**64 - 1) != 0 and ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() > 4 for a, b in pairs) > 9
-    want = {root for root in components(len(texts), pairs)}
+    assert sum((prints[a] ^ prints[b] & (2**64 - 1)).bit_count() > 4 for a, b in pairs) > 9
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    nodes = simhash.with_shingles(docs, "text").select("__set.*").groupBy("node").agg(F.min("fingerprint").alias("fingerprint"), F.min("shingles").alias("shingles"))
-    linked = {r.node: r.root for r in connected_components(simhash.set_links(nodes, radius, rows=rows)).collect()}
-    of = {r.doc_id: r.node for r in simhash.with_shingles(docs, "text").select("doc_id", "__set.node").collect()}
-    root = components(len(texts), pairs)
-    assert all((linked.get(of[i], of[i]) == linked.get(of[j], of[j])) == (root[i] == root[j]) for i in of for j in of)
     assert {r.doc_id for r in simhash.keep_unlike(docs).collect()} == want
+
+
+def test_recall_of_independent_pairs(spark):
+    """Pairs made at similarities from 0.8 to 1, in texts of 14 to 300 shingles; 0.99 of them are found."""
+    rng = np.random.default_rng(12)
+    texts, n = [], 0
+    while n < 400:
+        words = [f"p{n}_{k}" for k in range(int(rng.choice([18, 34, 84, 304])))]
+        pair = [" ".join(words), " ".join(edited(rng, words, int(rng.integers(1, 1 + max(1, len(words) // 45))), n))]
+        a, b = shingle_sets(pair)
+        if 5 * len(a & b) >= 4 * len(a | b):
+            texts, n = texts + pair, n + 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r.doc_id for r in simhash.keep_unlike(docs).collect()}
+    assert left >= set(range(0, 800, 2)) and len(left) - 400 <= 4
+
+
+def test_unlike_rows_stay_whole(spark):
+    rows = [(i, f"text number {i} has words of its own {i * 7} {i * 11}", "x", i % 2 == 0) for i in range(30)] + [(None, "no key here at all", None, None), (7, None, None, None)]
+    rows += [(40, "one row that stands often", "y", None)] * 5 + [(None, "one row that stands often", "y", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__rows` string, node boolean").repartition(3)
+    got = simhash.keep_unlike(docs)
+    assert got.columns == docs.columns and sorted(map(repr, got.collect())) == sorted(map(repr, docs.filter("doc_id is not null or text like 'no%'").distinct().collect()))
+    assert simhash.keep_unlike(docs.limit(0)).count() == 0

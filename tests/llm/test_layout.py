@@ -1,6 +1,7 @@
 """Line dedup, mixing and sharding against plain computations."""
 
 import heapq
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -61,22 +62,53 @@ def test_lines_by_host_of_url(spark, small):
     assert linededup.drop_boilerplate(pages, "host", "html").count() == pages.count()
 
 
-@pytest.mark.parametrize("sizes", [{"a": 300, "b": 37, "c": 5, None: 1}, {"a": 1}, {"a": 64, "b": 64, "c": 64}])
-def test_mix_keeps_every_deadline(spark, sizes):
+def fluid_edges(weights, blocks):
+    """Per source the times at which its blocks begin and end when all are served at once, by weight."""
+    edges = {}
+    for s, w in weights.items():
+        edges[s] = []
+        for j in range(blocks[s] + 1):
+            at = Fraction(j, w)
+            edges[s].append(sum(min(Fraction(blocks[k]), weights[k] * at) for k in weights))
+    return edges
+
+
+def one_by_one(weights, blocks):
+    """Slots of all blocks, found slot after slot."""
+    edges, done, found = fluid_edges(weights, blocks), Counter(), {}
+    for slot in range(sum(blocks.values())):
+        open_ = [(math.ceil(edges[s][done[s] + 1]), "" if s is None else "=" + s, s) for s in weights if done[s] < blocks[s] and math.floor(edges[s][done[s]]) <= slot]
+        due, _, s = min(open_, key=lambda x: x[:2])
+        found[s, done[s]] = (slot, math.floor(edges[s][done[s]]), due)
+        done[s] += 1
+    return found
+
+
+def mixed_blocks(got):
+    return {(r.source, r.block): (r.slot, r.release, r.deadline) for r in got}
+
+
+PARTS = {"a": 5, "b": 3, None: 2}
+
+
+@pytest.mark.parametrize("frame", [8, 1024])
+@pytest.mark.parametrize("sizes", [{"a": 300, "b": 37, "c": 5, None: 1}, {"a": 1}, {"a": 64, "b": 64, "c": 64}, {f"s{i}": 3 + i for i in range(30)} | {"a": 120}])
+def test_mix_is_earliest_deadline_first(spark, sizes, frame):
     rows = [(i, "t", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
-    parts = {"a": 5, "b": 3, None: 2}
-    got = mixing.mix(table(spark, rows), parts=parts, block_rows=2).collect()
+    got = mixing.mix(table(spark, rows), parts=PARTS, block_rows=2, least_frame=frame).collect()
     assert sorted(r.doc_id for r in got) == list(range(len(rows)))
-    blocks = {(r.source, r.block): (r.slot, r.release, r.deadline) for r in got}
-    assert sorted(s for s, _, _ in blocks.values()) == list(range(len(blocks)))
-    assert all(r <= s < d for s, r, d in blocks.values())
-    # while all last, each source is less than a block from its share at any slot
-    c = {s: parts.get(s, 1) for s in sizes}
-    whole = min((-(-n // 2)) // c[s] for s, n in sizes.items()) * sum(c.values())
-    order = [s for (s, _), _ in sorted(blocks.items(), key=lambda x: x[1][0])]
-    for s in sizes:
-        for t in range(1, whole + 1):
-            assert abs(order[:t].count(s) - Fraction(c[s] * t, sum(c.values()))) < 1
+    found = mixed_blocks(got)
+    assert sorted(s for s, _, _ in found.values()) == list(range(len(found)))
+    weights, blocks = {s: PARTS.get(s, 1) for s in sizes}, {s: -(-n // 2) for s, n in sizes.items()}
+    assert found == one_by_one(weights, blocks)
+    # each source is less than a block from its share at any slot, also when others have run out
+    order, edges, had = [s for (s, _), _ in sorted(found.items(), key=lambda x: x[1][0])], fluid_edges(weights, blocks), Counter()
+    for t, s in enumerate(order, 1):
+        had[s] += 1
+        for x in sizes:  # by time t between begun - 1 and begun blocks are served
+            whole = sum(e <= t for e in edges[x]) - 1
+            begun = sum(e < t for e in edges[x][:-1])
+            assert whole <= had[x] <= begun
 
 
 @pytest.mark.parametrize("n,rows,hot", [(20, 200, 2000), (300, 6, 900), (1000, 4, 2000)])
@@ -86,27 +118,43 @@ def test_mix_follows_exact_weights(spark, n, rows, hot):
     got = mixing.mix(table(spark, docs), block_rows=1).collect()
     assert sorted(r.doc_id for r in got) == list(range(len(docs))) and sorted(r.slot for r in got) == list(range(len(docs)))
     assert all(r.release <= r.slot < r.deadline for r in got)
-    total = sum(k**0.5 for k in sizes.values())
-    order = [r.source for r in sorted(got, key=lambda r: r.slot)]
-    period = max(64, 2 + int(total // min(k**0.5 for k in sizes.values())))
-    # up to the period in which the first source runs out
-    had, lasting = Counter(), int(min(k**0.5 * total for k in sizes.values()) // period * period)
-    assert lasting >= 3 * period
+    weights = {s: math.floor(1000 * k**0.5 + 0.5) for s, k in sizes.items()}
+    total = sum(weights.values())
+    order, had = [r.source for r in sorted(got, key=lambda r: r.slot)], Counter()
+    lasting = int(min(Fraction(k * total, weights[s]) for s, k in sizes.items()))  # until the first source runs out
+    assert lasting > n
     for t, s in enumerate(order[:lasting], 1):
         had[s] += 1
         if t % 7 == 0 or n == 20:
-            assert all(abs(had[x] - k**0.5 / total * t) < 2 for x, k in sizes.items())
+            assert all(abs(had[x] - Fraction(w * t, total)) < 1 for x, w in weights.items())
+
+
+@pytest.mark.parametrize("scale", [30, 4000])
+def test_same_rule_at_every_size(spark, scale):
+    sizes, parts = {"a": 7 * scale, "b": 2 * scale, "c": scale}, {"a": 7, "b": 2, "c": 1}
+    docs = spark.range(sum(sizes.values())).select(F.col("id").alias("doc_id"), F.expr(f"case when id < {7 * scale} then 'a' when id < {9 * scale} then 'b' else 'c' end").alias("source"))
+    got = mixing.mix(docs, parts=parts, block_rows=4, least_frame=64).filter("slot < 60 and place = 0").collect()
+    order = "".join(r.source for r in sorted(got, key=lambda r: r.slot))
+    assert order[:10] == order[10:20] == order[50:60] and Counter(order[:10]) == {"a": 7, "b": 2, "c": 1}
 
 
 def test_mix_of_nothing_and_written_order(spark):
-    none = table(spark, []) if False else table(spark, LINES).limit(0)
-    assert mixing.mix(none).count() == 0
+    none = table(spark, LINES).limit(0)
+    assert mixing.mix(none).count() == 0 and mixing.arranged(none, 10).count() == 0
     rows = [(i, "t", "ab"[i % 7 == 0]) for i in range(200)]
     mixed = mixing.mix(table(spark, rows), block_rows=2)
     got = [(r.slot, r.place) for r in mixing.in_order(mixed, 5, 100).collect()]
     assert got == sorted(got) and len(got) == 200
 
 
+def test_arranged_keeps_whole_rows(spark):
+    rows = [(i // 2, f"text {i // 3}", [None, "a", "b"][i % 3]) for i in range(90)] + [(7, None, None), (None, "x", "a"), (None, None, None)] + [(5, "same", "b")] * 6
+    df = table(spark, rows)
+    got = mixing.arranged(df, 20).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, df.collect()))
+    assert {r.source for r in got[:16]} == {None, "a", "b"}
+
+
 def test_mix_is_native(spark, small):
     plan = QUERIES["op7_pfair_mix"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))

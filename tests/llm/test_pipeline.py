@@ -1,5 +1,7 @@
 """The pipeline's stages against plain versions of each, on their own inputs."""
 
+import hashlib
+import re
 from collections import Counter
 
 import public_tokenizers as P
@@ -8,7 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_duplicates import components, plain_fingerprint
+from tests.llm.test_duplicates import components
 from worldstate.llm import bytebpe, linededup
 from worldstate.session import cut_lineage
 
@@ -30,7 +32,7 @@ def rows(df):
 
 
 def test_columns(steps):
-    assert all(out.columns == COLUMNS for _, out in steps[:-1]) and steps[-1][1].columns == [*COLUMNS, "ids", "starts"]
+    assert all(out.columns == COLUMNS for _, out in steps[:-1]) and steps[-1][1].columns == [*COLUMNS, "ids", "starts", "decoded_sha256"]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "mix_sources", "byte_bpe"]
 
 
@@ -54,12 +56,19 @@ def test_line_dedup(steps):
     assert set(before) == set(after)
 
 
+def five_words(text):
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
 def test_near_dedup(steps):
     before, after = map(rows, steps[2])
     ids = sorted(before)
-    prints = [plain_fingerprint(before[i].text) for i in ids]
-    root = components(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4])
-    assert set(after) == {ids[r] for r in root} and all(after[i] == before[i] for i in after)
+    sets = [five_words(before[i].text) for i in ids]
+    alike = [(a, b) for a in range(len(ids)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    root = components(len(ids), alike)
+    assert alike and set(after) == {ids[r] for r in root} and all(after[i] == before[i] for i in after)
 
 
 def test_mix_keeps_rows_in_files_of_mixed_order(spark, steps):
@@ -77,6 +86,7 @@ def test_encoded(steps):
     ranks = bytebpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert all(list(r.ids) == library.encode_ordinary(r.text) for r in after.collect())
+    assert all(r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest() for r in after.collect())
     assert after.count() == before.count()
 
 
@@ -88,7 +98,7 @@ def test_odd_rows(spark, small):
         for name, stage in corpus_pipeline.STAGES:
             columns = docs.columns
             docs = cut_lineage(stage(spark, docs, small), name)
-            assert docs.columns == columns if name != "byte_bpe" else set(docs.columns) == {*columns, "starts"}
+            assert docs.columns == columns if name != "byte_bpe" else set(docs.columns) == {*columns, "starts", "decoded_sha256"}
         got = docs.collect()
         assert sorted((r.doc_id or 0 for r in got)) == ([0, 1, 4] if data else [])
 

@@ -14,24 +14,29 @@ Equal fingerprints are one node whatever their number. Shards give a spanning fo
 links, never the pairs. Null and empty texts, and those without words, have fingerprint zero.
 Repeated rows belong to the same component. Texts of any length are read whole.
 
-``keep_unlike`` links by shingle sets instead: fingerprints within a wide radius are candidates only, and
-a link is a Jaccard similarity of the whole sets. At that radius balls overlap both sides of nearly every
-vantage point, so tasks are cut by set size (sets of 0.8 or more in common differ in size by a quarter at
-most) and hashed blocks, and each task searches its own trees.
+``keep_unlike`` links by shingle sets instead (five words, Jaccard similarity 0.8). Pairs that alike lie up to 18
+bits apart, and at that radius balls overlap both sides of nearly every vantage point, so a tree over all
+fingerprints would compare all pairs. Shards are therefore cut by least hashes: a set has the least value of each of
+eight hash functions, and two sets of similarity 0.8 share a given one with a chance of 0.8, all eight missing in 3 of
+a million pairs. Each shard searches its own tree; what lies within the radius, differs in size by a quarter at most
+and agrees in enough further least hashes is a candidate. A shard that is too large is cut again by a second and a
+third least hash. Only narrow rows go there. Whole texts are read for candidates alone, each once for its group of
+candidates, and there links are exact. A group beyond 64 MB of sets is cut in blocks of which each pair meets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from worldstate.llm.graphs import Forest, connected_components
+from worldstate.llm.rows import ID, rejoin, with_row_id
 from worldstate.session import cut_lineage
 
 WORDS = 4
@@ -41,12 +46,17 @@ SAMPLE = 32_768
 SHARD_ROWS = 32_768
 QUERY_ROWS = 65_536
 LEAF = 192
-# links by sets: words of a shingle, least similarity, bits that cover it, rows and bytes of sets in a task
+# links by sets: words of a shingle, least similarity, bits that cover it
 SET_WORDS = 5
 SIMILARITY = 0.8
 SET_RADIUS = 18
-SET_ROWS = 32_768
-SET_BYTES = 64 << 20
+# least hashes: those that cut shards, those that are compared, and how many of these must agree
+KEYS = 8
+COMPARED = 24
+AGREEING = 12
+SHARD_SETS = 16_384  # most rows of a shard
+KEY_LEVELS = 3
+SET_BYTES = 64 << 20  # hashes of sets in a task
 
 
 def _shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
@@ -151,7 +161,7 @@ def _link_all(points: np.ndarray, mine: np.ndarray, asking: np.ndarray, radius:
         forest.link(mine[i], rows[j])
 
 
-def _search(points: np.ndarray, mine: np.ndarray, asking: np.ndarray, radius: int, forest: Forest | SetForest, link=_link_all) -> None:
+def _search(points: np.ndarray, mine: np.ndarray, asking: np.ndarray, radius: int, forest, link=_link_all) -> None:
     """Links rows ``mine`` (kept here) with one another and with rows ``asking``."""
     halves = Tree.cut(points[mine]) if len(mine) > LEAF else None
     if halves is None:
@@ -169,9 +179,9 @@ def _search(points: np.ndarray, mine: np.ndarray, asking: np.ndarray, radius: in
 class SetForest:
     """Union of rows whose shingle sets (sorted distinct hashes) are alike."""
 
-    def __init__(self, sets: pa.Array, similarity: float):
+    def __init__(self, sets: list[np.ndarray], similarity: float):
         self.sets, self.similarity = sets, similarity
-        self.sizes = np.fromiter((len(s.as_buffer()) // 4 for s in sets), np.int64, len(sets))
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         self.parent = list(range(len(sets)))
 
     def root(self, i: int) -> int:
@@ -181,8 +191,7 @@ class SetForest:
         return i
 
     def alike(self, i: int, j: int) -> bool:
-        a, b = (np.frombuffer(self.sets[k].as_buffer(), "<u4") for k in (i, j))
-        both = np.concatenate([a, b])
+        both = np.concatenate([self.sets[i], self.sets[j]])
         both.sort()
         common = int((both[1:] == both[:-1]).sum())
         return common >= self.similarity * (len(both) - common)
@@ -195,60 +204,144 @@ class SetForest:
                 self.parent[max(ri, rj)] = min(ri, rj)
 
 
+def _sized(sizes: np.ndarray, similarity: float, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    return (small >= similarity * large) & (i != j)
+
+
+def _close(points: np.ndarray, mine: np.ndarray, asking: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within the radius, found in blocks of bounded size."""
+    for first in range(0, len(mine), 1024):
+        own = mine[first : first + 1024]
+        for at in range(0, len(asking), 2048):
+            rows = asking[at : at + 2048]
+            i, j = np.nonzero(np.bitwise_count(points[own][:, None] ^ points[rows][None, :]) <= radius)
+            yield own[i], rows[j]
+
+
 def _link_sets(points: np.ndarray, mine: np.ndarray, asking: np.ndarray, radius: int, forest: SetForest) -> None:
-    for at in range(0, len(asking), 8192):
-        rows = asking[at : at + 8192]
-        i, j = np.nonzero(np.bitwise_count(points[mine][:, None] ^ points[rows][None, :]) <= radius)
-        i, j = mine[i], rows[j]
-        small, large = np.minimum(forest.sizes[i], forest.sizes[j]), np.maximum(forest.sizes[i], forest.sizes[j])
-        fits = (small >= forest.similarity * large) & (i != j)
+    for i, j in _close(points, mine, asking, radius):
+        fits = _sized(forest.sizes, forest.similarity, i, j)
         forest.link(i[fits], j[fits])
 
 
-def set_links(nodes: DataFrame, radius: int = SET_RADIUS, similarity: float = SIMILARITY, rows: int = SET_ROWS) -> DataFrame:
-    """``a, b``: links that connect just what all pairs within ``radius`` bits and of ``similarity`` connect.
-
-    ``nodes`` has distinct ``node`` (long), ``fingerprint`` and ``shingles`` (sorted distinct 32-bit hashes).
-    Home rows of a task are a block of one size band; what asks there is a later block of the band, or one
-    of the band below. Counts of the bands are all that passes through the driver.
+class SketchForest(Forest):
+    """Union of rows that are candidates: alike in size and in enough least hashes."""
+
+    def __init__(self, sizes: np.ndarray, sketches: np.ndarray, similarity: float):
+        super().__init__(len(sizes))
+        self.sizes, self.sketches, self.similarity = sizes, sketches, similarity
+
+    def candidates(self, i: np.ndarray, j: np.ndarray) -> None:
+        apart = (self.root[i] != self.root[j]) & _sized(self.sizes, self.similarity, i, j)
+        i, j = i[apart], j[apart]
+        for at in range(0, len(i), 1 << 16):
+            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            agree = (self.sketches[a] == self.sketches[b]).sum(axis=1) >= AGREEING
+            self.link(a[agree], b[agree])
+
+
+def _link_sketches(points: np.ndarray, mine: np.ndarray, asking: np.ndarray, radius: int, forest: SketchForest) -> None:
+    for i, j in _close(points, mine, asking, radius):
+        forest.candidates(i, j)
+
+
+def _groups(batches: Iterable[pa.RecordBatch], keys: list[str], least: int) -> Iterator[pa.Table]:
+    """Rows of sorted batches that share ``keys`` (whole numbers), of groups of at least ``least`` rows."""
+    waiting: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy() for k in keys])
+        starts = np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1
+        edges = [0, *starts.tolist(), batch.num_rows]
+        if last is not None and (values[:, 0] != last).any():
+            if sum(b.num_rows for b in waiting) >= least:
+                yield pa.Table.from_batches(waiting)
+            waiting = []
+        last = values[:, -1]
+        waiting.append(batch.slice(0, edges[1]))
+        if len(edges) > 2:
+            if sum(b.num_rows for b in waiting) >= least:
+                yield pa.Table.from_batches(waiting)
+            inner = np.array(edges[1:-1])
+            for k in np.flatnonzero(np.diff(inner) >= least).tolist():
+                yield pa.Table.from_batches([batch.slice(edges[k + 1], edges[k + 2] - edges[k + 1])])
+            waiting = [batch.slice(edges[-2])]
+    if waiting and sum(b.num_rows for b in waiting) >= least:
+        yield pa.Table.from_batches(waiting)
+
+
+def _forest_links(nodes: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    own = np.flatnonzero(roots != np.arange(len(roots)))
+    if len(own):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[roots[own]])], ["a", "b"])
+
+
+def sketch_links(classes: DataFrame, radius: int = SET_RADIUS, similarity: float = SIMILARITY, most: int = SHARD_SETS) -> DataFrame:
+    """``a, b``: links that connect at least the sets of ``similarity`` (and more).
+
+    ``classes`` has distinct ``node`` (long), ``fingerprint``, ``size``, ``keys`` (least hashes, longs) and ``sketch``
+    (bytes). Shards above ``most`` rows are cut by further least hashes; what shares ``KEY_LEVELS`` of them in such
+    numbers is cut into blocks of which each pair meets.
     """
-    step = 1.0001 / similarity
-    size = F.greatest(F.lit(1), F.octet_length("shingles") / 4)
-    banded = nodes.withColumn("band", F.floor(F.log(size) / F.log(F.lit(step))).cast("int"))
-    sums = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("shingles")).alias("bytes")).collect()
-    blocks = {r.band: max(1, -(-r.n // rows), -(-r.bytes // SET_BYTES)) for r in sums}
-    own, below, above = F.lit(1), F.lit(0), F.lit(0)
-    for band, n in blocks.items():
-        own = F.when(F.col("band") == band, n).otherwise(own)
-        below = F.when(F.col("band") == band + 1, n).otherwise(below)
-        above = F.when(F.col("band") == band - 1, n).otherwise(above)
-    placed = banded.withColumns({"own": own, "below": below, "above": above})
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("own")).cast("int"))
-
-    def visit(band: Column, home: Column, cell: Column, kept: bool) -> Column:
-        return F.struct(band.alias("at"), home.alias("home"), cell.alias("cell"), F.lit(kept).alias("kept"))
-
-    def upto(n: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
-
-    visits = F.concat(
-        F.transform(upto(F.greatest(F.col("own") - F.col("block"), "below")), lambda c: visit(F.col("band"), F.col("block"), c, True)),
-        F.transform(upto(F.col("block")), lambda i: visit(F.col("band"), i, F.col("block") - i, False)),
-        F.transform(upto(F.col("above")), lambda i: visit(F.col("band") + 1, i, F.col("block"), False)),
-    )
-    routed = placed.select("node", "fingerprint", "shingles", F.explode(visits).alias("v")).select("node", "fingerprint", "shingles", "v.*")
+    fields = ["node", "fingerprint", "size", "sketch"]
+    level = classes.select(*fields, "keys", F.posexplode("keys").alias("t", "v"))
+    level = level.select(*fields, "keys", F.xxhash64("t", "v").alias("shard"), F.array("t").alias("used"))
+    ready = []
+    for depth in range(1, KEY_LEVELS + 1):
+        hot = cut_lineage(level.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most), "hot")
+        if hot.isEmpty():
+            ready.append(level.select(*fields, "shard"))
+            break
+        ready.append(level.join(hot, "shard", "left_anti").select(*fields, "shard"))
+        crowded = level.join(hot, "shard")
+        if depth < KEY_LEVELS:
+            crowded = crowded.select(*fields, "keys", "shard", "used", F.posexplode("keys").alias("t", "v"))
+            # in one order only: the same keys in another order would be the same shard again
+            crowded = crowded.filter(F.col("t") > F.element_at("used", -1))
+            level = crowded.select(*fields, "keys", F.xxhash64("shard", "t", "v").alias("shard"), F.concat("used", F.array("t")).alias("used"))
+        else:
+            blocks = F.ceil(F.col("n") * 2 / most).cast("int")
+            crowded = crowded.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+            cells = crowded.select(*fields, "shard", "block", other)
+            ready.append(cells.select(*fields, F.xxhash64("shard", F.least("block", "other"), F.greatest("block", "other")).alias("shard")))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, ["shard"], 2):
+            rows = np.arange(table.num_rows)
+            sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(rows), -1)
+            forest = SketchForest(table["size"].to_numpy(), sketches, similarity)
+            _search(table["fingerprint"].to_numpy().view(np.uint64), rows, rows[:0], radius, forest, _link_sketches)
+            yield from _forest_links(table["node"].to_numpy(), forest.root)
+
+    dealt = reduce(DataFrame.unionByName, ready).repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(linked, "a long, b long")
+
+
+def set_links(members: DataFrame, words: int, radius: int = SET_RADIUS, similarity: float = SIMILARITY, most_bytes: int = SET_BYTES) -> DataFrame:
+    """``a, b``: links that connect just what all pairs of ``similarity`` (within ``radius`` bits) of a group connect.
+
+    ``members`` has ``root`` (the group, long), ``node``, ``fingerprint``, ``size`` and ``text``.
+    """
+    sums = members.groupBy("root").agg(F.sum(8 * F.col("size").cast("long")).alias("bytes"))
+    cut = cut_lineage(sums.filter(F.col("bytes") > most_bytes).select("root", F.ceil(F.col("bytes") * 2 / most_bytes).cast("int").alias("blocks")), "large")
+    placed = members.join(cut, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
+    placed = placed.select(cell.alias("cell"), "node", "fingerprint", "text")
 
-    def linked(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        values, kept = table["node"].to_numpy(), table["kept"].to_numpy()
-        forest = SetForest(table["shingles"].chunk(0), similarity)
-        points = table["fingerprint"].to_numpy().view(np.uint64)
-        _search(points, np.flatnonzero(kept), np.flatnonzero(~kept), radius, forest, _link_sets)
-        a = np.arange(len(values))
-        b = np.array([forest.root(i) for i in range(len(values))], np.int64)
-        return pa.table({"a": values[a[a != b]], "b": values[b[a != b]]})
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, ["cell"], 2):
+            rows = np.arange(table.num_rows)
+            forest = SetForest([_shingle_set(v.as_py(), words) for v in table["text"]], similarity)
+            _search(table["fingerprint"].to_numpy().view(np.uint64), rows, rows[:0], radius, forest, _link_sets)
+            yield from _forest_links(table["node"].to_numpy(), np.array([forest.root(i) for i in rows.tolist()]))
 
-    return routed.groupBy("at", "home", "cell").applyInArrow(linked, "a long, b long")
+    return placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(linked, "a long, b long").filter("a <> b")
 
 
 def near_links(fingerprints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -324,35 +417,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     return marked.join(owned, "fingerprint").select(key, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """One row of each component, with its own columns: the least key that is not null.
+_FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, KEYS + COMPARED, np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, KEYS + COMPARED, np.uint64)
 
-    Rows of one key are told apart by a number that is written with the fingerprints, before anything
-    is decided by it.
-    """
-    marked = with_fingerprints(docs.withColumns({"__key": F.col(key), "__text": F.col(text)}), "__text", "__print", words).drop("__text")
-    marked = cut_lineage(marked.withColumn("__row", F.struct(F.col("__key").isNull(), "__key", F.monotonically_increasing_id())), "marked")
-    classes = cut_lineage(marked.groupBy(F.col("__print").alias("fingerprint")).agg(F.min("__row").alias("least")), "classes")
-    roots = connected_components(near_links(classes, radius))
-    rooted = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    kept = rooted.groupBy(F.coalesce("root", "fingerprint")).agg(F.min("least").alias("__row")).select("__row")
-    return marked.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+def _shingle_set(text: str | None, words: int) -> np.ndarray:
+    pieces = list(_shingle_hashes(text, words))
+    return np.unique(np.concatenate(pieces)) if pieces else np.zeros(0, np.uint64)
 
 
-def with_shingles(docs: DataFrame, text: str, words: int = SET_WORDS) -> DataFrame:
-    """Adds ``__set``: fingerprint, shingles (sorted distinct 32-bit hashes) and node, a 64-bit digest of these."""
+def with_sketches(docs: DataFrame, text: str, words: int = SET_WORDS) -> DataFrame:
+    """Adds ``__set``: fingerprint, node (a digest of the shingle set), size, keys and sketch (least hashes; empty sets have none)."""
 
-    @F.arrow_udf("fingerprint long, shingles binary, node long")
+    @F.arrow_udf("fingerprint long, node long, size int, keys array<long>, sketch binary")
     def made(column: pa.Array) -> pa.Array:
-        prints, sets, nodes = [], [], []
+        found: list[list] = [[], [], [], [], []]
         for value in column:
             pieces = list(_shingle_hashes(value.as_py(), words))
-            whole = np.unique(np.concatenate(pieces).astype("<u4")).tobytes() if pieces else b""
-            prints.append(_majority(pieces))
-            sets.append(whole)
-            nodes.append(int(np.uint64(xxhash.xxh64_intdigest(whole, SEED)).astype(np.int64)))
-        columns = [pa.array(prints, pa.int64()), pa.array(sets, pa.binary()), pa.array(nodes, pa.int64())]
-        return pa.StructArray.from_arrays(columns, ["fingerprint", "shingles", "node"])
+            whole = np.unique(np.concatenate(pieces)) if pieces else np.zeros(0, np.uint64)
+            least = np.full(KEYS + COMPARED, ~np.uint64(0))
+            for at in range(0, len(whole), 4096):
+                mixed = whole[at : at + 4096, None] * _FACTORS + _SHIFTS
+                least = np.minimum(least, (mixed ^ mixed >> np.uint64(31)).min(axis=0))
+            row = (_majority(pieces), int(np.uint64(xxhash.xxh64_intdigest(whole.tobytes(), SEED)).astype(np.int64)), len(whole))
+            row = (*row, least[:KEYS].view(np.int64).tolist() if pieces else [], least[KEYS:].astype(np.uint8).tobytes())
+            for own, field in zip(found, row):
+                own.append(field)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(found, kinds)], ["fingerprint", "node", "size", "keys", "sketch"])
 
     return docs.withColumn("__set", made(F.col(text)))
 
@@ -364,12 +456,19 @@ def keep_unlike(
 
     Texts with the same set are one node; of their fingerprints, which repeats may change, the least is taken.
     """
-    marked = with_shingles(docs.withColumns({"__key": F.col(key), "__text": F.col(text)}), "__text", words).drop("__text")
-    marked = cut_lineage(marked.withColumn("__row", F.struct(F.col("__key").isNull(), "__key", F.monotonically_increasing_id())), "marked")
-    least = marked.groupBy(F.col("__set.node").alias("node")).agg(F.min("__row").alias("least"), F.min("__set.fingerprint").alias("fingerprint"))
-    classes = cut_lineage(least, "classes")
-    firsts = marked.select(F.col("__row").alias("least"), F.col("__set.shingles").alias("shingles"))
-    roots = connected_components(set_links(classes.join(firsts, "least").select("node", "fingerprint", "shingles"), radius, similarity))
+    marked = with_row_id(docs).select(F.col(key).alias("key"), *ID, F.col(text).alias("text"))
+    marked = cut_lineage(with_sketches(marked, "text", words).select("key", *ID, "__set.*"), "sketches")
+    row = F.struct(F.col("key").isNull().alias("none"), "key", *ID).alias("row")
+    marked = marked.select("node", row, "fingerprint", "size", "keys", "sketch")
+    same = [F.min(F.struct("row", "keys", "sketch")).alias("least"), F.min("fingerprint").alias("fingerprint"), F.first("size").alias("size")]
+    classes = marked.groupBy("node").agg(*same)
+    classes = cut_lineage(classes.select("node", "fingerprint", "size", "least.*"), "classes")
+    groups = connected_components(sketch_links(classes, radius, similarity))
+    members = groups.join(classes.select("node", "fingerprint", "size", "row"), "node")
+    rows = cut_lineage(marked.select("row.*").groupBy(*ID).agg(F.count(F.lit(1)).alias("__rows")), "rows")
+    members = members.select("root", "node", "fingerprint", "size", *[F.col(f"row.{c}").alias(c) for c in ID]).join(rows, list(ID))
+    texts = rejoin(docs, cut_lineage(members, "members"), {"text": F.col(text)})
+    roots = connected_components(set_links(texts, words, radius, similarity))
     rooted = classes.join(roots, "node", "left")
-    kept = rooted.groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("__row")).select("__row")
-    return marked.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = rooted.groupBy(F.coalesce("root", "node")).agg(F.min("row").alias("row")).select("row.*").select(*ID)
+    return rejoin(docs, kept.join(rows, list(ID))).select(*[F.col(f"`{c}`") for c in docs.columns])
