@@ -38,15 +38,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, laid out file after file in the order of the mix."""
-    files = max(1, -(-docs.count() // ROWS_PER_FILE), docs.sparkSession.sparkContext.defaultParallelism)
-    mixed = mixing.mix(docs.withColumnsRenamed({c: f"={c}" for c in docs.columns}), "=source", "=doc_id", ties=(F.xxhash64("=text"),))
-    slots = mixed.agg(F.max("slot")).first()[0]
-    return mixing.in_order(mixed, files, (slots or 0) + 1).select(*[F.col(f"`={c}`").alias(c) for c in docs.columns])
+    return mixing.arranged(docs, ROWS_PER_FILE)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its token ids and the character each token begins in."""
-    return bytebpe.encode(docs)
+    """Each document with its token ids, the character each token begins in, and the digest of the bytes decoded from the ids."""
+    coded = bytebpe.encode(docs, outputs=("ids", "starts", "decoded"))
+    return coded.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [
