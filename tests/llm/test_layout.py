@@ -59,7 +59,21 @@ def test_lines_by_brute_force(spark):
 
 def test_lines_by_host_of_url(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").withColumn("host", F.parse_url("url", F.lit("HOST")))
-    assert linededup.drop_boilerplate(pages, "host", "html").count() == pages.count()
+    pages = pages.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit("\n footer of "), "host")).otherwise(F.col("html")))
+    rows = pages.collect()
+    sites, seen = Counter(r.host for r in rows), Counter()
+    for r in rows:
+        seen.update({(r.host, x.strip(" ")) for x in r.html.split("\n")} - {(r.host, "")})
+    bad = {k for k, n in seen.items() if n >= 2 and n > linededup.RATIO * sites[k[0]]}
+    want = {r.page_id: "\n".join(x for x in r.html.split("\n") if (r.host, x.strip(" ")) not in bad) for r in rows}
+    assert bad and {r.page_id: r.html for r in linededup.drop_boilerplate(pages, "host", "html").collect()} == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_lines_of_small_hosts(spark, n):
+    rows = [(i, f"footer\nown line {i}", "h") for i in range(n)] + [(9, "footer", "other")]
+    got = {r.doc_id: r.text for r in linededup.drop_boilerplate(table(spark, rows)).collect()}
+    assert got == {i: f"own line {i}" if n > 1 else f"footer\nown line {i}" for i in range(n)} | {9: "footer"}
 
 
 def fluid_edges(weights, blocks):

@@ -56,3 +56,42 @@ def test_notices_bear_changes(spark):
     assert got[0].score == 1.0 and licenses.COVER <= got[1].score < 1
     _, found = licenses.scan(rows.filter("doc_id = 0"))
     assert [(r.start, r.end) for r in found.collect()] == [(1, 1 + len(notice.split()))]
+
+
+def plain_labels(text):
+    """Labels by counting, for every template and word, which pairs of words lie where they should."""
+    words, found = licenses.words_of(text), set()
+    for label, notices in licenses.NOTICES.items():
+        for notice in notices:
+            own = licenses.words_of(notice)
+            places = len(own) - 1
+            votes = {}
+            for at in range(places):
+                for i in range(len(words) - 1):
+                    if words[i : i + 2] == own[at : at + 2]:
+                        votes.setdefault(i - at, set()).add(at)
+            for d, ats in votes.items():
+                near = {at: min((abs(e - d), e) for e in votes if abs(e - d) <= licenses.MERGE and at in votes[e])[1] + at
+                        for at in range(places) if any(abs(e - d) <= licenses.MERGE and at in votes[e] for e in votes)}
+                for span in ([d + at for at in ats], list(near.values())):
+                    if len(span) >= licenses.COVER * places and max(span) + 2 - min(span) <= licenses.LONGEST * len(own):
+                        found.add(label)
+    return found
+
+
+def test_method_labels_by_brute_force(spark):
+    import random
+
+    rng, texts = random.Random(4), ["licensed under licensed under licensed under CC BY-NC 4.0", "Licensed under CC BY NC Licensed under CC BY-NC 4.0"]
+    notices = [n for own in licenses.NOTICES.values() for n in own]
+    for _ in range(150):
+        words = " ".join(rng.choice(notices) for _ in range(rng.randrange(1, 3))).split()
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = rng.choice([[], ["other"], words[at : at + 3], ["x", "y", "z", "u"]])
+        texts.append(" ".join(["before"] * rng.randrange(4) + words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) - set(filter(None, r.base_labels.split(","))) for r in licenses.license_report(df).collect()}
+    base = {i: set(filter(None, plain(t)[4].split(","))) for i, t in enumerate(texts)}
+    want = {i: plain_labels(t) - base[i] for i, t in enumerate(texts)}
+    assert got == want and got[0] == {"cc-by-nc"} and sum(map(bool, want.values())) > 60 and sum(not w for w in want.values()) > 5

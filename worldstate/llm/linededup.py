@@ -6,7 +6,7 @@ host. Lines above ``ratio`` are boilerplate there and are dropped from that host
 A line is what stands between line feeds, compared without blanks at its ends; blank lines are
 always kept. A line counts once per page however often the page repeats it, and repeated rows
 count as pages. Null host is a host of its own. Null text stays null, an emptied text is ``''``;
-no page is dropped. ``min_pages`` keeps lines of small hosts: a line on fewer pages stays.
+no page is dropped. A line on one page only (fewer than ``min_pages``) is no boilerplate, however small the host.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from worldstate.llm.numbering import key_text
 from worldstate.session import cut_lineage
 
 RATIO = 0.05
-MIN_PAGES = 5
+MIN_PAGES = 2
 
 
 def _digest(line: Column) -> Column:
