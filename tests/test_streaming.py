@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from worldstate.operators import batching
 from worldstate.operators.batching import BatchConfig
 from worldstate.session import fresh_dir
 from worldstate.streaming import alerts, writes
@@ -56,27 +57,120 @@ def test_only_the_general_chat_topic_is_read(spark):
 @pytest.fixture
 def ops(spark):
     return spark.range(40).select(
-        (F.col("id") % 2).cast("int").alias("server_id"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("seq"),
+        (F.col("id") % 2).cast("int").alias("server_id"), F.timestamp_seconds(F.col("id") + 1_000_000).alias("ts"), F.col("id").alias("seq"),
         F.lit(5).alias("priority"), F.lit("Mutation").alias("kind"),
     )
 
 
-def test_writer_gives_up_after_three_tries_and_says_so(spark, ops):
-    def refuse(rows, micro_batch):
-        raise RuntimeError("no")
-
-    writer = writes.BatchWriter(fresh_dir(spark, "w"), BatchConfig(base_delay_ms=1), refuse)
-    with pytest.raises(RuntimeError):
-        writer(ops, 0)
-    assert sorted((r["attempt_no"], r["failed"]) for r in writer.attempts(spark).collect()) == [(1, True), (2, True), (3, True)]
-
-
-def test_repeated_micro_batch_is_written_once(spark, ops):
-    writer = writes.BatchWriter(fresh_dir(spark, "w"))
-    writer(ops, 0)
-    writer(ops, 0)
-    assert writer.rows(spark).count() == 40
-    assert [r["failed"] for r in writer.attempts(spark).collect()] == [False]
+def written(spark, stream, deliver=writes.accept, config=BatchConfig(base_delay_ms=1), checkpoint=None, log=None):
+    log = log or writes.OutcomeLog(fresh_dir(spark, "w"))
+    writes.write_batches(stream, log, checkpoint or fresh_dir(spark, "c"), deliver, config).awaitTermination()
+    return log
+
+
+def as_stream(spark, df, folder=None):
+    folder = folder or fresh_dir(spark, "ops")
+    df.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def late_marker(ops):
+    """One operation of another server, far in the future."""
+    return ops.limit(1).select(F.lit(99).cast("int").alias("server_id"), F.lit("2090-01-01").cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("seq"), "priority", "kind")
+
+
+def test_refused_batch_is_tried_three_times_and_its_neighbours_once(spark, ops):
+    def refuse(key, batch_no, attempt, rows):
+        if key == (0,) and batch_no == 2:
+            raise RuntimeError("no")
+
+    config = BatchConfig(start_size=6, base_delay_ms=1, flush_seconds=1000)
+    log = written(spark, as_stream(spark, ops), refuse, config)
+    got = sorted((r.server_id, r.batch_no, r.attempts, r.delivered, r.delays_ms, r.items, r.error) for r in log.batches(spark).collect())
+    assert got == sorted((s, b, 3 if (s, b) == (0, 2) else 1, (s, b) != (0, 2), [1, 2] if (s, b) == (0, 2) else [], 6, "no" if (s, b) == (0, 2) else None) for s in (0, 1) for b in (1, 2, 3))
+    assert sorted(x for r in log.batches(spark).filter("server_id = 1").collect() for x in r.seqs) == list(range(1, 36, 2))
+
+
+def test_idle_buffer_flushes_by_timer_without_another_operation(spark, ops):
+    config = BatchConfig(start_size=1000, flush_seconds=7, base_delay_ms=1)
+    quiet = ops.filter("server_id = 0 and seq < 6")
+    log = written(spark, as_stream(spark, quiet.union(late_marker(ops))), config=config)
+    (only,) = log.batches(spark).filter("server_id = 0").collect()
+    assert (only.batch_no, only.cause, only.items, only.flushed_at.timestamp()) == (1, "idle", 3, 1_000_007.0)
+
+
+def test_restart_goes_on_with_numbers_and_sizes(spark, ops):
+    folder, checkpoint, log = fresh_dir(spark, "ops"), fresh_dir(spark, "c"), writes.OutcomeLog(fresh_dir(spark, "w"))
+    config = BatchConfig(start_size=4, flush_seconds=1000, settle_after=1, grow_every=2, grow_by=3, base_delay_ms=1)
+    for part in ("seq < 19", "seq >= 19"):
+        written(spark, as_stream(spark, ops.filter(part).coalesce(1), folder), config=config, checkpoint=checkpoint, log=log)
+    got = sorted((r.batch_no, r.batch_size, r.items, r.next_size) for r in log.batches(spark).filter("server_id = 0").collect())
+    assert got == [(1, 4, 4, 4), (2, 4, 4, 7), (3, 7, 7, 7)]
+    assert {r.server_id: r.batch_size for r in log.sizes(spark).collect()} == {0: 7, 1: 7}
+
+
+def test_repeated_micro_batch_replaces_its_outcomes(spark):
+    log = writes.OutcomeLog(fresh_dir(spark, "w"))
+    rows = spark.createDataFrame([(1, 1, 50)], "server_id int, batch_no long, next_size int")
+    log(rows, 0)
+    log(rows, 0)
+    assert log.batches(spark).count() == 1
+
+
+def test_buffers_equal_the_loop():
+    """Cutting operations into micro-batches changes nothing; one operation at a time is the rule."""
+    import random
+
+    import numpy as np
+
+    config, rng = BatchConfig(start_size=5, flush_seconds=3, settle_after=2, min_size=2), random.Random(7)
+
+    def deliver(key, batch_no, attempt, rows):
+        if batch_no % 5 == 3 and attempt <= batch_no % 4:
+            raise RuntimeError("no")
+
+    t, rows = 0, []
+    for i in range(500):
+        t += rng.choice([0, 10, 400_000, 900_000, 4_000_000])
+        rows.append({"us": t, "seq": i, "priority": rng.choice([0] + [5] * 9), "kind": rng.choice(["Mutation", "Deletion"])})
+
+    def run(cuts):
+        found, buffer = [], writes.Buffer(0.0, config.start_size)
+
+        def flush(held, cause, at):
+            after, outcome = writes.commit(held, (1,), cause, at, deliver, config, pause=lambda s: None)
+            found.append(outcome)
+            return after
+
+        for a, b in zip(cuts, cuts[1:]):
+            part = rows[a:b]
+            buffer = writes.take(buffer, part, np.array([r["us"] for r in part], float), flush, config.flush_seconds * 1e6)
+        return found, buffer
+
+    whole, buffer = run([0, 500])
+    assert whole == run([0, *sorted(rng.sample(range(1, 500), 60)), 500])[0] == run(list(range(501)))[0]
+    held, last, size, no, seqs, want = [], 0, 5, 1, [], []
+    wins = losses = 0
+    for r in rows:
+        ended = []
+        if held and r["us"] > last + 3_000_000:
+            ended.append((held, last + 3_000_000, "idle"))
+            held = []
+        at = ended[-1][1] if ended else last
+        for batch, when, cause in ended:
+            fails = min(3, no % 4 if no % 5 == 3 else 0)
+            wins, losses, last = wins + (fails < 3), losses + fails, when
+            want.append((no, len(batch), cause, size))
+            size, no = batching.next_batch_size(size, wins, losses, config), no + 1
+        held = held + [r]
+        if len(held) >= size or r["priority"] == 0 or r["us"] - at > 3_000_000:
+            fails = min(3, no % 4 if no % 5 == 3 else 0)
+            cause = "late" if r["us"] - at > 3_000_000 else "priority" if r["priority"] == 0 else "size"
+            wins, losses, last = wins + (fails < 3), losses + fails, r["us"]
+            want.append((no, len(held), cause, size))
+            size, no, held = batching.next_batch_size(size, wins, losses, config), no + 1, []
+    assert [(o["batch_no"], o["items"], o["cause"], o["batch_size"]) for o in whole] == want and len({o["batch_size"] for o in whole}) > 1
+    assert sum(o["items"] for o in whole) + len(buffer.held) == 500 and {o["cause"] for o in whole} == {"idle", "late", "priority", "size"}
 
 
 def test_alert_latch(spark):
@@ -93,3 +187,53 @@ def test_transfer_expires_and_disconnect_in_transfer_keeps_the_player(spark):
     df = spark.createDataFrame(rows, "entity_id int, ts int, seq int, micros double, event string")
     got = alerts.transfer_tracker(df, timeout_s=60).orderBy("seq").collect()
     assert [r["action"] for r in got] == ["open", "none", "close", "delete", "open", "expire"]
+
+
+def _tracked(rows, timeout_us):
+    """Action and state after each event, one event at a time."""
+    opened, out = None, []
+    for at, event in rows:
+        expired = opened is not None and at - opened > timeout_us
+        if expired:
+            opened = None
+        action = "expire" if expired else "none"
+        if event == "plan" and opened is None:
+            opened, action = at, "open"
+        elif event in ("remote_update", "arrive") and opened is not None:
+            opened, action = None, "close"
+        elif event == "disconnect" and opened is None:
+            action = "delete"
+        out.append((action, opened is not None))
+    return out
+
+
+@pytest.mark.parametrize("rows_per_task", [10**6, 40])
+@pytest.mark.parametrize("timeout_s", [3, 50, 10**6])
+def test_transfers_equal_the_loop(spark, timeout_s, rows_per_task):
+    import random
+
+    rng, rows, want = random.Random(timeout_s), [], {}
+    for player, kinds in ((1, ["plan"] * 6 + ["remote_update", "disconnect", "local_update"]), (2, ["plan", "disconnect"]), (3, ["arrive", "plan", "disconnect"])):
+        t, mine = 0, []
+        for i in range(150):
+            t += rng.choice([0, 1, 2, 3, 7])
+            mine.append((t * 1_000_000, rng.choice(kinds)))
+            rows.append((player, t, player * 1000 + i, t * 1e6, mine[-1][1]))
+        want |= {player * 1000 + i: w for i, w in enumerate(_tracked(mine, timeout_s * 1_000_000))}
+    df = spark.createDataFrame(rows, "entity_id int, ts int, seq int, micros double, event string").repartition(3)
+    got = alerts.transfer_tracker(df, timeout_s=timeout_s, rows_per_task=rows_per_task).collect()
+    assert {r.seq: (r.action, r.in_transfer) for r in got} == want and len(got) == len(rows)
+
+
+def test_transfer_expires_by_timer_without_another_event(spark):
+    log = [(1, 10, "plan"), (1, 12, "plan"), (2, 11, "plan"), (2, 13, "arrive"), (3, 10, "plan"), (3, 100, "disconnect"), (9, 90_000, "local_update")]
+    df = spark.createDataFrame([(e, t, s, float(t) * 1e6, k) for s, (e, t, k) in enumerate(log)], "entity_id int, t long, seq int, micros double, event string")
+    df = df.withColumn("ts", F.timestamp_seconds("t")).select("entity_id", "ts", "seq", "micros", "event")
+    out, checkpoint = fresh_dir(spark, "out"), fresh_dir(spark, "c")
+    tracked = alerts.transfer_stream(as_stream(spark, df), timeout_s=60)
+    tracked.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    got = sorted((r.entity_id, r.micros / 1e6, r.event or "", r.action, r.in_transfer) for r in spark.read.schema(tracked.schema).parquet(out).collect())
+    assert got == sorted([
+        (1, 10, "plan", "open", True), (1, 12, "plan", "none", True), (1, 70, "", "expire", False), (2, 11, "plan", "open", True), (2, 13, "arrive", "close", False),
+        (3, 10, "plan", "open", True), (3, 70, "", "expire", False), (3, 100, "disconnect", "delete", False), (9, 90_000, "local_update", "none", False),
+    ])

@@ -185,22 +185,70 @@ def batch_assign_stream(v):
     return finished(v, writes.assign_stream(replay(v, ops))).select("seq", "ends_batch")
 
 
-@query("select seq, server_id, kind, priority from ops")
+def refused(key: tuple, batch_no: int, attempt: int, rows: list) -> None:
+    """Servers of even number take all; of the others' batches one in twelve is refused once, one twice, one always."""
+    (server,) = key
+    if server % 2 and attempt <= (server * 5 + batch_no * 7) % 12 - 8:
+        raise RuntimeError("commit refused")
+
+
+def _refusals(batch: str) -> str:
+    return f"case when server_id % 2 = 1 then greatest(0, (server_id * 5 + {batch} * 7) % 12 - 8) else 0 end"
+
+
+def _resized(size: str, wins: str, losses: str) -> str:
+    return f"""case when {wins} + {losses} < 10 then {size}
+      when 100 * {wins} < 80 * ({wins} + {losses}) and {size} > 20 then greatest({size} // 2, 20)
+      when 100 * {wins} > 95 * ({wins} + {losses}) and {size} < 1000 and {wins} % 20 = 0 then least({size} + 50, 1000) else {size} end"""
+
+
+_WAIT = 5_000_000
+# one step per operation: the batch that time ends before it comes (columns 0), then the one it ends itself (columns 2)
+WRITE_SQL = f"""with recursive numbered as (
+      select server_id, priority, epoch_us(ts) as us, row_number() over (partition by server_id order by ts, seq) as rn from ops),
+    run as (
+      select server_id, cast(0 as bigint) as rn, cast(0 as bigint) as us, false as idle, 0 as items0, cast(0 as bigint) as at0, 0 as b0, 0 as in0, 0 as f0, 0 as s0,
+        false as flush, 0 as items2, cast(null as varchar) as cause, 0 as b2, 0 as in2, 0 as f2, 0 as s2,
+        1 as b, 0 as held, min(us) as last, 0 as wins, 0 as losses, 200 as size
+      from numbered group by server_id
+      union all
+      select server_id, rn, us, idle, items0, at0, b0, in0, f0, s0, flush, h1 as items2,
+        case when us - t1 > {_WAIT} then 'late' when priority = 0 then 'priority' else 'size' end as cause, b1 as b2, size1 as in2, f2, s2,
+        b1 + cast(flush as int) as b, case when flush then 0 else h1 end as held, case when flush then us else t1 end as last,
+        case when flush then w2 else w1 end as wins, case when flush then l2 else l1 end as losses, case when flush then s2 else size1 end as size
+      from (select *, cast({_resized("size1", "w2", "l2")} as int) as s2 from (
+        select *, w1 + cast(f2 < 3 as int) as w2, l1 + least(3, f2) as l2 from (
+          select *, h1 >= size1 or priority = 0 or us - t1 > {_WAIT} as flush, cast({_refusals("b1")} as int) as f2 from (
+            select server_id, rn, us, priority, idle, held as items0, last + {_WAIT} as at0, b as b0, size as in0, f0, s0,
+              b + cast(idle as int) as b1, case when idle then 1 else held + 1 end as h1, case when idle then last + {_WAIT} else last end as t1,
+              case when idle then w0 else wins end as w1, case when idle then l0 else losses end as l1, case when idle then s0 else size end as size1
+            from (select *, cast({_resized("size", "w0", "l0")} as int) as s0 from (
+              select *, wins + cast(f0 < 3 as int) as w0, losses + least(3, f0) as l0 from (
+                select *, held > 0 and us > last + {_WAIT} as idle, cast({_refusals("b")} as int) as f0 from (
+                  select n.server_id, n.rn, n.us, n.priority, r.b, r.held, r.last, r.wins, r.losses, r.size
+                  from run r join numbered n on n.server_id = r.server_id and n.rn = r.rn + 1) a) b_) c) d) e) f) g) h),
+    ended as (
+      select server_id, b0 as batch_no, in0 as batch_size, items0 as items, 'idle' as cause, at0 as at_us, f0 as fails, s0 as next_size from run where idle
+      union all select server_id, b2, in2, items2, cause, us, f2, s2 from run where flush
+      union all
+      select server_id, b, size, held, 'idle', last + {_WAIT}, f, cast({_resized("size", "(wins + cast(f < 3 as int))", "(losses + least(3, f))")} as int)
+      from (select *, cast({_refusals("b")} as int) as f from run qualify row_number() over (partition by server_id order by rn desc) = 1) z where held > 0)"""
+
+
+@query(
+    f"""{WRITE_SQL} select server_id, cast(batch_no as bigint) as batch_no, batch_size, items, cause, at_us, least(3, fails + 1) as attempts,
+      case fails when 0 then 0 when 1 then 1 else 3 end as delay_ms, fails < 3 as delivered, next_size from ended"""
+)
 def write_batches(v):
-    """All operations delivered once, although the first try of each micro-batch fails."""
-    failed: set[int] = set()
-    writer = writes.BatchWriter(fresh_dir(v.spark, "writes"), BatchConfig(base_delay_ms=1))
-    store = writer._write_rows
-
-    def deliver(rows: DataFrame, micro_batch: int) -> None:
-        store(rows, micro_batch)
-        if micro_batch not in failed:
-            failed.add(micro_batch)
-            raise RuntimeError("commit refused")
-
-    writer._deliver = deliver
-    writes.write_batches(replay(v, v.ops), writer, fresh_dir(v.spark, "checkpoint")).awaitTermination()
-    return writer.rows(v.spark).select("seq", "server_id", "kind", "priority")
+    """Batches of a replayed feed with their attempts, delays and sizes; buffers left at the end flush by timer."""
+    closing = end_marker(v.ops.withColumn("ts", F.col("ts").cast("timestamp")), server_id=-2, seq=-1, priority=5, kind="Mutation")
+    log = writes.OutcomeLog(fresh_dir(v.spark, "writes"))
+    stream = replay(v, v.ops, closing)
+    writes.write_batches(stream, log, fresh_dir(v.spark, "checkpoint"), refused, BatchConfig(base_delay_ms=1)).awaitTermination()
+    delay = F.aggregate("delays_ms", F.lit(0), lambda a, d: a + d).alias("delay_ms")
+    return log.batches(v.spark).filter("server_id >= 0").select(
+        "server_id", "batch_no", "batch_size", "items", "cause", F.unix_micros("flushed_at").alias("at_us"), "attempts", delay, "delivered", "next_size"
+    )
 
 
 @query(

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from worldstate.operators.folds import Step
@@ -42,14 +42,18 @@ class FoldProcessor(StatefulProcessor):
         pass
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keyed state of this kind needs the RocksDB state store."""
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB_PROVIDER:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+
+
 def stream_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, output: str) -> DataFrame:
     """Streaming twin of ``chained_fold``: ``step`` along each key, state carried over batches.
 
     Needs the RocksDB state store (``ROCKSDB_PROVIDER``).
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB_PROVIDER:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    use_rocksdb(df.sparkSession)
     added = [c.strip().split()[0] for c in output.split(",")]
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", " + output
     processor = FoldProcessor(step, order, [*df.columns, *added])

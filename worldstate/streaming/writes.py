@@ -1,72 +1,208 @@
-"""Batched writes from a stream, with retries and a delivery log."""
+"""Batched writes from a stream: batches, delivery with retries, adaptive size and idle flush, all as keyed state.
+
+Each server's operations go through one processor. Its state holds the buffer (at most ``max_size`` operations),
+the number of the next batch, the time of the last flush, the attempts so far and the size they lead to. A batch
+leaves when it is full, holds an operation of priority 0, an operation comes later than the flush time, or the
+flush time passes without one: then a timer of the watermark flushes it, and an operation that comes first finds
+the batch flushed just as the timer would have done.
+
+Commit protocol: a batch is delivered under its key (server, ``batch_no``), up to three times, with the delay
+doubling in between; its neighbours are not repeated. The outcome row goes to the log with the micro-batch, the
+state with the checkpoint. If a micro-batch is repeated after a failure the same batches come again under the same
+keys, so ``deliver`` must replace what it has stored under a key. A batch given up after the last try stays in the
+log with its operations, and the next batches go on, sized by the attempts so far.
+"""
 
 from __future__ import annotations
 
+import pickle
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any, NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from worldstate.operators.batching import BatchConfig, batch_assign, batch_order, flush_step
-from worldstate.streaming.folds import stream_fold
+from worldstate.operators.batching import BatchConfig, flush_step, next_batch_size
+from worldstate.operators.ordered import order_value
+from worldstate.streaming.folds import stream_fold, use_rocksdb
 from worldstate.streaming.state_table import UNTIL_READ
 
-ATTEMPTS_SCHEMA = "micro_batch bigint, attempt_no int, failed boolean, error string"
-
-Deliver = Callable[[DataFrame, int], None]
-
+OUTCOME = (
+    "batch_no bigint, batch_size int, items int, mutations int, deletions int, cause string, flushed_at timestamp, "
+    "attempts int, delays_ms array<int>, delivered boolean, error string, next_size int, seqs array<bigint>"
+)
+
+Row = dict[str, Any]
+Deliver = Callable[[tuple, int, int, list[Row]], None]  # key, batch_no, attempt, operations in order; raises to refuse
+
+
+class Buffer(NamedTuple):
+    """State of one server."""
+
+    last: float  # last flush, in microseconds
+    size: int
+    batch_no: int = 1
+    wins: int = 0
+    losses: int = 0
+    held: tuple[Row, ...] = ()
+    timer: int | None = None
+
+
+def accept(key: tuple, batch_no: int, attempt: int, rows: list[Row]) -> None:
+    """Takes every batch: the log is the store."""
+
+
+def commit(buffer: Buffer, key: tuple, cause: str, at: float, deliver: Deliver, config: BatchConfig, pause=time.sleep) -> tuple[Buffer, Row]:
+    """Delivers what is held: mutations, then deletions, each by priority and arrival. The buffer after it, and the outcome."""
+    rows = sorted(buffer.held, key=lambda r: (r["kind"] != "Mutation", r["priority"], r["seq"]))
+    wins, losses, delays, error, delivered = buffer.wins, buffer.losses, [], None, False
+    for attempt in range(1, config.max_retries + 1):
+        try:
+            deliver(key, buffer.batch_no, attempt, rows)
+        except Exception as refused:
+            losses, error = losses + 1, str(refused)[:500]
+            if attempt < config.max_retries:
+                delays.append(config.base_delay_ms << (attempt - 1))
+                pause(delays[-1] / 1000)
+        else:
+            wins, delivered = wins + 1, True
+            break
+    size = next_batch_size(buffer.size, wins, losses, config)
+    mutations = sum(r["kind"] == "Mutation" for r in rows)
+    outcome = {
+        "batch_no": buffer.batch_no, "batch_size": buffer.size, "items": len(rows), "mutations": mutations, "deletions": len(rows) - mutations,
+        "cause": cause, "flushed_at": pd.Timestamp(int(at), unit="us"), "attempts": attempt, "delays_ms": delays, "delivered": delivered,
+        "error": error, "next_size": size, "seqs": [int(r["seq"]) for r in rows],
+    }
+    return Buffer(at, size, buffer.batch_no + 1, wins, losses, (), buffer.timer), outcome
+
+
+def take(buffer: Buffer, rows: list[Row], micros: np.ndarray, flush: Callable[[Buffer, str, float], Buffer], wait: float) -> Buffer:
+    """Adds operations in order; ``flush`` is called wherever a batch ends."""
+    urgent = np.flatnonzero([r["priority"] == 0 for r in rows])
+    i, n = 0, len(rows)
+    while i < n:
+        late = i + int(np.searchsorted(micros[i:], buffer.last + wait, side="right"))
+        hit = urgent[np.searchsorted(urgent, i)] if len(urgent) and urgent[-1] >= i else n
+        full = i + max(0, buffer.size - len(buffer.held) - 1)
+        end = min(full, hit, n)
+        if late <= end and late < n:
+            if buffer.held or late > i:  # the flush time passes before that operation comes
+                buffer = flush(buffer._replace(held=(*buffer.held, *rows[i:late])), "idle", buffer.last + wait)
+                i = late
+            else:
+                buffer = flush(buffer._replace(held=(rows[i],)), "late", micros[i])
+                i += 1
+        elif end < n:
+            cause = "priority" if hit == end else "size"
+            buffer = flush(buffer._replace(held=(*buffer.held, *rows[i : end + 1])), cause, micros[end])
+            i = end + 1
+        else:
+            buffer, i = buffer._replace(held=(*buffer.held, *rows[i:])), n
+    return buffer
+
+
+class WriteProcessor(StatefulProcessor):
+    def __init__(self, keys: Sequence[str], deliver: Deliver, config: BatchConfig):
+        self._keys, self._deliver, self._config = list(keys), deliver, config
+        self._wait = config.flush_seconds * 1e6
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._state = handle.getValueState("buffer", "value binary")
+
+    def _run(self, key: tuple, buffer: Buffer, work: Callable[[Buffer, Callable], Buffer]) -> Iterator[pd.DataFrame]:
+        outcomes: list[Row] = []
+
+        def flush(held: Buffer, cause: str, at: float) -> Buffer:
+            after, outcome = commit(held, key, cause, float(at), self._deliver, self._config)
+            outcomes.append(dict(zip(self._keys, key)) | outcome)
+            return after
+
+        buffer = work(buffer, flush)
+        due = int((buffer.last + self._wait) // 1000) + 1 if buffer.held else None
+        if due != buffer.timer:
+            if buffer.timer is not None and buffer.timer in self._timers():
+                self._handle.deleteTimer(buffer.timer)
+            if due is not None:
+                self._handle.registerTimer(due)
+        self._state.update((pickle.dumps(tuple(buffer._replace(timer=due))),))
+        if outcomes:
+            yield pd.DataFrame(outcomes)
+
+    def _timers(self) -> set[int]:
+        return {t[0] if isinstance(t, (tuple, list)) else int(t) for t in self._handle.listTimers()}
+
+    def _buffer(self) -> Buffer | None:
+        return Buffer(*pickle.loads(self._state.get()[0])) if self._state.exists() else None
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        chunks = [pdf for pdf in rows if not pdf.empty]
+        if not chunks:
+            return
+        pdf = pd.concat(chunks).sort_values(["micros", "seq"], kind="stable", ignore_index=True)
+        micros = pdf["micros"].to_numpy("float64")
+        buffer = self._buffer() or Buffer(float(micros[0]), self._config.start_size)
+        listed = pdf.drop(columns=["micros"]).to_dict("records")
+        yield from self._run(key, buffer, lambda b, flush: take(b, listed, micros, flush, self._wait))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        buffer = self._buffer()
+        if buffer is None:
+            return
+        due = buffer.last + self._wait
+        if buffer.held and expiredTimerInfo.getExpiryTimeInMs() * 1000 > due:
+            yield from self._run(key, buffer._replace(timer=None), lambda b, flush: flush(b, "idle", due))
+
+    def close(self) -> None:
+        pass
+
+
+def batch_outcomes(
+    ops: DataFrame, deliver: Deliver = accept, config: BatchConfig = BatchConfig(), keys: Sequence[str] = ("server_id",), at: str = "ts", delay: str = "1 minute"
+) -> DataFrame:
+    """Delivers a stream of operations in batches; a stream of one outcome row per batch (``OUTCOME``).
+
+    ``ops`` has the keys, the event time ``at``, ``seq``, ``priority``, ``kind`` and what ``deliver`` needs. Operations
+    later than ``delay`` behind the newest are dropped by the watermark.
+    """
+    use_rocksdb(ops.sparkSession)
+    timed = ops.withColumn("micros", order_value(ops, at)).withWatermark(at, delay)
+    kinds = dict(timed.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + OUTCOME
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=WriteProcessor(keys, deliver, config), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    )
 
-class BatchWriter:
-    """Delivers each micro-batch as ordered write batches, up to three tries.
 
-    ``deliver(rows, micro_batch)`` must replace what an earlier try of the same micro-batch wrote;
-    the default overwrites the folder ``<path>/rows/micro=N``. Attempts are logged under
-    ``<path>/attempts/micro=N``. After the last failed try the error is raised, the stream stops,
-    and a restart repeats the micro-batch: nothing is lost unnoticed.
-    """
+class OutcomeLog:
+    """Outcomes as a table, one folder per micro-batch; a repeated micro-batch replaces its own."""
 
-    def __init__(self, path: str, config: BatchConfig = BatchConfig(), deliver: Deliver | None = None):
-        self.path, self.config = path, config
-        self._deliver = deliver or self._write_rows
-
-    def _write_rows(self, rows: DataFrame, micro_batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/rows/micro={micro_batch}")
-
-    def __call__(self, ops: DataFrame, micro_batch: int) -> None:
-        ordered = batch_order(batch_assign(ops, config=self.config))
-        log: list[tuple[int, int, bool, str | None]] = []
-        delay = self.config.base_delay_ms / 1000
-        for attempt in range(1, self.config.max_retries + 1):
-            try:
-                self._deliver(ordered, micro_batch)
-            except Exception as error:
-                log.append((micro_batch, attempt, True, str(error)[:500]))
-                if attempt == self.config.max_retries:
-                    self._write_log(ops.sparkSession, log, micro_batch)
-                    raise
-                time.sleep(delay)
-                delay *= 2
-            else:
-                log.append((micro_batch, attempt, False, None))
-                self._write_log(ops.sparkSession, log, micro_batch)
-                return
+    def __init__(self, path: str):
+        self.path = path
 
-    def _write_log(self, spark: SparkSession, log: list, micro_batch: int) -> None:
-        rows = spark.createDataFrame(log, ATTEMPTS_SCHEMA)
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/attempts/micro={micro_batch}")
+    def __call__(self, outcomes: DataFrame, micro_batch: int) -> None:
+        outcomes.write.mode("overwrite").parquet(f"{self.path}/micro={micro_batch}")
 
-    def rows(self, spark: SparkSession) -> DataFrame:
-        return spark.read.option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows")
+    def batches(self, spark: SparkSession) -> DataFrame:
+        return spark.read.option("basePath", self.path).parquet(self.path)
 
-    def attempts(self, spark: SparkSession) -> DataFrame:
-        return spark.read.option("basePath", f"{self.path}/attempts").parquet(f"{self.path}/attempts")
+    def sizes(self, spark: SparkSession, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+        """The size in force per server: what its last batch led to."""
+        return self.batches(spark).groupBy(*keys).agg(F.max_by("next_size", "batch_no").alias("batch_size"))
 
 
-def write_batches(ops: DataFrame, writer: BatchWriter, checkpoint: str, **trigger) -> StreamingQuery:
-    """Stream operations (server_id, ts, seq, priority, kind, …) through ``writer``."""
+def write_batches(
+    ops: DataFrame, log: OutcomeLog, checkpoint: str, deliver: Deliver = accept, config: BatchConfig = BatchConfig(), delay: str = "1 minute", **trigger
+) -> StreamingQuery:
+    """Streams operations (server_id, ts, seq, priority, kind, …) through ``deliver``, outcomes into ``log``."""
     return (
-        ops.writeStream.foreachBatch(writer)
+        batch_outcomes(ops, deliver, config, delay=delay).writeStream.foreachBatch(log)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or UNTIL_READ))
         .start()
@@ -76,7 +212,8 @@ def write_batches(ops: DataFrame, writer: BatchWriter, checkpoint: str, **trigge
 def assign_stream(ops: DataFrame, config: BatchConfig = BatchConfig()) -> DataFrame:
     """Stream twin of ``batch_assign``: marks the operations that end a batch.
 
-    ``ops`` carries ``micros``, the arrival time in microseconds.
+    ``ops`` carries ``micros``, the arrival time in microseconds. An operation can only be marked when it comes, so
+    there is no idle flush here; ``batch_outcomes`` has it.
     """
     step = flush_step(config.start_size, config.flush_seconds * 1e6)
     return stream_fold(ops, ["server_id"], ["ts", "seq"], step, "ends_batch boolean")
