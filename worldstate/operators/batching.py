@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from worldstate.operators import ranges
 from worldstate.operators.folds import chained_fold
 from worldstate.operators.ordered import ROWS_PER_TASK, Ordered, order_value
 from worldstate.session import cut_lineage
@@ -163,15 +164,21 @@ def next_batch_size(size: int, wins: float, losses: float, config: BatchConfig)
     return size
 
 
-def _size_step(config: BatchConfig):
-    def run(size, rows):
-        size = config.start_size if size is None else size
-        sizes = np.zeros(len(rows), dtype="int32")
-        for i, (wins, losses) in enumerate(zip(rows["wins"].tolist(), rows["losses"].tolist())):
-            size = sizes[i] = next_batch_size(int(size), wins, losses, config)
-        return int(size), {"batch_size": sizes}
+def _changed_size(size: Column, change: Column, config: BatchConfig) -> Column:
+    """Size after a batch that asks for a smaller (-1), a larger (1) or the same size."""
+    smaller = F.when(size > config.min_size, F.greatest(F.floor(size / 2).cast("int"), F.lit(config.min_size))).otherwise(size)
+    larger = F.when(size < config.max_size, F.least(size + config.grow_by, F.lit(config.max_size))).otherwise(size)
+    return F.when(change < 0, smaller).when(change > 0, larger).otherwise(size)
 
-    return run
+
+def _sizes(config: BatchConfig) -> list[int]:
+    """All sizes that can come of the first."""
+    found, new = set(), {config.start_size}
+    while new:
+        found |= new
+        smaller = {max(s // 2, config.min_size) for s in new if s > config.min_size}
+        new = (smaller | {min(s + config.grow_by, config.max_size) for s in new if s < config.max_size}) - found
+    return sorted(found)
 
 
 def batch_size_controller(
@@ -183,13 +190,28 @@ def batch_size_controller(
 ) -> DataFrame:
     """Batch size after each batch. ``batches``: keys, order, ``successes`` and ``aborts`` of the batch.
 
-    The running totals are a prefix sum; only the size itself is folded.
+    The running totals are prefix sums. They say of each batch whether it asks for a smaller or a larger size, so a
+    range of batches is a map of sizes, and the sizes entering all ranges come of composed maps (``ranges``).
     """
     totals = (
         Ordered(batches.select(*keys, *order, "successes", "aborts"), keys, order, rows_per_task)
         .running_sum("wins", F.col("successes").cast("bigint"))
         .running_sum("losses", F.col("aborts").cast("bigint"))
-        .result(*keys, *order, "wins", "losses")
+        .row_number("_at")
+        .result(*keys, *order, "wins", "losses", "_at")
     )
-    totals = cut_lineage(totals, "totals")
-    return chained_fold(totals, keys, order, _size_step(config), "batch_size int", rows_per_task)
+    total = F.col("wins") + F.col("losses")
+    rate = F.col("wins") / total * 100.0
+    more = (rate > config.grow_above) & (F.col("wins") % config.grow_every == 0)
+    change = F.when(total < config.settle_after, 0).when(rate < config.shrink_below, -1).when(more, 1).otherwise(0)
+    placed = totals.withColumns({"_change": change, "_range": F.expr(f"(_at - 1) div {ranges.RANGE}")})
+    held = cut_lineage(ranges.in_ranges(placed, keys), "ranges")
+
+    def step(size: Column, row: Column) -> Column:
+        return _changed_size(size, row["_change"], config)
+
+    entering = ranges.entering_values(held, keys, _sizes(config), config.start_size, step)
+    started = held.join(entering, [*keys, "_range"], "left").withColumn("entering", F.coalesce("entering", F.lit(config.start_size)))
+    sizes = F.arrays_zip("rows", ranges.states(F.col("rows"), F.col("entering"), step).alias("batch_size"))
+    after = started.select(*keys, F.explode(sizes).alias("r"))
+    return after.select(*keys, *[F.col(f"r.rows.{c}").alias(c) for c in order], "r.rows.wins", "r.rows.losses", "r.batch_size")

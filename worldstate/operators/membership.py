@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worldstate.operators.folds import chained_fold
+from worldstate.operators import ranges
 from worldstate.operators.ordered import ROWS_PER_TASK, Ordered
+from worldstate.session import cut_lineage
 
 
 def membership_intervals(
@@ -33,22 +33,6 @@ def membership_intervals(
     return rows.filter(entering).select(*keys, F.col(order[0]).alias("entered_at"), "left_at", order[-1])
 
 
-def _innermost_step(area: str):
-    def run(inside, rows):
-        inside = [] if inside is None else inside
-        parents = np.empty(len(rows), dtype=object)
-        for i, (where, kind) in enumerate(zip(rows[area].tolist(), rows["kind"].tolist())):
-            if kind == "enter":
-                if where not in inside:
-                    inside.append(where)
-            elif where in inside:
-                inside.remove(where)
-            parents[i] = inside[-1] if inside else None
-        return inside, {"parent": parents}
-
-    return run
-
-
 def current_parent(
     events: DataFrame,
     keys: Sequence[str] = ("entity_id",),
@@ -58,9 +42,31 @@ def current_parent(
 ) -> DataFrame:
     """Adds ``parent_area``: the area entered last and not yet left, after each event; else null.
 
-    The state is the short list of areas the entity is in. Areas may be numbers or texts.
+    Stays are intervals between two events; those open where a range of events begins are the list that enters it, by
+    the time of entering. So all ranges are worked on at once, each from its own list (the areas an entity is in).
     """
-    kind = dict(events.dtypes)[area]
-    rows = events.select(*keys, *order, F.col(area).cast("string").alias(area), "kind")  # texts pass Python unchanged
-    folded = chained_fold(rows, keys, order, _innermost_step(area), "parent string", rows_per_task)
-    return folded.withColumns({area: F.col(area).cast(kind), "parent_area": F.col("parent").cast(kind)}).drop("parent")
+    placed = cut_lineage(ranges.numbered(events, keys, order, rows_per_task), "placed")
+    left = F.when(F.col("kind") == "exit", F.col("_at"))
+    stays = Ordered(placed.select(*keys, area, "_at", "kind"), [*keys, area], ["_at"], rows_per_task)
+    stays = stays.lag("_before", F.col("kind")).next_known("_left", left).result()
+    stays = stays.filter((F.col("kind") == "enter") & (F.coalesce("_before", F.lit("exit")) == "exit"))
+    last = placed.groupBy(*keys).agg(F.max("_range").alias("_last"))
+    first = F.expr(f"(_at - 1) div {ranges.RANGE} + 1")
+    until = F.coalesce(F.expr(f"(_left - 1) div {ranges.RANGE}"), F.col("_last"))
+    crossing = stays.join(last, list(keys)).withColumns({"_first": first, "_until": until}).filter("_first <= _until")
+    crossing = crossing.select(*keys, "_at", area, F.explode(F.sequence("_first", "_until")).alias("_range"))
+    entering = crossing.groupBy(*keys, "_range").agg(F.array_sort(F.collect_list(F.struct("_at", area))).alias("_open"))
+    held = ranges.in_ranges(placed, keys).join(entering, [*keys, "_range"], "left")
+    nothing = F.array().cast(f"array<{dict(events.dtypes)[area]}>")
+
+    def step(inside: Column, row: Column) -> Column:
+        where = row[area]
+        there = F.array_contains(inside, where)
+        entered = F.when(there, inside).otherwise(F.array_append(inside, where))
+        return F.when(where.isNull(), inside).when(row["kind"] == "enter", entered).otherwise(F.array_remove(inside, where))
+
+    opened = F.coalesce(F.transform("_open", lambda o: o[area]), nothing)
+    inside = ranges.states(F.col("rows"), opened, step)
+    parents = F.transform(inside, lambda areas: F.get(areas, F.size(areas) - 1))
+    after = held.select(*keys, F.explode(F.arrays_zip("rows", parents.alias("parent_area"))).alias("r"))
+    return after.select(*[F.col(c) if c in keys else F.col(f"r.rows.{c}").alias(c) for c in events.columns], "r.parent_area")
