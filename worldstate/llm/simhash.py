@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worldstate.llm.graphs import Forest, connected_components
-from worldstate.llm.rows import ID, rejoin, with_row_id
+from worldstate.llm.rows import ID, rejoin, with_row_id, without
 from worldstate.session import cut_lineage
 
 WORDS = 4
@@ -467,8 +467,11 @@ def keep_unlike(
     members = groups.join(classes.select("node", "fingerprint", "size", "row"), "node")
     rows = cut_lineage(marked.select("row.*").groupBy(*ID).agg(F.count(F.lit(1)).alias("__rows")), "rows")
     members = members.select("root", "node", "fingerprint", "size", *[F.col(f"row.{c}").alias(c) for c in ID]).join(rows, list(ID))
-    texts = rejoin(docs, cut_lineage(members, "members"), {"text": F.col(text)})
+    texts = rejoin(docs, cut_lineage(members, "members"), {"text": F.col(text)}, few=True)
     roots = connected_components(set_links(texts, words, radius, similarity))
     rooted = classes.join(roots, "node", "left")
     kept = rooted.groupBy(F.coalesce("root", "node")).agg(F.min("row").alias("row")).select("row.*").select(*ID)
-    return rejoin(docs, kept.join(rows, list(ID))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = cut_lineage(kept, "kept")
+    dropped = cut_lineage(rows.join(kept, list(ID), "left_anti"), "dropped")
+    repeated = rows.filter("__rows > 1").join(kept, list(ID), "left_semi")
+    return without(docs, dropped, repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
