@@ -14,11 +14,18 @@ from pyspark.sql import functions as F
 from worldstate.llm import bytebpe, linededup, mixing, simhash, toxicity
 from worldstate.session import cut_lineage
 
-ROWS_PER_FILE = 50_000
+ROWS_PER_FILE = 16_384
+BATCH_ROWS = 1024
+
+
+def _short_batches(spark: SparkSession) -> None:
+    """Batches for Python are cut by rows; texts may be long, so a batch has fewer of them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go. Learned from the labels of the folder."""
+    _short_batches(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
 
 
@@ -33,6 +40,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 0.8 of their five-word shingles the one with the least key stays."""
+    _short_batches(spark)
     return simhash.keep_unlike(docs)
 
 
@@ -43,6 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with its token ids, the character each token begins in, and the digest of the bytes decoded from the ids."""
+    _short_batches(spark)
     coded = bytebpe.encode(docs, outputs=("ids", "starts", "decoded"))
     return coded.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
