@@ -111,7 +111,7 @@ def test_bounds_merge_upwards_and_ignore_empty_boxes(spark):
         "uid string, parent_uid string, size double, x double, y double, z double",
     )
     got = {r["uid"]: (r["lo_x"], r["hi_x"], r["bounds_size"]) for r in hierarchy.node_bounds(df).collect()}
-    assert got == {"r": (-1.0, 5.5, 6.5), "k": (4.5, 5.5, 1.0)}
+    assert got == {"r": (-1.0, 5.5, 6.5), "k": (4.5, 5.5, 1.0), "e": (None, None, 0.0)}
 
 
 def test_upsert_keeps_old_fields_and_assigns_ids(spark):

@@ -149,6 +149,21 @@ def test_every_point_on_a_shared_face_has_one_zone(spark):
     assert len(got) == 16 and len({r["target_id"] for r in got}) == 16
 
 
+def test_ten_thousand_zones_over_one_cell(spark):
+    """Lists stay short; what they leave out is still found."""
+    from worldstate.operators.boxes import PAGE
+
+    n = 10_000
+    ids = spark.range(n).withColumn("seq", (F.col("id") * 7919 % n).cast("int"))
+    sides = [F.lit(0.0).alias("x_start"), (1 + F.col("seq") / n).alias("x_end"), F.lit(0.0).alias("y_start"), F.lit(1.0).alias("y_end"), F.lit(0.0).alias("z_start"), F.lit(1.0).alias("z_end")]
+    zs = ids.select("seq", "id", F.concat(F.lit("z"), F.col("id")).alias("name"), *sides)
+    points = spark.range(400).select(F.col("id").alias("k"), (F.col("id") % 50).alias("server_id"), (F.col("id") / 200).alias("x"), F.lit(0.5).alias("y"), F.lit(0.5).alias("z"))
+    got = {r.k: r.target_id for r in zones.zone_assign(points, zs, ["k"]).collect()}
+    by_seq = sorted((i * 7919 % n, i) for i in range(n))
+    want = {k: next((i for s, i in by_seq if k / 200 < 1 + s / n and i != k % 50), None) for k in range(400)}
+    assert got == want and len(set(want.values())) > 150 and n > 30 * PAGE
+
+
 def test_zone_lookup_does_not_shuffle_points(spark, two_zones):
     points = spark.range(100).select("id", *[F.col("id").cast("double").alias(a) for a in "xyz"])
     plan = zones.zone_assign(points, two_zones, ["id"], own=None)._jdf.queryExecution().executedPlan().toString()

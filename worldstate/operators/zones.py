@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worldstate.operators.boxes import with_box_lists
+from worldstate.operators.boxes import first_box
 from worldstate.operators.ordered import ROWS_PER_TASK, Ordered
 from worldstate.session import cut_lineage
 
@@ -36,8 +36,8 @@ def zone_assign(
     """Adds ``target_id, target_name``: first zone in ``seq`` order that holds (x, y, z).
 
     The point's ``own`` server is skipped; null when no zone holds it. Points look up the zones
-    of their grid cell, so they aren't shuffled while Spark can broadcast the zones. A zone with a
-    null bound holds nothing, one with an infinite bound is unlimited there.
+    of their grid cell, so they aren't shuffled while Spark can broadcast the zones. ``key`` must be unique. A zone
+    with a null bound holds nothing, one with an infinite bound is unlimited there.
     """
     zones = zones.select("seq", "id", "name", *[F.col(b).cast("double").alias(b) for b in BOUNDS])
     x, y, z = (F.col(c).cast("double") for c in "xyz")
@@ -47,9 +47,7 @@ def zone_assign(
         return inside if own is None else inside & ~zone["id"].eqNullSafe(F.col(own))
 
     lows, highs = ([F.col(f"{a}_{end}") for a in "xyz"] for end in ("start", "end"))
-    found, lists = with_box_lists(points, zones, (x, y, z), lows, highs)
-    hit = F.array_min(F.filter(F.concat(*lists), fits)) if lists else F.lit(None).cast(zones.schema)
-    found = found.withColumn("_hit", hit)
+    found = first_box(points, zones, key, (x, y, z), lows, highs, fits)
     return found.select(*points.columns, F.col("_hit.id").alias("target_id"), F.col("_hit.name").alias("target_name"))
 
 
