@@ -2,6 +2,8 @@
 
 import json
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -167,7 +169,9 @@ def test_ten_thousand_zones_over_one_cell(spark):
 def test_zone_lookup_does_not_shuffle_points(spark, two_zones):
     points = spark.range(100).select("id", *[F.col("id").cast("double").alias(a) for a in "xyz"])
     plan = zones.zone_assign(points, two_zones, ["id"], own=None)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "NestedLoop" not in plan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "NestedLoop" not in plan
+    exchanged = re.findall(r"Exchange hashpartitioning\(([^)]*)", plan)  # only zones, by their cells
+    assert all(re.fullmatch(r"(_c\d#\d+L, )*_c\d#\d+L, \d+", keys) for keys in exchanged)
 
 
 def test_spawn_points(spark):
