@@ -2,6 +2,8 @@
 
 import json
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,39 @@ def test_batch_sessions_equal_session_windows(spark, small, rows_per_task):
     a = player_sessions(moves, "6 hours", rows_per_task=rows_per_task).collect()
     b = player_sessions_stream(moves, "6 hours").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) > 50
+
+
+def test_config_intervals_by_brute_force(spark):
+    """Crowded and far updates, several variables, keys without updates, equal times."""
+    rng = random.Random(5)
+    updates = [(k, rng.choice([5, 5, 6, 900_000]) + rng.randrange(3) * (k + 1), i, rng.choice([None, i]), rng.choice([None, -i])) for i, k in enumerate(rng.choice([0, 1, 1, 1]) for _ in range(60))]
+    events = [(rng.choice([0, 1, 2]), rng.choice([0, 4, 5, 6, 7, 8, 1000, 900_001, 10**7]), 30 + i % 40, i) for i in range(300)]
+    udf, edf = spark.createDataFrame(updates, "k int, t long, seq long, a long, b long"), spark.createDataFrame(events, "k int, t long, seq long, n int")
+    for keys in ([], ["k"]):
+        got = feeds.config_in_effect(edf, udf, ["t", "seq"], ["a", "b"], keys)
+        assert got.columns == ["k", "t", "seq", "n", "a", "b"]
+        for r in got.collect():
+            before = sorted(u for u in ((t, s, a, b) for k, t, s, a, b in updates if not keys or k == r.k) if u[:2] <= (r.t, r.seq))
+            want = [next((u[i] for u in reversed(before) if u[i] is not None), None) for i in (2, 3)]
+            assert [r.a, r.b] == want
+        assert got.count() == 300
+
+
+def test_config_updates_are_broadcast(spark):
+    events = spark.range(1000).select(F.col("id").alias("t"))
+    updates = spark.createDataFrame([(10, 5), (100, 7)], "t bigint, max_players int")
+    found = feeds.config_in_effect(events, updates, ["t"], ["max_players"])
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_old_changes_do_not_win_and_gaps_are_told(spark):
+    snapshot = spark.createDataFrame([("a", 1, 5)], "k string, server_id int, at int")
+    rows = [("a", 1, 9, "update", 3), ("a", 1, 7, "update", 5), ("b", 2, 1, "add", 1), ("c", 1, 10, "add", 8), ("c", None, 11, "update", None), ("b", 2, 12, "update", 4)]
+    changes = spark.createDataFrame(rows, "k string, server_id int, at int, op string, version long")
+    versions = spark.createDataFrame([(1, 5)], "server_id int, version long")
+    got = feeds.snapshot_then_changes(snapshot, changes, ["k"], ["at"], versions=versions)
+    assert {r.k: r["at"] for r in got.collect()} == {"a": 5, "b": 12, "c": 11}
+    gaps = feeds.change_gaps(changes, versions, "server_id", "version").collect()
+    assert sorted(tuple(r) for r in gaps) == [(1, 5, 2), (2, 1, 2)]

@@ -1,7 +1,6 @@
 """Zone goldens: membership fixtures and the story of two servers."""
 
 import json
-
 import re
 
 import numpy as np
@@ -185,3 +184,12 @@ def test_spawn_points(spark):
     assert got["p"] == (0.0, 0.0, 7.0, 0.0, 0.0, 1.0)
     assert got["s"] == (5.0, 5.0, 5.0, 0.0, 0.0, 1.0)
     assert got["none"] == got["neg"] == (0.0, 0.0, 0.0, 0.0, 1.0, 0.0)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 25_001])
+def test_exact_medians(spark, n):
+    rng = np.random.default_rng(n)
+    values = {"ties": rng.integers(0, 3, n).astype(float), "spread": rng.normal(0, 1e6, n), "skew": np.where(rng.random(n) < 0.98, 7.0, rng.random(n) * 1e12)}
+    df = spark.createDataFrame(pd.DataFrame([(k, float(v)) for k, own in values.items() for v in own], columns=["k", "v"])).withColumn("n", F.lit(n))
+    got = {r.k: r["median"] for r in zones.exact_medians(df, ["k", "n"], "v", "n").collect()}
+    assert got == {k: float(np.median(own)) for k, own in values.items()}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from worldstate.operators.ordered import ROWS_PER_TASK, Ordered, last_row, order_value
+from worldstate.session import cut_lineage
 
 OPS = ("add", "update", "delete")
 
@@ -186,13 +187,40 @@ def merge_partial_updates(
     )
 
 
-def snapshot_then_changes(
-    snapshot: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str], op: str = "op"
+def newer_changes(changes: DataFrame, versions: DataFrame, sender: str, version: str) -> DataFrame:
+    """Changes beyond what a snapshot already holds of their sender; for a table or a stream.
+
+    ``versions`` has one row per sender: the last ``version`` the snapshot knows of it. Senders it doesn't
+    know, and changes without a sender or version, pass.
+    """
+    known = versions.select(F.col(sender).alias("_sender"), F.col(version).alias("_known"))
+    joined = changes.join(known, F.col(sender) == F.col("_sender"), "left")
+    return joined.filter(F.col("_known").isNull() | F.col(version).isNull() | (F.col(version) > F.col("_known"))).drop("_sender", "_known")
+
+
+def change_gaps(
+    changes: DataFrame, versions: DataFrame, sender: str, version: str, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
+    """``sender, after, missing``: runs of versions that never came; repeats count once."""
+    newer = newer_changes(changes, versions, sender, version).filter(F.col(sender).isNotNull() & F.col(version).isNotNull())
+    seen = newer.select(sender, version).union(versions.select(sender, version)).distinct()
+    scan = Ordered(seen, [sender], [version], rows_per_task).lead("_next", F.col(version)).result()
+    missing = F.col("_next") - F.col(version) - 1
+    return scan.filter(missing > 0).select(sender, F.col(version).alias("after"), missing.alias("missing"))
+
+
+def snapshot_then_changes(
+    snapshot: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str], op: str = "op",
+    versions: DataFrame | None = None, sender: str = "server_id", version: str = "version",
+) -> DataFrame:
     """Current rows from one snapshot followed by its later changes.
 
-    The snapshot rows carry the same columns; they count as adds made before every change.
+    The snapshot rows carry the same columns; they count as adds made before every change. With ``versions`` (the
+    snapshot's last version of each sender) changes that the snapshot already holds are dropped, so an old change
+    that comes again does not win.
     """
+    if versions is not None:
+        changes = newer_changes(changes, versions, sender, version)
     first = snapshot.withColumn(op, F.lit("add")).withColumn("_age", F.lit(0))
     rest = changes.withColumn("_age", F.lit(1))
     return latest_state(first.unionByName(rest), keys, ["_age", *order], op).drop("_age")
@@ -208,19 +236,38 @@ def config_in_effect(
 ) -> DataFrame:
     """As-of join: each event with the last value of every variable at its time.
 
-    At equal ``order`` values the update counts first. Without ``keys`` the history is global;
-    it is still processed in time ranges, not in one task.
+    At equal ``order`` values the update counts first. Only the updates are put in order. Each is an interval up to the
+    next one; a key's time is cut into as many buckets as it has updates, so its intervals lie in twice as many
+    (bucket, interval) rows at most, and an event meets those of its bucket by an equi join. Events stay where
+    they are as long as Spark can broadcast the intervals, else both sides are dealt by key and bucket.
     """
-    kinds = dict(updates.dtypes)
-    left = events.withColumn("_event", F.lit(1)).withColumns(
-        {v: F.lit(None).cast(kinds[v]) for v in variables}
-    )
-    right = updates.select(*keys, *order, *variables).withColumn("_event", F.lit(0))
-    both = left.unionByName(right, allowMissingColumns=True)
-    scan = Ordered(both, keys, [*order, "_event"], rows_per_task)
+    own = list(keys) or ["_all"]
+    everyone = {} if keys else {"_all": F.lit(0)}
+    known = updates.select(*keys, *order, *variables).withColumns(everyone)
+    scan = Ordered(known, own, order, rows_per_task)
     for v in variables:
         scan = scan.last_known(v, F.col(v))
-    return scan.result().filter(F.col("_event") == 1).drop("_event")
+    scan = scan.lead("_until", F.struct(*order)).result().withColumn("_since", F.struct(*order))
+    at = order_value(updates, order[0])
+    scan = scan.withColumn("_from", at)
+    span = scan.groupBy(*own).agg(F.min("_from").alias("_t0"), F.max("_from").alias("_t1"), F.count(F.lit(1)).alias("_n"))
+    width = F.greatest((F.col("_t1") - F.col("_t0")) / F.col("_n"), F.lit(1e-9))
+    span = cut_lineage(span.select(*own, "_t0", width.alias("_w"), "_n"), "spans")
+
+    def bucket(value: Column) -> Column:
+        return F.least(F.greatest(F.floor((value - F.col("_t0")) / F.col("_w")), F.lit(0)), F.col("_n"))
+
+    until = order_value(scan.select(F.col(f"_until.{order[0]}").alias("u")), "u")
+    placed = scan.join(span, own).withColumn("u", F.col(f"_until.{order[0]}")).withColumn("_last", F.coalesce(bucket(until), F.col("_n")))
+    intervals = placed.select(*[F.col(c).alias(f"_k_{c}") for c in own], "_since", "_until", *variables, F.explode(F.sequence(bucket(F.col("_from")), "_last")).alias("_bucket"))
+    left = events.drop(*variables).withColumns(everyone).join(span, own, "left")
+    left = left.withColumn("_at", bucket(order_value(events, order[0]))).drop("_t0", "_w", "_n")
+    here = F.struct(*order)
+    same = F.col("_at") == F.col("_bucket")
+    for c in own:
+        same = same & (F.col(c) == F.col(f"_k_{c}"))
+    met = left.join(intervals, same & (here >= F.col("_since")) & (F.col("_until").isNull() | (here < F.col("_until"))), "left")
+    return met.select(*[c for c in events.columns if c not in variables], *variables)
 
 
 def keep_last_messages(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 50) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worldstate.operators.boxes import first_box
@@ -157,13 +157,32 @@ def overload_messages(
     return grouped.select("id", "part", F.size("players").alias("positions"), F.to_json(F.struct("id", "players")).alias("payload"))
 
 
-def split_plan(report: DataFrame, zones: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+SKETCH = 10_000  # a sketch's rank is off by one part of this at most
+
+
+def exact_medians(rows: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
+    """``keys, median``: the middle value, or the mean of the two middle ones. ``count``, a key column, has the rows of the key."""
+    near = [0.5 - 4 / SKETCH, 0.5 + 4 / SKETCH]
+    brackets = rows.groupBy(*keys).agg(F.percentile_approx(value, near, SKETCH).alias("_near"))
+    held = rows.join(brackets, list(keys))
+    low, high = F.col("_near")[0], F.col("_near")[1]
+    below = held.groupBy(*keys).agg(F.count_if(F.col(value) < low).alias("_below"))
+    inside = held.filter((F.col(value) >= low) & (F.col(value) <= high)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = inside.join(below, list(keys)).withColumn("_last", F.col("_below") + F.sum("_c").over(upto))
+    middle = F.array_distinct(F.array(F.floor((F.col(count) + 1) / 2), F.floor((F.col(count) + 2) / 2)))
+    picked = ranked.withColumn("_rank", F.explode(middle)).filter((F.col("_rank") <= F.col("_last")) & (F.col("_rank") > F.col("_last") - F.col("_c")))
+    return picked.groupBy(*keys).agg(F.avg(value).alias("median"))
+
+
+def split_plan(report: DataFrame, zones: DataFrame) -> DataFrame:
     """Two zones for each reported server: cut at the median of the axis of largest spread.
 
-    The median comes from row numbers, so a server with any number of positions is fine.
+    The median is selected, not sorted for: a sketch brackets it within a few ten-thousandths of the positions,
+    those below the bracket are counted, and only the values inside it are put in order. Equal values are one row.
     """
     placed = report.filter("x is not null and y is not null and z is not null")
-    report = cut_lineage(placed.select("id", "x", "y", "z"), "report")  # read three times below
+    report = cut_lineage(placed.select("id", "x", "y", "z"), "report")  # read again below
     spread = [(F.max(a) - F.min(a)).alias(f"_s{a}") for a in "xyz"]
     wide = report.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), *spread)
     best = F.greatest("_sx", "_sy", "_sz")
@@ -171,11 +190,7 @@ def split_plan(report: DataFrame, zones: DataFrame, rows_per_task: int = ROWS_PE
     wide = wide.select("id", "_n", axis.alias("axis"))
     value = F.when(F.col("axis") == "x", F.col("x")).when(F.col("axis") == "y", F.col("y")).otherwise(F.col("z"))
     rows = report.join(wide, "id").select("id", "axis", "_n", value.alias("_v"))
-    ranked = Ordered(rows, ["id"], ["_v"], rows_per_task).row_number("_r").result()
-    middle = ranked.filter(
-        (F.col("_r") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_r") == F.floor((F.col("_n") + 2) / 2))
-    )
-    cuts = middle.groupBy("id", "axis").agg(F.avg("_v").alias("cut"))
+    cuts = exact_medians(rows, ["id", "axis", "_n"], "_v", "_n").withColumnRenamed("median", "cut").drop("_n")
     both = cuts.join(zones.select("id", *BOUNDS), "id").withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
 
     def bound(name: str) -> Column:

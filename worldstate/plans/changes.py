@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from worldstate.operators import batching, chunks, feeds, membership, telemetry
@@ -109,6 +110,42 @@ def snapshot_then_changes(v):
     return feeds.snapshot_then_changes(customer_snapshot(v), changes, KEY, ORDER).select("entity_id", "server_id")
 
 
+_VERSIONED = """numbered as (select *, row_number() over (partition by server_id order by seq) as version, count(*) over (partition by server_id) as n from moves)"""
+
+
+def _versioned(v):
+    """Moves numbered per sender; a snapshot knows the first half of each sender's."""
+    own = Window.partitionBy("server_id")
+    moves = v.moves.select("entity_id", "seq", "server_id", "op")
+    numbered = moves.withColumns({"version": F.row_number().over(own.orderBy("seq")).cast("bigint"), "_n": F.count(F.lit(1)).over(own)})
+    early = numbered.filter("2 * version <= _n").drop("_n")
+    return numbered.drop("_n"), early, early.groupBy("server_id").agg(F.max("version").alias("version"))
+
+
+@query("select entity_id, arg_max(server_id, seq) as server_id from moves group by entity_id having arg_max(op, seq) <> 'delete'")
+def snapshot_guard(v):
+    """Changes the snapshot already holds come again, after all others, and don't win."""
+    changes, early, versions = _versioned(v)
+    arrival = F.col("seq").alias("arrival")
+    state = feeds.latest_state(early, KEY, ["seq"])
+    again = early.select("*", (F.col("seq") + 1_000_000_000_000).alias("arrival"))
+    arrived = changes.select("*", arrival).unionByName(again)
+    found = feeds.snapshot_then_changes(state.select("*", arrival), arrived, KEY, ["arrival"], versions=versions)
+    return found.select("entity_id", "server_id")
+
+
+@query(
+    f"""with {_VERSIONED}, got as (select server_id, version from numbered where 2 * version > n and version % 10 <> 0
+      union select server_id, max(version) from numbered where 2 * version <= n group by server_id)
+    select server_id, version as after, later - version - 1 as missing
+    from (select *, lead(version) over (partition by server_id order by version) as later from got) g where later - version > 1"""
+)
+def change_gaps(v):
+    """Every tenth change never arrives."""
+    changes, _, versions = _versioned(v)
+    return feeds.change_gaps(changes.filter("version % 10 <> 0"), versions, "server_id", "version")
+
+
 def partial_changes(v):
     """Updates give the position only; adds give the kind as well."""
     return v.moves.select(
