@@ -223,7 +223,8 @@ def snapshot_then_changes(
         changes = newer_changes(changes, versions, sender, version)
     first = snapshot.withColumn(op, F.lit("add")).withColumn("_age", F.lit(0))
     rest = changes.withColumn("_age", F.lit(1))
-    return latest_state(first.unionByName(rest), keys, ["_age", *order], op).drop("_age")
+    both = first.unionByName(rest, allowMissingColumns=versions is not None)
+    return latest_state(both, keys, ["_age", *order], op).drop("_age")
 
 
 def config_in_effect(
