@@ -106,7 +106,8 @@ def near_any(
     their 27 neighbouring cells; shapes then need no shuffle at all. More points are reduced to one
     summary per grid cell, and most shapes are settled by comparing them with those summaries.
     Only shapes still in doubt look at finer cells, and only the doubtful fine cells at single
-    points, so crowded places never pair all with all. ``key`` must be unique among the shapes.
+    points, in a semi join that ends at the first point near enough and gives no row per pair. The rows are the
+    same by either way. ``key`` must be unique among the shapes.
     """
     edge = distance * (1 + 1e-6)  # a little more than the distance, so that neighbours cover it
     spots = points.select(*[F.col(a).alias(f"p{a}") for a in "xyz"]).distinct()
@@ -139,7 +140,9 @@ def near_any(
         second = cut_lineage(second.select(*key, "x", "y", "z", *f, certain.alias("_near")), "near")
         sure = second.filter("_near").select(*key).distinct()
         rest = second.filter(~F.col("_near")).join(sure, list(key), "left_anti")
-        rest = rest.join(spots.select("px", "py", "pz", *f), f).filter(hit).select(*key)
+        single = spots.select("px", "py", "pz", *[F.col(c).alias(f"_p{c}") for c in f])
+        same = [F.col(c) == F.col(f"_p{c}") for c in f]
+        rest = rest.join(single, same[0] & same[1] & same[2] & hit, "left_semi").select(*key)
         near = near.unionByName(sure).unionByName(rest.distinct())
     return shapes.join(near, list(key), "left_semi")
 
