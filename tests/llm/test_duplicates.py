@@ -121,6 +121,14 @@ def test_near_vectors_by_brute_force(spark, block):
     assert len(got) == len(rows)
 
 
+def test_vectors_of_extreme_norms(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8)
+    rows = [(i, (base * scale).tolist(), 1, "x") for i, scale in enumerate([1e-200, 2e-200, 3e-310, 1.0, 5e180, 1e300])] + [(9, (-base * 1e-200).tolist(), 1, "x")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pstable.near_vectors(spark.createDataFrame(rows, VEC.replace("float", "double"))).collect()}
+    assert got == {i: (5, 0) for i in range(6)} | {9: (0, 9)}
+
+
 def test_near_vectors_query(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding", "label").orderBy("vec_id").collect()]
     links, comp = brute_links(rows)

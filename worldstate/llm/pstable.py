@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worldstate.llm.graphs import Forest, connected_components
-from worldstate.llm.vectors import matrix, usable, vector_digest
+from worldstate.llm.vectors import balanced, matrix, usable, vector_digest
 from worldstate.session import cut_lineage
 
 COSINE = 0.98
@@ -47,7 +47,7 @@ def _with_buckets(classes: DataFrame, tables: int, directions: int, width: float
         out = np.empty((len(column), tables), np.int64)
         for length in np.unique(lengths):
             rows = np.flatnonzero(lengths == length)
-            own = matrix(column.take(pa.array(rows)))
+            own = balanced(matrix(column.take(pa.array(rows))))
             out[rows] = bucket_hashes(own / np.linalg.norm(own, axis=1, keepdims=True), tables, directions, width)
         ends = np.arange(0, out.size + 1, tables, dtype=np.int32)
         return pa.ListArray.from_arrays(ends, out.reshape(-1))
@@ -71,7 +71,7 @@ def _compared(threshold: float):
         for at, end in zip(opens, np.r_[opens[1:], len(rows)]):
             if end - at < 2:
                 continue
-            own = matrix(vectors.slice(at, end - at))
+            own = balanced(matrix(vectors.slice(at, end - at)))
             norms = np.linalg.norm(own, axis=1)
             t, first, second = marks[at, 1], block[at:end] == marks[at, 3], block[at:end] == marks[at, 4]
             a, b = np.flatnonzero(first), np.flatnonzero(second)

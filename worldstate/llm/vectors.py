@@ -30,3 +30,10 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
+
+
+def balanced(rows: np.ndarray) -> np.ndarray:
+    """Rows whose squares would leave the range of doubles, times a power of two; directions stay as they are, to the bit."""
+    exponent = np.frexp(np.abs(rows).max(axis=1, initial=0.0))[1]
+    extreme = np.abs(exponent) > 300
+    return np.where(extreme[:, None], np.ldexp(rows, -exponent[:, None]), rows) if extreme.any() else rows
