@@ -12,6 +12,8 @@ from worldstate.operators.ordered import ROWS_PER_TASK, Ordered
 
 # fixed values: prop types with a metric of their own
 PROP_TYPES = ("box50cm", "box4m", "ship")
+# fixed values: measures a server reports
+MEASURES = ("memory", "numberobjects", "timefps", "currentplayers")
 
 
 def server_metrics(players: DataFrame, props: DataFrame, prop_type: str = "prop_type") -> DataFrame:
@@ -25,8 +27,7 @@ def server_metrics(players: DataFrame, props: DataFrame, prop_type: str = "prop_
 
 def metrics_windows(samples: DataFrame, width: str = "1 minute", at: str = "ts") -> DataFrame:
     """Tumbling windows per server: mean and maximum of each measure. Works on streams too."""
-    measures = ("memory", "numberobjects", "timefps", "currentplayers")
-    aggs = [agg(m).alias(f"{label}_{m}") for m in measures for label, agg in (("avg", F.avg), ("max", F.max))]
+    aggs = [agg(m).alias(f"{label}_{m}") for m in MEASURES for label, agg in (("avg", F.avg), ("max", F.max))]
     spans = samples.groupBy("server_id", F.window(at, width).alias("w")).agg(F.count(F.lit(1)).alias("samples"), *aggs)
     return spans.select("server_id", F.col("w.start").alias("window_start"), *[c for c in spans.columns if c not in ("server_id", "w")])
 

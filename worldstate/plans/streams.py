@@ -29,6 +29,7 @@ from worldstate.streaming.state_table import (
     seed_snapshot,
     zone_state_stream as run_zones,
 )
+from worldstate.streaming.windows import MetricsTable, SessionTable, windows_stream
 
 ORDER = ["ts", "seq"]
 FILES = 4  # files per micro-batch
@@ -146,6 +147,48 @@ def metrics_windows_stream(v):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+def _held_back(v, df: DataFrame) -> DataFrame:
+    """``df`` as a stream whose every tenth row (by ``seq``) comes after all others."""
+    held = df.filter("seq % 10 = 0").withColumn("ts", F.col("ts").cast("timestamp"))
+    return replay(v, df.filter("seq % 10 <> 0"), held)
+
+
+@query(
+    """with rows as (select *, seq % 10 = 0 as held, time_bucket(interval '1 minute', ts) as window_start from samples),
+    marked as (select *, held and window_start + interval '1 minute' <=
+        (select max(ts) from rows where not held) - interval '10 minutes' as late from rows)
+    select server_id, window_start, count(*) filter (not late) as samples, count(*) filter (late) as late,
+        avg(memory) filter (not late) as avg_memory, max(memory) filter (not late) as max_memory
+    from marked group by server_id, window_start"""
+)
+def metrics_windows_late(v):
+    """Windows whose every tenth sample comes last: late ones are kept apart and counted."""
+    table = MetricsTable(fresh_dir(v.spark, "windows"))
+    windows_stream(_held_back(v, v.samples), table, fresh_dir(v.spark, "checkpoint")).awaitTermination()
+    late = table.late(v.spark).groupBy("server_id", F.window("ts", table.width).alias("w")).agg(F.count(F.lit(1)).alias("late"))
+    late = late.select("server_id", F.col("w.start").alias("window_start"), "late")
+    both = table.current(v.spark).join(late, ["server_id", "window_start"], "full")
+    counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("samples", "late")]
+    return both.select("server_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), *counts, "avg_memory", F.col("max_memory").cast("bigint").alias("max_memory"))
+
+
+@query(
+    f"""with rows as (select *, seq % 10 = 0 as held, ts + case when op = 'delete' then interval '1 second' else interval '6 hours' end as until from moves),
+    marked as (select *, held and until <= (select max(ts) from rows where not held) - interval '10 minutes' as late from rows),
+    spans as ({changes.SESSION_SQL.replace("from moves", "from marked where not late")}),
+    gone as (select entity_id, count(*) as late from marked where late group by entity_id)
+    select entity_id, started_at, ended_at, coalesce(events, 0) as events, coalesce(late, 0) as late from spans full join gone using (entity_id)"""
+)
+def player_sessions_late(v):
+    """Sessions whose every tenth event comes last, and the player's late events."""
+    table = SessionTable(fresh_dir(v.spark, "sessions"), "6 hours")
+    windows_stream(_held_back(v, v.moves), table, fresh_dir(v.spark, "checkpoint")).awaitTermination()
+    late = table.late(v.spark).groupBy("entity_id").agg(F.count(F.lit(1)).alias("late"))
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "ended_at")]
+    counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("events", "late")]
+    return table.current(v.spark).join(late, "entity_id", "full").select("entity_id", *times, *counts)
+
+
 def _chat_topics(v) -> DataFrame:
     """Chat lines as topic messages; only channel 0 goes to the routed topic."""
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("seq_conv") * 61 + F.col("turn"))

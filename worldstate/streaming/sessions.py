@@ -27,6 +27,28 @@ def player_sessions_stream(
     return spans.select(key, F.col("w.start").alias("started_at"), F.col("w.end").alias("ended_at"), "events")
 
 
+def row_end(at: str, gap: str, op: str = "op") -> Column:
+    """Time until which one row keeps the session open."""
+    return F.when(F.col(op) == "delete", F.expr(f"`{at}` + interval {AFTER_DISCONNECT}")).otherwise(
+        F.expr(f"`{at}` + interval {gap}")
+    )
+
+
+def merged_spans(spans: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Spans (key, started_at, ended_at, events) of a key that touch or overlap become one.
+
+    No sort of whole keys in one task: a span starts a new one when it comes after the latest end of all before it.
+    """
+    order = ["started_at", "ended_at"]
+    scan = Ordered(spans.select(key, *order, "events"), [key], order, rows_per_task)
+    scan = scan.running_max("_reach", F.col("ended_at")).lag("_open", F.col("_reach"))
+    starts = (F.col("_open").isNull() | (F.col("started_at") > F.col("_open"))).cast("bigint")
+    merged = scan.running_sum("_session", starts).result().groupBy(key, "_session").agg(
+        F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at"), F.sum("events").alias("events")
+    )
+    return merged.drop("_session")
+
+
 def player_sessions(
     events: DataFrame,
     gap: str,
@@ -38,10 +60,7 @@ def player_sessions(
     """Batch twin without a sort of whole players in one task: a row starts a session when it comes
     after the latest end of all rows before it."""
     at = order[0]
-    ends = F.when(F.col(op) == "delete", F.expr(f"`{at}` + interval {AFTER_DISCONNECT}")).otherwise(
-        F.expr(f"`{at}` + interval {gap}")
-    )
-    rows = events.select(key, *order, ends.alias("_end"))
+    rows = events.select(key, *order, row_end(at, gap, op).alias("_end"))
     scan = Ordered(rows, [key], order, rows_per_task).running_max("_reach", F.col("_end")).lag("_open", F.col("_reach"))
     starts = (F.col("_open").isNull() | (F.col(at) > F.col("_open"))).cast("bigint")
     numbered = scan.running_sum("_session", starts).result()

@@ -1,4 +1,4 @@
-"""Current state of a change feed as a table of per-batch deltas."""
+"""Current state of a change feed as a table of levelled deltas."""
 
 from __future__ import annotations
 
@@ -10,59 +10,57 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from worldstate.operators.feeds import keep_last_messages, latest_state, local_remote, merge_partial_updates
 from worldstate.operators.ordered import last_row
-from worldstate.session import cut_lineage
+from worldstate.streaming.deltas import ReducedTable
 
 
-class StateTable:
-    """Folder ``<path>/batch=N``: the last change per key of micro-batch N.
+class StateTable(ReducedTable):
+    """Last change per key, deletes included, so that late changes still lose to them.
 
-    A repeated batch overwrites its own folder, so replays after a failure change nothing.
-    ``current`` takes the latest change per key; ``compact`` folds old deltas into one.
+    ``current`` takes the latest change per key; deltas are merged while the stream writes.
     """
 
-    def __init__(self, path: str, keys: Sequence[str], order: Sequence[str], schema: str):
-        self.path, self.keys, self.order, self.schema = path, list(keys), list(order), schema
+    def __init__(self, path: str, keys: Sequence[str], order: Sequence[str], schema: str, **levels: int):
+        super().__init__(path, schema, **levels)
+        self.keys, self.order = list(keys), list(order)
 
-    def write(self, changes: DataFrame, batch_id: int) -> None:
-        last_row(changes, self.keys, self.order).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-
-    def changes(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(f"{self.schema}, batch bigint").option("basePath", self.path).parquet(self.path)
+    def reduce(self, rows: DataFrame) -> DataFrame:
+        return last_row(rows, self.keys, self.order)
 
     def current(self, spark: SparkSession) -> DataFrame:
-        return latest_state(self.changes(spark).drop("batch"), self.keys, self.order)
+        return latest_state(self.changes(spark), self.keys, self.order)
 
-    def compact(self, spark: SparkSession, into: str) -> StateTable:
-        """A new table at ``into`` with one delta; deletes stay, so late changes still lose to them."""
-        last_row(self.changes(spark).drop("batch"), self.keys, self.order).write.parquet(f"{into}/batch=0")
+    def _moved(self, into: str) -> StateTable:
         return StateTable(into, self.keys, self.order, self.schema)
 
+    def compact(self, spark: SparkSession, into: str) -> StateTable:
+        """A new table at ``into`` with one delta, which counts as a seed."""
+        small = self._moved(into)
+        small.log.append(self.reduce(self.changes(spark)), -1, self.reduce)
+        return small
+
 
 class PartialStateTable(StateTable):
-    """State of a feed whose updates may leave out fields: all changes of a batch are kept."""
+    """State of a feed whose updates may leave out fields: the changes that still matter are, per key, the
+    latest delete, and after it the latest change of each field and the latest change at all."""
 
-    def __init__(self, path: str, keys: Sequence[str], order: Sequence[str], schema: str, fields: Sequence[str]):
-        super().__init__(path, keys, order, schema)
+    def __init__(self, path: str, keys: Sequence[str], order: Sequence[str], schema: str, fields: Sequence[str], **levels: int):
+        super().__init__(path, keys, order, schema, **levels)
         self.fields = list(fields)
 
-    def write(self, changes: DataFrame, batch_id: int) -> None:
-        changes.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+    def _moved(self, into: str) -> PartialStateTable:
+        return PartialStateTable(into, self.keys, self.order, self.schema, self.fields)
 
-    def compact(self, spark: SparkSession, into: str) -> PartialStateTable:
-        """A new table at ``into`` with one delta of the changes that still matter: per key the latest
-        delete, and after it the latest change of each field and the latest change at all."""
-        rows = self.changes(spark).drop("batch")
+    def reduce(self, rows: DataFrame) -> DataFrame:
         position, deleted = F.struct(*self.order), F.col("op") == "delete"
         gone = rows.filter(deleted).groupBy(*self.keys).agg(F.max(position).alias("_gone"))
         since = rows.join(gone, self.keys, "left").filter(F.col("_gone").isNull() | (position >= F.col("_gone")))
         latest = [F.max(F.when(~deleted & F.col(f).isNotNull(), position)) for f in self.fields]
         wanted = F.array_distinct(F.array_compact(F.array(F.max(position), F.max("_gone"), *latest)))
         winners = since.groupBy(*self.keys).agg(wanted.alias("_w")).select(*self.keys, F.inline("_w"))
-        rows.join(winners, [*self.keys, *self.order], "left_semi").write.parquet(f"{into}/batch=0")
-        return PartialStateTable(into, self.keys, self.order, self.schema, self.fields)
+        return rows.join(winners, [*self.keys, *self.order], "left_semi").select(*rows.columns)
 
     def current(self, spark: SparkSession) -> DataFrame:
-        return merge_partial_updates(self.changes(spark).drop("batch"), self.keys, self.order, self.fields)
+        return merge_partial_updates(self.changes(spark), self.keys, self.order, self.fields)
 
 
 UNTIL_READ = {"availableNow": True}  # default trigger; pass processingTime="…" to keep running
@@ -94,36 +92,22 @@ def zone_state_stream(changes: DataFrame, table: PartialStateTable, checkpoint:
 
 
 def seed_snapshot(table: StateTable, snapshot: DataFrame, batch_id: int = -1) -> None:
-    """Store a snapshot as the delta before the first micro-batch; a repeat overwrites it.
+    """Store a snapshot as a delta of its own; a repeat changes nothing.
 
     Its rows must carry order values smaller than those of all later changes.
     """
     table.write(snapshot.withColumn("op", F.lit("add")), batch_id)
 
 
-class LastMessages:
-    """The last ``n`` chat lines per channel, as versions ``<path>/version=N`` (n rows per channel)."""
-
-    def __init__(self, path: str, schema: str, keys: Sequence[str], order: Sequence[str], n: int = 50):
-        self.path, self.schema, self.keys, self.order, self.n = path, schema, list(keys), list(order), n
-
-    def versions(self, spark: SparkSession) -> DataFrame:
-        rows = spark.read.schema(f"{self.schema}, version bigint").option("basePath", self.path)
-        return rows.parquet(self.path)
-
-    def current(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        rows = self.versions(spark)
-        if before is not None:
-            rows = rows.filter(F.col("version") < before)
-        newest = rows.agg(F.max("version").alias("v")).scalar()
-        return rows.filter(F.col("version") == newest).drop("version")
-
-    def write(self, lines: DataFrame, batch_id: int) -> None:
-        """Version ``batch_id`` from the version before it and the new lines; safe to repeat."""
-        spark = lines.sparkSession
-        columns = [c.strip().split()[0] for c in self.schema.split(",")]
-        rows = lines.select(*columns)
-        if batch_id > 0:
-            rows = rows.unionByName(self.current(spark, before=batch_id))
-        kept = cut_lineage(keep_last_messages(rows, self.keys, self.order, self.n), "chat")
-        kept.write.mode("overwrite").parquet(f"{self.path}/version={batch_id}")
+class LastMessages(ReducedTable):
+    """The last ``n`` chat lines per channel; a delta holds at most n lines per channel."""
+
+    def __init__(self, path: str, schema: str, keys: Sequence[str], order: Sequence[str], n: int = 50, **levels: int):
+        super().__init__(path, schema, **levels)
+        self.keys, self.order, self.n = list(keys), list(order), n
+
+    def reduce(self, rows: DataFrame) -> DataFrame:
+        return keep_last_messages(rows, self.keys, self.order, self.n)
+
+    def current(self, spark: SparkSession) -> DataFrame:
+        return self.reduce(self.changes(spark))
