@@ -159,6 +159,28 @@ def test_export_parents_are_the_nearest_shallower_line(spark, tmp_path, rows_per
     )
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_export_parents_of_any_depth_equal_the_stack(spark, tmp_path, block):
+    rng, want = np.random.default_rng(5), {}
+    for name in ("a", "b"):
+        depth, held, text = 0, [], []
+        for i in range(1500):
+            depth = int(rng.integers(0, depth + 3)) if rng.random() < 0.01 else min(200, depth + int(rng.integers(-1, 4)) if depth else 1)
+            uid = f"{name}{i}"
+            if rng.random() < 0.1:
+                text.append("\t" * depth + "short|line")
+                continue
+            while held and held[-1][0] >= depth:
+                held.pop()
+            want[uid] = (depth, held[-1][1] if held else "")
+            held.append((depth, uid))
+            text.append("\t" * depth + f'{uid}|"s"|0,0,0|0,0,0|1,1,1|1|{{}}')
+        (tmp_path / f"{name}.txt").write_text("\n".join(text))
+    rows = world_export.read_world_export(spark, str(tmp_path), rows_per_task=block).collect()
+    assert {r["uid"]: (r["depth"], r["parent_uid"]) for r in rows} == want and len(rows) == len(want)
+    assert max(d for d, _ in want.values()) > 150
+
+
 def test_lines_are_numbered_across_splits(spark, tmp_path):
     for name in ("a", "b"):
         (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" for i in range(3000)))

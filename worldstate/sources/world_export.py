@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 from worldstate.functions.text import number_text
 from worldstate.operators.hierarchy import hierarchy_paths
-from worldstate.operators.ordered import ROWS_PER_TASK, Ordered
+from worldstate.operators.ranges import states
+from worldstate.session import cut_lineage
 from worldstate.sources.lines import numbered_lines
 
 MIN_FIELDS = 6
+BLOCK = 1024  # lines folded as one array
 _TRIPLES = (("position", ""), ("rotation", "r"), ("scale", "s"))
 
 
 def read_world_export(
-    spark: SparkSession, path: str, one_text: bool = False, rows_per_task: int = ROWS_PER_TASK
+    spark: SparkSession, path: str, one_text: bool = False, rows_per_task: int = BLOCK
 ) -> DataFrame:
     """Nodes of the exports at ``path``: file, line_no, depth, uid, parent_uid, scene, places, size, properties.
 
     The parent is the nearest earlier line of smaller depth in the same text; lines with fewer
-    than six fields are dropped first. ``one_text``: the parts in a folder form one text.
+    than six fields are dropped first. ``one_text``: the parts in a folder form one text. ``rows_per_task``:
+    lines that are folded as one array.
     """
     lines = numbered_lines(spark, path, one_text)
     fields = F.split(F.trim(F.col("value"), F.lit("\t \r")), r"\|")
@@ -45,18 +48,55 @@ def read_world_export(
     return _with_parents(nodes, rows_per_task)
 
 
-def _with_parents(nodes: DataFrame, rows_per_task: int) -> DataFrame:
-    """Last line seen on every depth level; the parent is the latest of those above the line."""
-    levels = nodes.agg(F.max("depth").alias("d")).first()["d"] or 0
-    scan = Ordered(nodes, ["file"], ["line_no"], rows_per_task)
-    for k in range(levels):
-        at = F.struct("line_no", "uid")
-        scan = scan.last_known(f"_l{k}", F.when(F.col("depth") == k, at))
-    rows = scan.result()
-    seen = [F.when(F.col("depth") > k, F.col(f"_l{k}")) for k in range(levels)]
-    nearest = F.greatest(*seen) if len(seen) > 1 else (seen[0] if seen else F.lit(None).cast("struct<line_no:bigint,uid:string>"))
-    return rows.withColumn("_p", nearest).select(
-        "file", "line_no", "depth", "uid", F.coalesce("_p.uid", F.lit("")).alias("parent_uid"),
+def _push(above: Column, line: Column) -> Column:
+    """Open lines after ``line``: those above that are shallower, then the line itself."""
+    return F.array_append(F.filter(above, lambda o: o["depth"] < line["depth"]), line)
+
+
+def _join(above: Column, part: Column) -> Column:
+    """Open lines after a part whose own open lines are ``part``; its first is its shallowest line."""
+    return F.concat(F.filter(above, lambda o: o["depth"] < F.get(part, F.lit(0))["depth"]), part)
+
+
+def _before(items: str, entering: Column, step) -> Column:
+    """What is open before each of ``items``."""
+    return F.slice(F.concat(F.array(entering), states(F.col(items), entering, step)), F.lit(1), F.size(items))
+
+
+def _with_parents(nodes: DataFrame, block: int) -> DataFrame:
+    """Nearest earlier line of smaller depth, by the stack of lines that are open.
+
+    A block of lines changes the stack as a whole: its first line's depth closes what is deeper, its own open lines come
+    on top. Such stacks join within groups of ``block`` blocks, and groups within a file, so each block knows what is
+    open where it begins. The plan is the same for any depth; arrays hold ``block`` items, or the groups of a file.
+    """
+    nothing = F.array().cast("array<struct<line_no:bigint,depth:int,uid:string>>")
+    lines = F.array_sort(F.collect_list(F.struct("line_no", "depth", "uid"))).alias("lines")
+    blocks = nodes.groupBy("file", F.expr(f"line_no div {block}").alias("_block")).agg(lines)
+    blocks = cut_lineage(blocks.withColumn("open", F.aggregate("lines", nothing, _push)), "export-blocks")
+    parts = F.array_sort(F.collect_list(F.struct("_block", "open"))).alias("blocks")
+    groups = blocks.groupBy("file", F.expr(f"_block div {block}").alias("_group")).agg(parts)
+    whole = F.aggregate("blocks", nothing, lambda above, part: _join(above, part["open"]))
+    groups = cut_lineage(groups.withColumn("open", whole), "export-groups")
+    files = groups.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("_group", "open"))).alias("groups"))
+
+    def joined(above: Column, part: Column) -> Column:
+        return _join(above, part["open"])
+
+    def opened(rows: DataFrame, items: str, entering: Column, key: str) -> DataFrame:
+        pairs = F.arrays_zip(F.transform(items, lambda i: i[key]).alias(key), _before(items, entering, joined).alias("above"))
+        return rows.select("file", F.explode(pairs).alias("p")).select("file", f"p.{key}", "p.above")
+
+    of_groups = opened(files, "groups", nothing, "_group")
+    of_blocks = opened(groups.join(of_groups, ["file", "_group"]), "blocks", F.col("above"), "_block")
+    stacks = states(F.col("lines"), F.col("above"), _push)
+    pairs = F.arrays_zip(
+        F.transform("lines", lambda line: line["line_no"]).alias("line_no"),
+        F.transform(stacks, lambda held: F.get(held, F.size(held) - 2)["uid"]).alias("parent"),
+    )
+    found = blocks.join(of_blocks, ["file", "_block"]).select("file", F.explode(pairs).alias("p"))
+    return nodes.join(found.select("file", "p.line_no", "p.parent"), ["file", "line_no"]).select(
+        "file", "line_no", "depth", "uid", F.coalesce("parent", F.lit("")).alias("parent_uid"),
         "scene", "x", "y", "z", "rx", "ry", "rz", "sx", "sy", "sz", "size", "properties",
     )
 
