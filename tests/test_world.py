@@ -114,6 +114,32 @@ def test_bounds_merge_upwards_and_ignore_empty_boxes(spark):
     assert got == {"r": (-1.0, 5.5, 6.5), "k": (4.5, 5.5, 1.0), "e": (None, None, 0.0)}
 
 
+def test_merged_upwards_equals_the_walk_over_ancestors(spark):
+    """A chain of 300, a star of 2000, random trees, a cycle with a tail, and a missing parent."""
+    rng = np.random.default_rng(8)
+    parent = {"c0": ""} | {f"c{i}": f"c{i - 1}" for i in range(1, 300)} | {"s": "c7"} | {f"s{i}": "s" for i in range(2000)}
+    parent |= {f"t{i}": f"t{rng.integers(0, i)}" if i > 2 else None for i in range(300)}
+    lost = {"o1": "o2", "o2": "o1", "o3": "o2", "m1": "gone", "m2": "m1"}
+    value = {u: None if rng.random() < 0.1 else float(rng.integers(-1000, 1000)) for u in parent | lost}
+    df = spark.createDataFrame([(u, p, value[u], value[u], 1) for u, p in (parent | lost).items()], "uid string, parent_uid string, lo double, hi double, n long")
+    want = {u: [] for u in parent}
+    for u in parent:
+        at = u
+        while at:
+            want[at].append(value[u])
+            at = parent[at]
+    got = hierarchy.merged_upwards(df, {"lo": F.min, "hi": F.max, "n": F.sum}).collect()
+    assert len(got) == len(parent)
+    for r in got:
+        known = [x for x in want[r.uid] if x is not None]
+        assert (r.lo, r.hi, r.n) == (min(known, default=None), max(known, default=None), len(want[r.uid]))
+
+
+def test_a_table_of_cycles_or_no_rows_has_no_bounds(spark):
+    df = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "uid string, parent_uid string, n long")
+    assert hierarchy.merged_upwards(df, {"n": F.sum}).count() == hierarchy.merged_upwards(df.limit(0), {"n": F.sum}).count() == 0
+
+
 def test_upsert_keeps_old_fields_and_assigns_ids(spark):
     now = spark.createDataFrame([("u1", "one", 1.0)], "uid string, name string, x double")
     new = spark.createDataFrame([("u1", None, 5.0, "k1"), (None, "two", None, "k2")], "uid string, name string, x double, uuid string")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worldstate.operators.ordered import number_in_order
@@ -72,21 +74,49 @@ def orphans(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("parent_uid") != "").join(known, "parent_uid", "left_anti").select(*nodes.columns)
 
 
+def merged_upwards(nodes: DataFrame, merges: Mapping[str, Callable[[str], Column]]) -> DataFrame:
+    """``uid`` and each column of ``merges`` merged over the node and all nodes below it, by its aggregate
+    (``F.min``, ``F.max``, ``F.sum``; one whose merged values merge again).
+
+    Each node points 2^k levels up and holds what lies less than 2^k levels below. A round gives that to the
+    node it points at, merged map-side first, and doubles the pointers: about log2(depth) rounds, each with one row per node
+    and no paths. Nodes below a missing parent and nodes on a cycle are left out, as in ``hierarchy_paths``.
+    """
+    links = nodes.select("uid", F.nullif(F.col("parent_uid"), F.lit("")).alias("_next"), *merges)
+    links, ended = cut_lineage(links, "upwards"), -1
+    while True:
+        done, left = links.agg(F.count_if(F.col("_next").isNull()), F.count("_next")).first()
+        if not left or done == ended:  # each round ends the next depths of every rooted tree; what does not end is a cycle
+            return links.filter(F.col("_next").isNull()).select("uid", *merges)
+        ended = done
+        pointing = links.filter(F.col("_next").isNotNull())
+        given = pointing.groupBy(F.col("_next").alias("uid")).agg(*[merge(c).alias(f"_{c}") for c, merge in merges.items()])
+        upper = links.select(F.col("uid").alias("_u"), F.col("_next").alias("_far"))
+        moved = pointing.join(upper, F.col("_next") == F.col("_u")).select("uid", F.col("_far").alias("_next"), *merges)
+        both = links.filter(F.col("_next").isNull()).unionByName(moved).join(given, "uid", "left")
+        merged = [_of_two(merge, c) for c, merge in merges.items()]
+        links = cut_lineage(both.select("uid", "_next", *merged), "upwards")
+
+
+def _of_two(merge: Callable[[str], Column], column: str) -> Column:
+    """A node's own value and the one it was given, merged; nulls don't count."""
+    own, given = F.col(column), F.col(f"_{column}")
+    pair = {F.min: F.least(own, given), F.max: F.greatest(own, given), F.sum: own + given}[merge]
+    return F.coalesce(pair, own, given).alias(column)
+
+
 def node_bounds(nodes: DataFrame) -> DataFrame:
     """Bounding box of each node with everything below it, and its largest edge ``bounds_size``.
 
     A node's own box is a cube of edge ``size`` around (x, y, z) in world space; empty boxes are
-    ignored. A node without any box has null bounds and ``bounds_size`` 0. Each box is sent to all
-    its ancestors and merged map-side first.
+    ignored. A node without any box has null bounds and ``bounds_size`` 0.
     """
     half = F.when(F.col("size") > 0, F.col("size") / 2)
-    boxes = hierarchy_paths(nodes).select(
-        F.explode("path").alias("uid"),
+    boxes = nodes.select(
+        "uid", "parent_uid",
         *[(F.col(a) - half).alias(f"lo_{a}") for a in "xyz"],
         *[(F.col(a) + half).alias(f"hi_{a}") for a in "xyz"],
-    )
-    merged = boxes.groupBy("uid").agg(
-        *[F.min(f"lo_{a}").alias(f"lo_{a}") for a in "xyz"], *[F.max(f"hi_{a}").alias(f"hi_{a}") for a in "xyz"]
-    )
+    )
+    merged = merged_upwards(boxes, {f"lo_{a}": F.min for a in "xyz"} | {f"hi_{a}": F.max for a in "xyz"})
     edges = [F.col(f"hi_{a}") - F.col(f"lo_{a}") for a in "xyz"]
     return merged.withColumn("bounds_size", F.coalesce(F.greatest(*edges), F.lit(0.0)))
