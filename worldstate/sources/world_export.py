@@ -12,7 +12,8 @@ from worldstate.session import cut_lineage
 from worldstate.sources.lines import numbered_lines
 
 MIN_FIELDS = 6
-BLOCK = 1024  # lines folded as one array
+BLOCK = 128  # lines folded as one array; a fold costs the square of its length
+GROUP = 8  # blocks of a group, as a multiple of BLOCK
 _TRIPLES = (("position", ""), ("rotation", "r"), ("scale", "s"))
 
 
@@ -67,15 +68,16 @@ def _with_parents(nodes: DataFrame, block: int) -> DataFrame:
     """Nearest earlier line of smaller depth, by the stack of lines that are open.
 
     A block of lines changes the stack as a whole: its first line's depth closes what is deeper, its own open lines come
-    on top. Such stacks join within groups of ``block`` blocks, and groups within a file, so each block knows what is
-    open where it begins. The plan is the same for any depth; arrays hold ``block`` items, or the groups of a file.
+    on top. Such stacks join within groups of ``GROUP * block`` blocks, and groups within a file, so each block knows
+    what is open where it begins. The plan is the same for any depth. Arrays hold the lines of a block, the blocks of a
+    group, or the groups of a file (of 131,072 lines each, so 8,000 in a text of a thousand million lines).
     """
     nothing = F.array().cast("array<struct<line_no:bigint,depth:int,uid:string>>")
     lines = F.array_sort(F.collect_list(F.struct("line_no", "depth", "uid"))).alias("lines")
     blocks = nodes.groupBy("file", F.expr(f"line_no div {block}").alias("_block")).agg(lines)
     blocks = cut_lineage(blocks.withColumn("open", F.aggregate("lines", nothing, _push)), "export-blocks")
     parts = F.array_sort(F.collect_list(F.struct("_block", "open"))).alias("blocks")
-    groups = blocks.groupBy("file", F.expr(f"_block div {block}").alias("_group")).agg(parts)
+    groups = blocks.groupBy("file", F.expr(f"_block div {GROUP * block}").alias("_group")).agg(parts)
     whole = F.aggregate("blocks", nothing, lambda above, part: _join(above, part["open"]))
     groups = cut_lineage(groups.withColumn("open", whole), "export-groups")
     files = groups.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("_group", "open"))).alias("groups"))
