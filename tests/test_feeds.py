@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from worldstate.plans import QUERIES
 from worldstate.operators import feeds, membership
 from worldstate.streaming.sessions import player_sessions, player_sessions_stream
 
@@ -156,3 +157,17 @@ def test_old_changes_do_not_win_and_gaps_are_told(spark):
     assert {r.k: r["at"] for r in got.collect()} == {"a": 5, "b": 12, "c": 11}
     gaps = feeds.change_gaps(changes, versions, "server_id", "version").collect()
     assert sorted(tuple(r) for r in gaps) == [(1, 5, 2), (2, 1, 2)]
+
+
+def test_guarded_snapshot_without_broadcasts(spark, small):
+    """Large tables: scans parted alike by server, versions joined by a shuffle."""
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in kept:
+            spark.conf.set(k, "-1")
+        left = QUERIES["snapshot_guard"](spark, small)
+        want = QUERIES["snapshot_then_changes"](spark, small).join(spark.read.parquet(f"{small}/events.parquet").select(F.col("user_id").alias("entity_id")).distinct(), "entity_id", "left_semi")
+        assert sorted(left.collect()) == sorted(want.collect())
+    finally:
+        for k, value in kept.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
