@@ -27,12 +27,12 @@ def _cell(value: Column, edge: Column, is_open: Column) -> Column:
     return F.when(is_open, F.lit(0).cast("bigint")).otherwise(F.floor(value / edge))
 
 
-def _lay_out(boxes: DataFrame, lows: Sequence[Column], highs: Sequence[Column]) -> DataFrame:
+def _lay_out(boxes: DataFrame, lows: Sequence[Column], highs: Sequence[Column], finer: int = 0) -> DataFrame:
     extents = [hi - lo for lo, hi in zip(lows, highs)]
     opens = [e >= UNBOUNDED for e in extents]
     closed = [F.when(~o, e) for o, e in zip(opens, extents)]
     largest = F.coalesce(F.greatest(*closed), F.lit(1.0))
-    level = F.greatest(F.ceil(F.log2(F.greatest(largest, F.lit(2.0**FINEST)))), F.lit(FINEST)).cast("int")
+    level = F.greatest(F.ceil(F.log2(F.greatest(largest, F.lit(2.0**FINEST)))) - finer, F.lit(FINEST)).cast("int")
     mask = sum((F.when(o, F.lit(1 << i)).otherwise(F.lit(0)) for i, o in enumerate(opens)), F.lit(0))
     out = boxes.withColumn("_level", level).withColumn("_open", mask)
     edge = F.pow(F.lit(2.0), F.col("_level"))
@@ -49,19 +49,25 @@ def point_box_pairs(
     highs: Sequence[Column],
     condition: Column,
     on: Sequence[str] = (),
+    finer: int = 0,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Inner join of points and boxes with ``condition``; every matching pair appears once.
 
+    Cells are ``finer`` halvings smaller than the boxes, so a box lies in up to 2^finer + 1 per axis. Points are dealt by
+    cell to ``tasks``, if given: a few of them may have very many pairs, which the size of their rows doesn't tell.
     ``condition`` must imply that the point lies within the closed box. ``on`` names extra
     columns both sides must share. Column names of the two sides must not overlap otherwise.
     """
-    laid = _lay_out(boxes, lows, highs)
+    laid = _lay_out(boxes, lows, highs, finer)
     levels = laid.select("_level", "_open").distinct().agg(F.collect_set(F.struct("_level", "_open")).alias("v"))
     probes = points.withColumn("_lv", F.explode(levels.scalar())).select("*", "_lv.*").drop("_lv")
     edge = F.pow(F.lit(2.0), F.col("_level"))
     for i, value in enumerate(at):
         is_open = F.col("_open").bitwiseAND(1 << i) != 0
         probes = probes.withColumn(f"_c{i}", _cell(value, edge, is_open))
+    if tasks is not None:
+        probes = probes.repartition(tasks, *on, *_CELL)
     return probes.join(laid, [*on, *_CELL]).filter(condition).drop(*_CELL)
 
 

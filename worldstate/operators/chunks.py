@@ -19,6 +19,7 @@ from worldstate.functions.spatial import (
 from worldstate.operators.folds import chained_fold
 from worldstate.operators.ordered import ROWS_PER_TASK, Ordered
 from worldstate.operators.proximity import entities_near
+from worldstate.session import cut_lineage
 from worldstate.streaming.folds import stream_fold
 
 CHUNK_KEY = ["size_cat", "cx", "cz"]
@@ -118,6 +119,40 @@ def moved_chunks(index: DataFrame, nodes: DataFrame, **kwargs) -> DataFrame:
     return index.join(now, "uid").filter(stale)
 
 
+def _near_cells(
+    spots: DataFrame, sides: Sequence[str], centres: DataFrame, radius: int, cell_size: float, spawn_distance: float
+) -> DataFrame:
+    """Per numbered centre (``_centre``) and cell: how near the nearest spot comes whose cell is within ``radius`` cells.
+
+    One column per side, over the spots that are true there; null without any. Bodies of one centre share the
+    search, and every cell is widened along one axis after the other, so no spot is expanded into a cube of cells.
+    """
+    near = entities_near(spots, centres, sides, spawn_distance).withColumnRenamed("body_id", "_centre")
+    cells = cell_of_position(*[F.col(a) - F.col(f"c{a}") for a in "xyz"], cell_size)
+    named = [c.alias(f"c{a}") for c, a in zip(cells, "xyz")]
+    found = near.select("_centre", *named, *[F.when(F.col(s), F.col("distance")).alias(s) for s in sides])
+    nearest = [F.min(s).alias(s) for s in sides]
+    found = found.groupBy("_centre", "cx", "cy", "cz").agg(*nearest).repartition("_centre")
+    for n in ("cx", "cy", "cz"):
+        around = F.explode(F.array(*[F.col(n) + d for d in range(-radius, radius + 1)]))
+        found = found.withColumn(n, around).groupBy("_centre", "cx", "cy", "cz").agg(*nearest)
+    return found
+
+
+def _cells_of_bodies(spots: DataFrame, sides: Sequence[str], bodies: DataFrame, radius: int, cell_size: float, spawn_distance: float) -> DataFrame:
+    """Cells of every body (body_id, cx, cy, cz), with the sides that reach it as booleans."""
+    place = ["cx", "cy", "cz"]
+    centres = bodies.groupBy(*place).agg(F.max("radius").alias("radius"))
+    centres = cut_lineage(centres.withColumn("id", F.monotonically_increasing_id()), "centres")
+    found = _near_cells(spots, sides, centres, radius, cell_size, spawn_distance)
+    own = bodies.select(F.col("id").alias("body_id"), *place, "radius").join(centres.select(*place, F.col("id").alias("_centre")), place).drop(*place)
+    once = bodies.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    reached = [F.coalesce(F.col(s) < F.col("radius") + spawn_distance, F.lit(False)).alias(s) for s in sides]
+    out = found.join(own.hint("shuffle_hash"), "_centre").select("body_id", *place, *reached)
+    out = out.filter(" or ".join(f"`{s}`" for s in sides))
+    return out if once else out.groupBy("body_id", *place).agg(*[F.max(s).alias(s) for s in sides])
+
+
 def needed_cells(
     points: DataFrame,
     bodies: DataFrame,
@@ -128,17 +163,28 @@ def needed_cells(
 ) -> DataFrame:
     """Cells (body_id, cx, cy, cz) around every point near a body, relative to its centre.
 
-    Points of one cell need the same neighbours, so cells are made distinct before they are
-    expanded and again after.
+    Points at one place and bodies with one centre are searched once; a body takes those cells of its centre
+    that have a point within its own reach.
+    """
+    spots = points.select("x", "y", "z").distinct().withColumn("_need", F.lit(True))
+    return _cells_of_bodies(spots, ["_need"], bodies, radius, cell_size, spawn_distance).drop("_need")
+
+
+def needed_changes(
+    points: DataFrame, before: DataFrame, bodies: DataFrame, radius: int = 1, cell_size: float = 300.0, spawn_distance: float = 1200.0
+) -> DataFrame:
+    """``chunk_changes`` between the needed cells of ``points`` and of ``before``, in one search for both.
+
+    The sides are compared per centre, before its bodies take their cells, so no cell of a body is shuffled.
     """
-    near = entities_near(points, bodies, key, spawn_distance)
-    local = [F.col(a) - F.col(f"c{a}") for a in "xyz"]
-    cells = cell_of_position(*local, cell_size)
-    own = near.select("body_id", *[c.alias(n) for c, n in zip(cells, ("_x", "_y", "_z"))]).distinct()
-    around = F.sequence(F.lit(-radius), F.lit(radius))
-    for n in "xyz":
-        own = own.withColumn(f"c{n}", F.explode(around)).withColumn(f"c{n}", F.col(f"c{n}") + F.col(f"_{n}"))
-    return own.select("body_id", "cx", "cy", "cz").distinct()
+    both = points.select("x", "y", "z", F.lit(True).alias("_need"), F.lit(False).alias("_have")).unionByName(
+        before.select("x", "y", "z", F.lit(False).alias("_need"), F.lit(True).alias("_have"))
+    )
+    sides = ["_need", "_have"]
+    spots = both.groupBy("x", "y", "z").agg(*[F.max(s).alias(s) for s in sides])
+    cells = _cells_of_bodies(spots, sides, bodies, radius, cell_size, spawn_distance)
+    action = F.when(~F.col("_have"), "load").when(~F.col("_need"), "unload").otherwise("keep")
+    return cells.select("body_id", "cx", "cy", "cz", action.alias("action"))
 
 
 def find_nodes(nodes: DataFrame, uid: str) -> DataFrame:

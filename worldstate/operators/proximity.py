@@ -14,6 +14,7 @@ from worldstate.session import cut_lineage
 # fixed values: shapes nearer than the first distance are disabled, those beyond the second removed
 DISABLE_WITHIN, REMOVE_BEYOND = 400.0, 1000.0
 
+TASKS_PER_CORE = 4
 FEW_POINTS = 4096  # point sets up to this size are broadcast (27 rows each)
 
 def _centre() -> tuple[Column, Column, Column]:
@@ -35,6 +36,8 @@ def entities_near(points: DataFrame, bodies: DataFrame, key: Sequence[str], extr
         [c - reach for c in centre],
         [c + reach for c in centre],
         vec_distance(vec(), centre) < reach,
+        finer=2,
+        tasks=TASKS_PER_CORE * points.sparkSession.sparkContext.defaultParallelism,
     )
     return pairs.withColumn("distance", vec_distance(vec(), centre))
 
