@@ -355,3 +355,48 @@ def test_translations(spark, tmp_path):
     long = tables.read_translations(spark, str(tmp_path / "l.csv"), ["en", "fr", "es"])
     shown = {(r["key"], r["locale"]): r["shown"] for r in tables.shown_text(long).collect()}
     assert shown[("HI", "en")] == "Hello, you" and shown[("GO", "fr")] == "GO" and len(shown) == 6
+
+
+def test_needed_cells_share_centres_and_changes_equal_both_sets(spark):
+    """Bodies of one centre differ in reach; the cells, and what changes, are those of the plain pairs."""
+    import random
+
+    rng = random.Random(3)
+    points = [(i, rng.choice([-700.0, -50.0, 0.0, 310.0, 900.0]), float(rng.randrange(-200, 200)), float(rng.randrange(-900, 900))) for i in range(60)]
+    early = [(i, x + 40.0 * (i % 3), y, z) for i, x, y, z in points]
+    bodies = [(b, float(b % 3 * 400), 0.0, 100.0, float(100 + b * 37)) for b in range(9)] + [(3, 5000.0, 0.0, 0.0, 9.0)]
+
+    def plain(rows):
+        out = set()
+        for b, cx, cy, cz, radius in bodies:
+            for _, x, y, z in rows:
+                d = (x - cx, y - cy, z - cz)
+                if math.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) < radius + 300.0:
+                    own = [int(v / 100.0) for v in d]
+                    out |= {(b, own[0] + i, own[1] + j, own[2] + k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)}
+        return out
+
+    table = lambda rows: spark.createDataFrame(rows, "k int, x double, y double, z double")
+    fields = spark.createDataFrame(bodies, "id int, cx double, cy double, cz double, radius double")
+    got = [tuple(r) for r in chunks.needed_cells(table(points), fields, ["k"], cell_size=100.0, spawn_distance=300.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain(points)
+    changed = chunks.needed_changes(table(points), table(early), fields, cell_size=100.0, spawn_distance=300.0).collect()
+    now, old = plain(points), plain(early)
+    want = {(*c, "keep" if c in now and c in old else "load" if c in now else "unload") for c in now | old}
+    assert len(changed) == len(want) and {tuple(r) for r in changed} == want
+
+
+def test_pairs_of_few_points_are_dealt_to_all_cores(spark):
+    """Points of few bytes may have very many pairs; they must not end in one task."""
+    points = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") % 100 * 90.0).alias("x"), F.lit(0.0).alias("y"), (F.col("id") * 2.0).alias("z")).distinct()
+    fields = spark.range(500).select("id", (F.col("id") * 18.0).alias("cx"), F.lit(0.0).alias("cy"), (F.col("id") * 16.0).alias("cz"), F.lit(500.0).alias("radius"))
+    near = proximity.entities_near(points, fields, ["k"], 100.0)
+    assert near.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_assets_are_drawn_once_per_cell_of_all_bodies(spark):
+    cells = spark.range(300).select((F.col("id") % 60).alias("body_id"), *[F.lit(v).cast("bigint").alias(c) for c, v in (("cx", 1), ("cz", 2))], F.floor(F.col("id") / 60).alias("cy"))
+    rows = tiles.scatter_assets(cells, kinds=4, radius=10.0)
+    per_body = rows.groupBy("body_id", "cx", "cy", "cz").agg(F.sort_array(F.collect_list(F.struct("asset_no", "kind", "x", "y", "z"))).alias("a"))
+    assert per_body.count() == 300 and per_body.select("cx", "cy", "cz", "a").distinct().count() == 5
+    assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()

@@ -86,9 +86,7 @@ def _early(v):
       on n.body_id = l.body_id and n.cx = l.cx and n.cy = l.cy and n.cz = l.cz"""
 )
 def chunk_changes(v):
-    needed = chunks.needed_cells(v.latest, v.fields, ["entity_id"])
-    loaded = chunks.needed_cells(_early(v), v.fields, ["entity_id"])
-    return chunks.chunk_changes(needed, loaded, ["body_id", "cx", "cy", "cz"])
+    return chunks.needed_changes(v.latest, _early(v), v.fields)
 
 
 _MOVED_NODES = "(select uid, scene, x + 5 as x, z - 3 as z, size + case when scene = 'SMALL' then 1 else 0 end as size from nodes)"
