@@ -19,6 +19,7 @@ MAX_DEPTH = 8
 SPLIT_FACTOR = 0.7
 # fixed values: assets per cell, share of the cell they spread over
 MIN_ASSETS, MAX_ASSETS, JITTER = 3, 10, 0.5
+FEW_LISTS = 100_000  # asset lists, at most ten assets each, that are sent to all tasks
 
 Noise = Callable[[Vec], Mapping[str, Column]]
 
@@ -86,8 +87,19 @@ def scatter_assets(
 ) -> DataFrame:
     """Assets of each cell (cx, cy, cz): number, kind, and place on the surface.
 
-    Draws depend only on the cell's seed, so a cell always gets the same assets.
+    Draws depend only on the cell's seed, so a cell always gets the same assets: they are drawn once per distinct
+    cell, and every body that has the cell takes the list. Few lists (counted) are broadcast, so the cells stay where they are.
     """
+    cells, place = cut_lineage(cells, "cells"), ["cx", "cy", "cz"]
+    drawn = _drawn(cells.select(*place).distinct(), kinds, radius, cell_size, fewest, most, noise)
+    fields = ["asset_no", "kind", "x", "y", "z"]
+    lists = cut_lineage(drawn.groupBy(*place).agg(F.collect_list(F.struct(*fields)).alias("_assets")), "assets")
+    few = lists.count() <= FEW_LISTS
+    return cells.join(F.broadcast(lists) if few else lists, place).select(*[F.col(c) for c in cells.columns], F.inline("_assets"))
+
+
+def _drawn(cells: DataFrame, kinds: int, radius: float, cell_size: float, fewest: int, most: int, noise: Noise | None) -> DataFrame:
+    """One row per asset of each cell."""
     seeded = cells.withColumn("_seed", cell_seed(F.col("cx"), F.col("cy"), F.col("cz")))
     span = most - fewest + 1
     count = F.lit(fewest) + F.floor(hash_draw(F.col("_seed"), F.lit(0), F.lit(0)) * span)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from worldstate.operators import chunks, tiles
 from worldstate.plans.registry import query
 from worldstate.plans.world import NEEDED_SQL
+from worldstate.session import cut_lineage
 from worldstate.plans.scalars import _ELEVATION, FACE_SQL, PLANE_SQL, draw_sql, r6
 
 RADIUS, DEPTH = 8000.0, tiles.MAX_DEPTH
@@ -73,22 +74,29 @@ _SCATTER = f"""with draws as (
 
 @query(_SCATTER)
 def scatter_assets(v):
-    cells = chunks.needed_cells(v.latest, v.fields, ["entity_id"])
+    return _scattered(chunks.needed_cells(v.latest, v.fields, ["entity_id"]))
+
+
+def _scattered(cells):
     found = tiles.scatter_assets(cells, kinds=4, radius=2000.0, noise=_noise)
-    return found.select("body_id", "cx", "cy", "cz", "asset_no", "kind", *[r6(F.col(a)).alias(a) for a in "xyz"])
+    return found.select(*cells.columns, "asset_no", "kind", *[r6(F.col(a)).alias(a) for a in "xyz"])
 
 
 @query(f"select *, true as as_designed from ({NEEDED_SQL}) c")
 def scatter_per_cell(v):
     """Draws cannot be compared; number, kinds and height of each cell's assets can."""
-    rows = scatter_assets(v)
+    cells = cut_lineage(chunks.needed_cells(v.latest, v.fields, ["entity_id"]), "cells")
+    place = ["cx", "cy", "cz"]
+    rows = _scattered(cells.select(*place).distinct())  # a cell has the same assets with every body
     height = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
-    checked = rows.groupBy("body_id", "cx", "cy", "cz").agg(
+    checked = rows.groupBy(*place).agg(
         F.count(F.lit(1)).alias("n"), F.max("asset_no").alias("last"), F.min("kind").alias("k0"), F.max("kind").alias("k1"),
         F.min(height).alias("h0"), F.max(height).alias("h1"),
     )
     good = "n between 3 and 10 and last = n and k0 >= 0 and k1 < 4 and h0 > 2649.999 and h1 < 2770.001"
-    return checked.select("body_id", "cx", "cy", "cz", F.expr(good).alias("as_designed"))
+    checked = cut_lineage(checked.select(*place, F.expr(good).alias("as_designed")), "checked")
+    few = checked.count() <= tiles.FEW_LISTS
+    return cells.join(F.broadcast(checked) if few else checked, place).select("body_id", *place, "as_designed")
 
 
 _EARLY = "(select arg_min(x, row(ts, seq)) as x, arg_min(y, row(ts, seq)) as y, arg_min(z, row(ts, seq)) as z from moves where op = 'add' group by entity_id)"
