@@ -400,3 +400,16 @@ def test_assets_are_drawn_once_per_cell_of_all_bodies(spark):
     per_body = rows.groupBy("body_id", "cx", "cy", "cz").agg(F.sort_array(F.collect_list(F.struct("asset_no", "kind", "x", "y", "z"))).alias("a"))
     assert per_body.count() == 300 and per_body.select("cx", "cy", "cz", "a").distinct().count() == 5
     assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fields_of_one_centre_and_points_of_one_place(spark):
+    """Of one centre the smallest id that reaches wins; repeated places are searched once."""
+    fields = [(1, 100.0), (2, 300.0), (3, 200.0), (4, 900.0), (5, 900.0)]
+    fields = spark.createDataFrame([(i, 0.0, 0.0, 0.0, r, 10.0) for i, r in fields], "id int, cx double, cy double, cz double, radius double, atmosphere double")
+    spots = [50.0, 250.0, 205.0, 700.0, 910.0]
+    points = spark.createDataFrame([(n, spots[n % 5], 0.0, 0.0) for n in range(2000)] + [(2000, None, 0.0, 0.0)], "seq int, x double, y double, z double")
+    out = proximity.containing_field(points, fields, ["seq"])
+    got = {r["seq"]: r["field_id"] for r in out.collect()}
+    assert got == {n: [1, 2, 2, 4, None][n % 5] for n in range(2000)} | {2000: None}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [x#" in plan, "places are made distinct before the search"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worldstate.functions.vectors import vec, vec_direction, vec_distance, vec_distance_sq
@@ -46,13 +46,17 @@ def containing_field(points: DataFrame, fields: DataFrame, key: Sequence[str]) -
     """Adds ``field_id``, ``weightless`` and up_x, up_y, up_z (away from the field's centre).
 
     A field reaches over its radius plus atmosphere. Of several fields the nearest centre wins;
-    in none the point is weightless and has no up. ``key`` must be unique.
+    in none the point is weightless and has no up. Places are searched once, however many points lie there.
     """
+    place = ["x", "y", "z"]
     reaching = fields.withColumn("radius", F.col("radius") + F.col("atmosphere"))
-    inside = entities_near(points, reaching, key, 0.0)
+    # of one centre, a field counts only if it reaches farther than all of smaller id
+    before = Window.partitionBy("cx", "cy", "cz").orderBy("id", F.desc("radius")).rowsBetween(Window.unboundedPreceding, -1)
+    reaching = reaching.withColumn("_before", F.max("radius").over(before)).filter("_before is null or radius > _before").drop("_before")
+    inside = entities_near(points.select(*place).distinct(), reaching, [], 0.0)
     rank = F.struct("distance", "body_id")
-    picked = inside.groupBy(*key).agg(F.min_by(F.struct("body_id", "cx", "cy", "cz"), rank).alias("_f"))
-    out = points.join(picked, list(key), "left")
+    picked = inside.groupBy(*place).agg(F.min_by(F.struct("body_id", "cx", "cy", "cz"), rank).alias("_f"))
+    out = points.join(picked, place, "left").select(*points.columns, "_f")
     up = vec_direction((F.col("_f.cx"), F.col("_f.cy"), F.col("_f.cz")), vec())
     return out.select(
         *points.columns,
