@@ -1,12 +1,17 @@
 """State tables and writers under replays and failures."""
 
+import os
+import uuid
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from worldstate.operators import batching
+from worldstate.operators import batching, chunks
 from worldstate.operators.batching import BatchConfig
 from worldstate.session import fresh_dir
-from worldstate.streaming import alerts, writes
+from worldstate.streaming import alerts, folds, writes
 from worldstate.streaming.chat import LINES_SCHEMA, chat_lines
 from worldstate.streaming.state_table import LastMessages, StateTable, seed_snapshot
 
@@ -253,3 +258,34 @@ def test_replay_holds_every_row_once_though_medians_differ_from_job_to_job(spark
     stream = streams.replay(types.SimpleNamespace(spark=spark), rows)
     got = streams.finished(types.SimpleNamespace(spark=spark), stream)
     assert got.count() == got.select("seq").distinct().count() == 60_000, "also the row without a time"
+
+
+def test_one_call_of_a_stream_fold_takes_all_keys_of_a_bucket(spark):
+    """Small keys share calls: rows of several keys, unordered, in two micro-batches, also without a key."""
+    rng = np.random.default_rng(3)
+    rows = [(None if k == 0 else int(k), int(i), *map(float, rng.integers(0, 3, 3))) for i, k in enumerate(rng.integers(0, 40, 600))]
+    df = spark.createDataFrame(rows, "k int, seq bigint, x double, y double, z double")
+    folder, seen = fresh_dir(spark, "fold"), fresh_dir(spark, "seen")
+    os.makedirs(seen)
+    step = chunks.camera_step(1.5)
+
+    class Counted(folds.FoldProcessor):
+        def handleInputRows(self, key, rows, timerValues):
+            open(f"{seen}/{uuid.uuid4().hex}", "w").close()
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    for part in ("seq < 300", "seq >= 300"):
+        df.filter(part).orderBy(F.desc("seq")).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(folds, "FoldProcessor", Counted)
+        marked = folds.stream_fold(stream, ["k"], ["seq"], step, "updated boolean", buckets=3)
+    out = fresh_dir(spark, "folded")
+    marked.writeStream.format("parquet").option("checkpointLocation", fresh_dir(spark, "c")).trigger(availableNow=True).start(out).awaitTermination()
+    got = sorted((r["seq"], r["updated"]) for r in spark.read.schema(marked.schema).parquet(out).collect())
+    want, places = [], {}
+    for k, i, x, y, z in rows:
+        places[k], marks = step(places.get(k), pd.DataFrame([(x, y, z)], columns=list("xyz")))
+        want.append((i, bool(marks["updated"][0])))
+    assert got == want
+    assert len(os.listdir(seen)) <= 2 * 3
