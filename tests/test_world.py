@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from worldstate.functions import ids, spatial, terrain, text
 from worldstate.operators import chunks, hierarchy, proximity, store, tiles
-from worldstate.session import fresh_dir
+from worldstate.session import cut_lineage, fresh_dir
 from worldstate.sources import tables, world_export
 from worldstate.sources.lines import numbered_lines
 from worldstate.functions.terrain import FACES
@@ -75,6 +75,25 @@ def test_near_any_against_brute_force(spark, few_points, inclusive):
     assert got == set(np.flatnonzero(hit.any(axis=1)).tolist())
 
 
+def test_near_any_settles_each_place_once(spark, monkeypatch):
+    """600 shapes at 6 places: no step holds more rows than there are places; a place without a coordinate is near nothing."""
+    spots = [(0.0, 0.0, 0.0), (19.0, 0.0, 0.0), (-0.0, 33.0, 0.0), (90.0, 90.0, 90.0), (40.0, -1.0, 0.0), (None, 0.0, 0.0)]
+    shapes = spark.createDataFrame([(*spots[i % 6], i) for i in range(600)], "x double, y double, z double, uid int")
+    points = spark.createDataFrame([(1.0, 1.0, 1.0), (-3.0, 15.0, 0.0), (59.0, 0.0, 0.0)], "x double, y double, z double")
+    held = []
+
+    def counted(df, label="step"):
+        out = cut_lineage(df, label)
+        held.append(out.count())
+        return out
+
+    monkeypatch.setattr(proximity, "cut_lineage", counted)
+    got = proximity.near_any(shapes, points, 20.0, ["uid"], few_points=0)
+    assert got.columns == ["x", "y", "z", "uid"]
+    assert {r["uid"] for r in got.collect()} == {i for i in range(600) if i % 6 in (0, 1, 2, 4)}
+    assert max(held) <= 6
+
+
 def test_nearest_field_wins(spark):
     fields = spark.createDataFrame(
         [(1, 0.0, 0.0, 0.0, 10.0, 1.0), (2, 8.0, 0.0, 0.0, 10.0, 1.0)], "id int, cx double, cy double, cz double, radius double, atmosphere double"

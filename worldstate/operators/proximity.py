@@ -111,47 +111,59 @@ def near_any(
 
     At most ``few_points`` distinct points (checked: one more is looked at) are broadcast under
     their 27 neighbouring cells; shapes then need no shuffle at all. More points are reduced to one
-    summary per grid cell, and most shapes are settled by comparing them with those summaries.
-    Only shapes still in doubt look at finer cells, and only the doubtful fine cells at single
+    summary per grid cell, and each distinct place of a shape is compared once, however many shapes lie there:
+    first with its own cell of half the distance, all of which is near, so crowded regions end there; then with the
+    cells around. Only places still in doubt look at finer cells, and only the doubtful fine cells at single
     points, in a semi join that ends at the first point near enough and gives no row per pair. The rows are the
-    same by either way. ``key`` must be unique among the shapes.
+    same by either way. ``key`` names the shapes for the caller; shapes are met by place.
     """
     edge = distance * (1 + 1e-6)  # a little more than the distance, so that neighbours cover it
     spots = points.select(*[F.col(a).alias(f"p{a}") for a in "xyz"]).distinct()
-    coarse = {f"g{a}": F.floor(F.col(f"p{a}") / edge) for a in "xyz"}
-    fine = {f"f{a}": F.floor(F.col(f"p{a}") / (edge / 8)) for a in "xyz"}
-    spots = spots.withColumns({**coarse, **fine})
-    g, f, own = list(coarse), list(fine), ["_gx", "_gy", "_gz"]
-    placed = shapes.withColumns({n: F.floor(F.col(a) / edge) for n, a in zip(own, "xyz")})
+    few = points.limit(few_points + 1).count() <= few_points
+    if not few:
+        spots = cut_lineage(spots, "spots")  # read up to five times below
+        few = spots.limit(few_points + 1).count() <= few_points
+
+    def cells(letter: str, axes: Sequence[str], width: float) -> dict[str, Column]:
+        return {f"{letter}{a[-1]}": F.floor(F.col(a) / width) for a in axes}
+
+    at, place = ["px", "py", "pz"], ["x", "y", "z"]
+    coarse, fine, half = cells("g", at, edge), cells("f", at, edge / 8), cells("h", at, edge / 2)
+    spots = spots.withColumns({**coarse, **fine, **half})
+    g, f, h, own = list(coarse), list(fine), list(half), ["_gx", "_gy", "_gz"]
+    owned = cells("_g", place, edge)
     gap = vec_distance_sq(vec(), (F.col("px"), F.col("py"), F.col("pz")))
     hit = gap <= distance * distance if inclusive else gap < distance * distance
 
-    if spots.limit(few_points + 1).count() <= few_points:
-        spread = _around(spots.select("px", "py", "pz", *g), g, ["_nx", "_ny", "_nz"])
+    if few:
+        spread = _around(spots.select(*at, *g), g, ["_nx", "_ny", "_nz"])
         same = [F.col(o) == F.col(n) for o, n in zip(own, ("_nx", "_ny", "_nz"))]
-        return placed.join(F.broadcast(spread), same[0] & same[1] & same[2] & hit, "left_semi").drop(*own)
+        return shapes.withColumns(owned).join(F.broadcast(spread), same[0] & same[1] & same[2] & hit, "left_semi").drop(*own)
 
-    spots = cut_lineage(spots, "spots")  # read up to three times below
     certain, possible = _verdict(distance)
+    places = cut_lineage(shapes.select(*place).distinct(), "places")
+    crowded = places.withColumns(cells("h", place, edge / 2)).join(_summaries(spots, h), h).filter(certain)
+    near = cut_lineage(crowded.select(*place), "near")
+    others = places.join(near, place, "left_anti").withColumns(owned)
     summaries = _around(_summaries(spots, g), g, own)
-    first = placed.select(*key, "x", "y", "z", *own).join(summaries, own).filter(possible)
+    first = others.join(summaries, own).filter(possible)
     doubtful = F.collect_list(F.when(~certain, F.struct(*g)))  # at most 27
-    first = first.groupBy(*key, "x", "y", "z").agg(F.max(certain).alias("_near"), doubtful.alias("_cells"))
+    first = first.groupBy(*place).agg(F.max(certain).alias("_near"), doubtful.alias("_cells"))
     first = cut_lineage(first, "near")
-    near = first.filter("_near").select(*key)
+    near = near.unionByName(first.filter("_near").select(*place))
 
     pending = first.filter(~F.col("_near"))
     if not pending.isEmpty():
-        opened = pending.select(*key, "x", "y", "z", F.inline("_cells"))
+        opened = pending.select(*place, F.inline("_cells"))
         second = opened.join(_summaries(spots, [*g, *f]), g).filter(possible)
-        second = cut_lineage(second.select(*key, "x", "y", "z", *f, certain.alias("_near")), "near")
-        sure = second.filter("_near").select(*key).distinct()
-        rest = second.filter(~F.col("_near")).join(sure, list(key), "left_anti")
-        single = spots.select("px", "py", "pz", *[F.col(c).alias(f"_p{c}") for c in f])
+        second = cut_lineage(second.select(*place, *f, certain.alias("_near")), "near")
+        sure = second.filter("_near").select(*place).distinct()
+        rest = second.filter(~F.col("_near")).join(sure, place, "left_anti")
+        single = spots.select(*at, *[F.col(c).alias(f"_p{c}") for c in f])
         same = [F.col(c) == F.col(f"_p{c}") for c in f]
-        rest = rest.join(single, same[0] & same[1] & same[2] & hit, "left_semi").select(*key)
+        rest = rest.join(single, same[0] & same[1] & same[2] & hit, "left_semi").select(*place)
         near = near.unionByName(sure).unionByName(rest.distinct())
-    return shapes.join(near, list(key), "left_semi")
+    return shapes.join(near, place, "left_semi").select(*shapes.columns)
 
 
 def retention_class(
