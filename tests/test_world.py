@@ -94,6 +94,24 @@ def test_near_any_settles_each_place_once(spark, monkeypatch):
     assert max(held) <= 6
 
 
+def test_retention_asks_the_far_distance_only_where_no_point_is_near(spark, monkeypatch):
+    spots = [(0.0, 0.0, 0.0), (15.0, 0.0, 0.0), (70.0, 0.0, 0.0), (None, 1.0, 1.0)]
+    shapes = spark.createDataFrame([(i, *spots[i % 4]) for i in range(80)], "uid int, x double, y double, z double")
+    points = spark.createDataFrame([(1.0, 0.0, 0.0)] * 3, "x double, y double, z double")
+    asked, search = [], proximity.near_any
+
+    def counted(shapes, points, *rest):
+        asked.append((shapes.count(), points.count()))
+        return search(shapes, points, *rest)
+
+    monkeypatch.setattr(proximity, "near_any", counted)
+    got = proximity.retention_class(shapes, points, ["uid"], 5.0, 20.0)
+    assert got.columns == ["uid", "x", "y", "z", "retention"]
+    want = {0: "disabled", 1: "kept", 2: "removed", 3: "removed"}
+    assert {r["uid"]: r["retention"] for r in got.collect()} == {i: want[i % 4] for i in range(80)}
+    assert asked == [(4, 1), (3, 1)]
+
+
 def test_nearest_field_wins(spark):
     fields = spark.createDataFrame(
         [(1, 0.0, 0.0, 0.0, 10.0, 1.0), (2, 8.0, 0.0, 0.0, 10.0, 1.0)], "id int, cx double, cy double, cz double, radius double, atmosphere double"

@@ -173,9 +173,15 @@ def retention_class(
     disable_within: float = DISABLE_WITHIN,
     remove_beyond: float = REMOVE_BEYOND,
 ) -> DataFrame:
-    """Adds ``retention``: disabled (a point is near), removed (none is even far), else kept."""
-    close = near_any(shapes, points, disable_within, key).select(*key).withColumn("_close", F.lit(True))
-    reach = near_any(shapes, points, remove_beyond, key).select(*key).withColumn("_reach", F.lit(True))
-    retention = F.when(F.col("_close"), "disabled").when(F.col("_reach").isNull(), "removed").otherwise("kept")
-    joined = shapes.join(close, list(key), "left").join(reach, list(key), "left")
-    return joined.select(*shapes.columns, retention.alias("retention"))
+    """Adds ``retention``: disabled (a point is near), removed (none is even far), else kept.
+
+    Settled per distinct place; only places with no point near are asked about the far distance.
+    """
+    place = ["x", "y", "z"]
+    places = cut_lineage(shapes.select(*place).distinct(), "places")
+    spots = cut_lineage(points.select(*place).distinct(), "spots")
+    close = cut_lineage(near_any(places, spots, disable_within, place), "close")
+    reach = near_any(places.join(close, place, "left_anti"), spots, remove_beyond, place)
+    found = close.withColumn("retention", F.lit("disabled")).unionByName(reach.withColumn("retention", F.lit("kept")))
+    retention = F.coalesce("retention", F.lit("removed")).alias("retention")
+    return shapes.join(found, place, "left").select(*shapes.columns, retention)
