@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from worldstate.operators import batching
+from worldstate.operators import batching, ranges
 from worldstate.operators.batching import BatchConfig
 
 SMALL = BatchConfig(start_size=7, flush_seconds=2.0)
@@ -93,3 +94,34 @@ def test_size_controller_grows_and_shrinks(spark, rows_per_task):
         assert [r["batch_size"] for r in got if r["server_id"] == server] == want
     last = {r["server_id"]: r["batch_size"] for r in got}
     assert last[1] == 500 and last[2] == 20
+
+
+@pytest.mark.parametrize("limits", [(80.0, 95.0), (50.0, 50.0)])
+def test_size_controller_folds_runs_of_wishes_not_batches(spark, limits, monkeypatch):
+    """The fold sees one row per turn of the wishes; also with limits that let every batch turn."""
+    config = BatchConfig(shrink_below=limits[0], grow_above=limits[1], grow_every=1, grow_by=30)
+    rng = np.random.default_rng(7)
+    log = [(k, i, int(rng.integers(0, 2)), int(rng.integers(0, 2))) for k in (1, 2) for i in range(700)]
+    log += [(3, i, *((1, 0) if i < 40 or 60 < i < 900 else (0, 1))) for i in range(1200)]
+    df = spark.createDataFrame(log, "server_id int, batch_no int, successes int, aborts int")
+    folded, in_ranges = [], ranges.in_ranges
+
+    def counted(rows, keys):
+        folded.append(rows.count())
+        return in_ranges(rows, keys)
+
+    monkeypatch.setattr(ranges, "in_ranges", counted)
+    got = batching.batch_size_controller(df, config=config).orderBy("server_id", "batch_no").collect()
+    want, turns = [], 0
+    for server in (1, 2, 3):
+        size, wins, losses, last = config.start_size, 0, 0, 0
+        for _, _, s, a in (r for r in log if r[0] == server):
+            wins, losses = wins + s, losses + a
+            size = batching.next_batch_size(size, wins, losses, config)
+            rate = wins / (wins + losses) * 100 if wins + losses >= config.settle_after else None
+            wish = 0 if rate is None else -1 if rate < config.shrink_below else int(rate > config.grow_above)
+            turns += wish not in (0, last)
+            last = wish or last
+            want.append((server, wins, losses, size))
+    assert [(r["server_id"], r["wins"], r["losses"], r["batch_size"]) for r in got] == want
+    assert folded == [turns]

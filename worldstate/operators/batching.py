@@ -164,10 +164,12 @@ def next_batch_size(size: int, wins: float, losses: float, config: BatchConfig)
     return size
 
 
-def _changed_size(size: Column, change: Column, config: BatchConfig) -> Column:
-    """Size after a batch that asks for a smaller (-1), a larger (1) or the same size."""
-    smaller = F.when(size > config.min_size, F.greatest(F.floor(size / 2).cast("int"), F.lit(config.min_size))).otherwise(size)
-    larger = F.when(size < config.max_size, F.least(size + config.grow_by, F.lit(config.max_size))).otherwise(size)
+def _changed_size(size: Column, change: Column, times: Column, config: BatchConfig) -> Column:
+    """Size after ``times`` batches in a row that ask for a smaller (-1) or a larger (1) size."""
+    halved = F.call_function("shiftright", size, F.least(times, F.lit(31)).cast("int"))
+    smaller = F.when(size > config.min_size, F.greatest(halved, F.lit(config.min_size))).otherwise(size)
+    grown = F.least(size + times * config.grow_by, F.lit(config.max_size)).cast("int")
+    larger = F.when(size < config.max_size, grown).otherwise(size)
     return F.when(change < 0, smaller).when(change > 0, larger).otherwise(size)
 
 
@@ -190,28 +192,43 @@ def batch_size_controller(
 ) -> DataFrame:
     """Batch size after each batch. ``batches``: keys, order, ``successes`` and ``aborts`` of the batch.
 
-    The running totals are prefix sums. They say of each batch whether it asks for a smaller or a larger size, so a
-    range of batches is a map of sizes, and the sizes entering all ranges come of composed maps (``ranges``).
+    The running totals are prefix sums. They say of each batch whether it asks for a smaller or a larger size. Wishes of one
+    kind in a row are a run with one formula, so only the sizes that enter the runs need a fold. Between two turns the
+    success rate has to pass from ``shrink_below`` to ``grow_above`` or back, so the runs of a key are as few as the logarithm
+    of its attempts. Where the limits are set so that there are more, ranges of runs are maps of sizes (``ranges``).
     """
-    totals = (
-        Ordered(batches.select(*keys, *order, "successes", "aborts"), keys, order, rows_per_task)
-        .running_sum("wins", F.col("successes").cast("bigint"))
-        .running_sum("losses", F.col("aborts").cast("bigint"))
-        .row_number("_at")
-        .result(*keys, *order, "wins", "losses", "_at")
-    )
+    given = cut_lineage(batches.select(*keys, *order, "successes", "aborts"), "batches")  # counted, then ordered
     total = F.col("wins") + F.col("losses")
     rate = F.col("wins") / total * 100.0
     more = (rate > config.grow_above) & (F.col("wins") % config.grow_every == 0)
     change = F.when(total < config.settle_after, 0).when(rate < config.shrink_below, -1).when(more, 1).otherwise(0)
-    placed = totals.withColumns({"_change": change, "_range": F.expr(f"(_at - 1) div {ranges.RANGE}")})
-    held = cut_lineage(ranges.in_ranges(placed, keys), "ranges")
+    asked = (
+        Ordered(given, keys, order, rows_per_task)
+        .running_sum("wins", F.col("successes").cast("bigint"))
+        .running_sum("losses", F.col("aborts").cast("bigint"))
+        .running_sum("_downs", (change < 0).cast("bigint"))
+        .running_sum("_ups", (change > 0).cast("bigint"))
+        .last_known("_sign", F.when(change != 0, change))
+        .result(*keys, *order, "wins", "losses", "_downs", "_ups", "_sign")
+    )
+    # within a run one of the counts stands still, and their sum numbers the wishes
+    run = F.when(F.col("_sign") < 0, F.col("_ups")).when(F.col("_sign") > 0, F.col("_downs"))
+    asked = cut_lineage(asked.withColumns({"_run": run, "_wish": F.col("_downs") + F.col("_ups")}).drop("_downs", "_ups"), "wishes")
+    runs = asked.filter("_run is not null").groupBy(*keys, "_sign", "_run").agg(F.min("_wish").alias("_first"), F.max("_wish").alias("_last_wish"))
+    runs = runs.withColumn("_times", F.col("_last_wish") - F.col("_first") + 1).drop("_last_wish")
+    held = cut_lineage(ranges.in_ranges(ranges.numbered(cut_lineage(runs, "runs"), keys, ["_first"], rows_per_task), keys), "ranges")
 
     def step(size: Column, row: Column) -> Column:
-        return _changed_size(size, row["_change"], config)
+        return _changed_size(size, row["_sign"], row["_times"], config)
 
     entering = ranges.entering_values(held, keys, _sizes(config), config.start_size, step)
     started = held.join(entering, [*keys, "_range"], "left").withColumn("entering", F.coalesce("entering", F.lit(config.start_size)))
-    sizes = F.arrays_zip("rows", ranges.states(F.col("rows"), F.col("entering"), step).alias("batch_size"))
-    after = started.select(*keys, F.explode(sizes).alias("r"))
-    return after.select(*keys, *[F.col(f"r.rows.{c}").alias(c) for c in order], "r.rows.wins", "r.rows.losses", "r.batch_size")
+    before = F.slice(ranges.states(F.col("rows"), F.col("entering"), step), F.lit(1), F.size("rows") - 1)
+    sized = F.arrays_zip("rows", F.concat(F.array("entering"), before).alias("before"))
+    opened = started.select(*keys, F.explode(sized).alias("r"))
+    theirs = {k: f"_of_{k}" for k in keys}  # a null key meets itself
+    opened = opened.select(*[F.col(k).alias(t) for k, t in theirs.items()], *[F.col(f"r.rows.{c}").alias(f"_of{c}") for c in ("_sign", "_run", "_first")], "r.before")
+    same = [F.col(k).eqNullSafe(F.col(t)) for k, t in theirs.items()] + [F.col(c) == F.col(f"_of{c}") for c in ("_sign", "_run")]
+    met = asked.join(opened, same, "left")
+    size = _changed_size(F.col("before"), F.col("_sign"), F.col("_wish") - F.col("_of_first") + 1, config)
+    return met.select(*keys, *order, "wins", "losses", F.coalesce(size, F.lit(config.start_size)).alias("batch_size"))
