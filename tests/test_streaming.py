@@ -289,3 +289,58 @@ def test_one_call_of_a_stream_fold_takes_all_keys_of_a_bucket(spark):
         want.append((i, bool(marks["updated"][0])))
     assert got == want
     assert len(os.listdir(seen)) <= 2 * 3
+
+
+def test_servers_of_one_task_do_not_wait_for_each_other(spark):
+    """24 servers on 4 tasks, each batch refused twice: while one waits for its next try another one is tried."""
+    folder = fresh_dir(spark, "tries")
+    os.makedirs(folder)
+
+    def refuse(key, batch_no, attempt, rows):
+        import time
+
+        with open(f"{folder}/{os.getpid()}", "a") as out:
+            out.write(f"{key[0]} {batch_no} {attempt} {time.monotonic()}\n")
+        if attempt < 3:
+            raise RuntimeError("later")
+
+    rows = spark.range(24 * 12).select(
+        (F.col("id") % 24).cast("int").alias("server_id"), F.timestamp_seconds(F.col("id") + 1_000_000).alias("ts"), F.col("id").alias("seq"),
+        F.lit(5).alias("priority"), F.lit("Mutation").alias("kind"),
+    )
+    log = written(spark, as_stream(spark, rows), refuse, BatchConfig(start_size=4, base_delay_ms=20, flush_seconds=1000, settle_after=100))
+    got = sorted((r.server_id, r.batch_no, r.attempts, r.delivered, r.delays_ms, r.seqs) for r in log.batches(spark).collect())
+    seqs = lambda s, b: [s + 24 * i for i in range(4 * b - 4, 4 * b)]
+    assert got == [(s, b, 3, True, [20, 40], seqs(s, b)) for s in range(24) for b in (1, 2, 3)]
+    met = 0
+    for name in os.listdir(folder):
+        with open(f"{folder}/{name}") as lines:
+            tried = [(int(s), int(b), int(a), float(t)) for s, b, a, t in map(str.split, lines)]
+        met += sum(s != other and a < 3 for (s, _, a, _), (other, *_) in zip(tried, tried[1:]))
+        for server in {s for s, *_ in tried}:
+            mine = [t[1:] for t in tried if t[0] == server]
+            assert [(b, a) for b, a, _ in mine] == [(b, a) for b in (1, 2, 3) for a in (1, 2, 3)], "one batch after the other"
+            assert all(later - t >= 0.02 * a for (_, a, t), (*_, later) in zip(mine, mine[1:]) if a < 3), "the delays are kept"
+    assert met > 0, "every wait held up the other servers of its task"
+
+
+def test_a_lane_keeps_keys_apart_also_missing_ones_and_its_timers(spark):
+    """Keys reach ``deliver`` as they are though a lane mixes them; buffers due at several times leave without another operation."""
+
+    def tell(key, batch_no, attempt, rows):
+        raise RuntimeError(repr((key, [r["server_id"] for r in rows], [r["seq"] for r in rows])))
+
+    big = 2**60 + 1
+    servers = [None, big, big + 1, *range(30)]
+    rows = [(s, 1_000_000 + i % 3, 10 * i + n, 5, "Mutation") for i, s in enumerate(servers) for n in (0, 1)]
+    df = spark.createDataFrame(rows, "server_id bigint, t bigint, seq bigint, priority int, kind string").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    closing = df.limit(1).select(F.lit(99).cast("long").alias("server_id"), F.lit(-1).cast("long").alias("seq"), "priority", "kind", F.lit("2090-01-01").cast("timestamp").alias("ts"))
+    log = written(spark, as_stream(spark, df.unionByName(closing)), tell, BatchConfig(max_retries=1, flush_seconds=7))
+    got = {r.server_id: (r.batch_no, r.cause, r.flushed_at.timestamp(), r.error) for r in log.batches(spark).filter("seqs[0] >= 0").collect()}
+    assert got == {s: (1, "idle", 1_000_007.0 + i % 3, repr(((s,), [s, s], [10 * i, 10 * i + 1]))) for i, s in enumerate(servers)}
+
+
+@pytest.mark.parametrize("tasks", [8, 12, 16, 24, 48, 100, 200])
+def test_lanes_meet_in_no_task(spark, tasks):
+    lanes = spark.createDataFrame([(n,) for n in writes.LANES], "lane int")
+    assert lanes.select(F.pmod(F.hash("lane"), F.lit(tasks))).distinct().count() == len(writes.LANES)
