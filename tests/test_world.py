@@ -1,6 +1,7 @@
 """Chunks, proximity, hierarchies, exports, tiles."""
 
 import math
+import re
 import types
 
 import numpy as np
@@ -17,6 +18,7 @@ from worldstate.sources import tables, world_export
 from worldstate.sources.lines import numbered_lines
 from worldstate.functions.terrain import FACES
 from worldstate.plans import planets
+from worldstate.plans.scalars import r6
 
 few = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -450,3 +452,43 @@ def test_fields_of_one_centre_and_points_of_one_place(spark):
     assert got == {n: [1, 2, 2, 4, None][n % 5] for n in range(2000)} | {2000: None}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [x#" in plan, "places are made distinct before the search"
+
+
+def test_scatter_writes_cells_per_centre_and_rounds_once_per_cell(spark, monkeypatch):
+    """Forty bodies share two centres: their cells are never written, and no asset is rounded for every body."""
+    points = [(i, float(i * 37 % 1800), float(i * 11 % 300), float(i * 53 % 1800)) for i in range(50)]
+    bodies = [(b, float(b % 2 * 900), 0.0, 0.0, 300.0 + b % 5 * 100) for b in range(40)]
+    view = types.SimpleNamespace(
+        latest=spark.createDataFrame(points, "entity_id int, x double, y double, z double"),
+        fields=spark.createDataFrame(bodies, "id int, cx double, cy double, cz double, radius double"),
+    )
+    cells = chunks.needed_cells(view.latest, view.fields, ["entity_id"])
+    want = tiles.scatter_assets(cells, kinds=4, radius=2000.0, noise=planets._noise)
+    want = {tuple(r) for r in want.select(*want.columns[:6], *[r6(F.col(a)).alias(a) for a in "xyz"]).collect()}
+    n_cells = cells.count()
+    written = []
+
+    def counted(df, label="step"):
+        out = cut_lineage(df, label)
+        written.append(out.count())
+        return out
+
+    for module in (chunks, tiles, planets):
+        monkeypatch.setattr(module, "cut_lineage", counted)
+    out = planets.scatter_assets(view)
+    assert written and max(written) <= n_cells / 10
+    above, inline, _ = out._jdf.queryExecution().optimizedPlan().toString().partition("Generate inline")
+    assert inline and "round(" not in above
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want and len({r[:4] for r in got}) == n_cells
+    checked = planets.scatter_per_cell(view)
+    assert max(written) <= n_cells / 10 and {tuple(r)[:4] for r in checked.collect()} == {r[:4] for r in got} and checked.count() == n_cells
+
+
+def test_cells_are_widened_in_tasks_of_few_centres(spark):
+    """Small rows become very many cells, so the tasks are counted by centres, not by bytes."""
+    tasks = spark.sparkContext.defaultParallelism * 2
+    fields = spark.range(chunks.CENTRES_PER_TASK * tasks).select("id", F.col("id").cast("double").alias("cx"), *[F.lit(v).alias(c) for c, v in (("cy", 0.0), ("cz", 0.0), ("radius", 5.0))])
+    points = spark.createDataFrame([(0, 1.0, 2.0, 3.0)], "k int, x double, y double, z double")
+    plan = chunks.needed_cells(points, fields, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"hashpartitioning\(_centre#\d+L?, {tasks}\), REPARTITION_BY_NUM", plan)

@@ -18,11 +18,12 @@ from worldstate.functions.spatial import (
 )
 from worldstate.operators.folds import chained_fold
 from worldstate.operators.ordered import ROWS_PER_TASK, Ordered
-from worldstate.operators.proximity import entities_near
+from worldstate.operators.proximity import TASKS_PER_CORE, entities_near
 from worldstate.session import cut_lineage
 from worldstate.streaming.folds import stream_fold
 
 CHUNK_KEY = ["size_cat", "cx", "cz"]
+CENTRES_PER_TASK = 64  # a centre's cells are many times its rows before they are widened
 
 
 def with_chunk(
@@ -126,26 +127,35 @@ def _near_cells(
 
     One column per side, over the spots that are true there; null without any. Bodies of one centre share the
     search, and every cell is widened along one axis after the other, so no spot is expanded into a cube of cells.
+    The widening is dealt by the number of centres, since the size of the rows before it doesn't tell of those after.
     """
+    tasks = max(spots.sparkSession.sparkContext.defaultParallelism, math.ceil(centres.count() / CENTRES_PER_TASK))
     near = entities_near(spots, centres, sides, spawn_distance).withColumnRenamed("body_id", "_centre")
     cells = cell_of_position(*[F.col(a) - F.col(f"c{a}") for a in "xyz"], cell_size)
     named = [c.alias(f"c{a}") for c, a in zip(cells, "xyz")]
     found = near.select("_centre", *named, *[F.when(F.col(s), F.col("distance")).alias(s) for s in sides])
     nearest = [F.min(s).alias(s) for s in sides]
-    found = found.groupBy("_centre", "cx", "cy", "cz").agg(*nearest).repartition("_centre")
+    found = found.groupBy("_centre", "cx", "cy", "cz").agg(*nearest).repartition(tasks, "_centre")
     for n in ("cx", "cy", "cz"):
         around = F.explode(F.array(*[F.col(n) + d for d in range(-radius, radius + 1)]))
         found = found.withColumn(n, around).groupBy("_centre", "cx", "cy", "cz").agg(*nearest)
     return found
 
 
-def _cells_of_bodies(spots: DataFrame, sides: Sequence[str], bodies: DataFrame, radius: int, cell_size: float, spawn_distance: float) -> DataFrame:
-    """Cells of every body (body_id, cx, cy, cz), with the sides that reach it as booleans."""
+def _cells_of_centres(
+    spots: DataFrame, sides: Sequence[str], bodies: DataFrame, radius: int, cell_size: float, spawn_distance: float
+) -> tuple[DataFrame, DataFrame]:
+    """``_near_cells`` of the distinct centres, and the bodies (body_id, radius) by the number of their centre."""
     place = ["cx", "cy", "cz"]
     centres = bodies.groupBy(*place).agg(F.max("radius").alias("radius"))
     centres = cut_lineage(centres.withColumn("id", F.monotonically_increasing_id()), "centres")
-    found = _near_cells(spots, sides, centres, radius, cell_size, spawn_distance)
     own = bodies.select(F.col("id").alias("body_id"), *place, "radius").join(centres.select(*place, F.col("id").alias("_centre")), place).drop(*place)
+    return _near_cells(spots, sides, centres, radius, cell_size, spawn_distance), own
+
+
+def _taken(found: DataFrame, own: DataFrame, sides: Sequence[str], bodies: DataFrame, spawn_distance: float) -> DataFrame:
+    """Cells of every body (body_id, cx, cy, cz), with the sides that reach it as booleans."""
+    place = ["cx", "cy", "cz"]
     once = bodies.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
     reached = [F.coalesce(F.col(s) < F.col("radius") + spawn_distance, F.lit(False)).alias(s) for s in sides]
     out = found.join(own.hint("shuffle_hash"), "_centre").select("body_id", *place, *reached)
@@ -153,6 +163,11 @@ def _cells_of_bodies(spots: DataFrame, sides: Sequence[str], bodies: DataFrame,
     return out if once else out.groupBy("body_id", *place).agg(*[F.max(s).alias(s) for s in sides])
 
 
+def _cells_of_bodies(spots: DataFrame, sides: Sequence[str], bodies: DataFrame, radius: int, cell_size: float, spawn_distance: float) -> DataFrame:
+    found, own = _cells_of_centres(spots, sides, bodies, radius, cell_size, spawn_distance)
+    return _taken(found, own, sides, bodies, spawn_distance)
+
+
 def needed_cells(
     points: DataFrame,
     bodies: DataFrame,
@@ -170,6 +185,22 @@ def needed_cells(
     return _cells_of_bodies(spots, ["_need"], bodies, radius, cell_size, spawn_distance).drop("_need")
 
 
+def needed_cells_and_places(
+    points: DataFrame, bodies: DataFrame, radius: int = 1, cell_size: float = 300.0, spawn_distance: float = 1200.0
+) -> tuple[DataFrame, DataFrame]:
+    """``needed_cells``, and the distinct cells (cx, cy, cz) among them.
+
+    What both come from, the cells of each distinct centre, is written once. The cells of all bodies are many times as
+    many: they are neither written nor shuffled, but made where they are used, dealt by centre to all cores.
+    """
+    spots = points.select("x", "y", "z").distinct().withColumn("_need", F.lit(True))
+    found, own = _cells_of_centres(spots, ["_need"], bodies, radius, cell_size, spawn_distance)
+    found = cut_lineage(found, "cells")
+    tasks = TASKS_PER_CORE * points.sparkSession.sparkContext.defaultParallelism
+    cells = _taken(found.repartition(tasks, "_centre"), own, ["_need"], bodies, spawn_distance).drop("_need")
+    return cells, found.select("cx", "cy", "cz").distinct()
+
+
 def needed_changes(
     points: DataFrame, before: DataFrame, bodies: DataFrame, radius: int = 1, cell_size: float = 300.0, spawn_distance: float = 1200.0
 ) -> DataFrame:

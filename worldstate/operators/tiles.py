@@ -84,14 +84,23 @@ def scatter_assets(
     fewest: int = MIN_ASSETS,
     most: int = MAX_ASSETS,
     noise: Noise | None = None,
+    places: DataFrame | None = None,
+    rounding: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Assets of each cell (cx, cy, cz): number, kind, and place on the surface.
 
-    Draws depend only on the cell's seed, so a cell always gets the same assets: they are drawn once per distinct
-    cell, and every body that has the cell takes the list. Few lists (counted) are broadcast, so the cells stay where they are.
+    Draws depend only on the cell's seed, so a cell always gets the same assets: they are drawn, and their coordinates
+    rounded, once per distinct cell, and every body that has the cell takes the list. Few lists (counted) are broadcast,
+    so the cells stay where they are. ``places`` are the distinct cells, if the caller knows them; otherwise the cells are
+    written first, since they are read twice.
     """
-    cells, place = cut_lineage(cells, "cells"), ["cx", "cy", "cz"]
-    drawn = _drawn(cells.select(*place).distinct(), kinds, radius, cell_size, fewest, most, noise)
+    place = ["cx", "cy", "cz"]
+    if places is None:
+        cells = cut_lineage(cells, "cells")
+        places = cells.select(*place).distinct()
+    drawn = _drawn(places, kinds, radius, cell_size, fewest, most, noise)
+    if rounding is not None:
+        drawn = drawn.withColumns({a: rounding(F.col(a)) for a in "xyz"})
     fields = ["asset_no", "kind", "x", "y", "z"]
     lists = cut_lineage(drawn.groupBy(*place).agg(F.collect_list(F.struct(*fields)).alias("_assets")), "assets")
     few = lists.count() <= FEW_LISTS

@@ -74,20 +74,20 @@ _SCATTER = f"""with draws as (
 
 @query(_SCATTER)
 def scatter_assets(v):
-    return _scattered(chunks.needed_cells(v.latest, v.fields, ["entity_id"]))
+    return _scattered(*chunks.needed_cells_and_places(v.latest, v.fields))
 
 
-def _scattered(cells):
-    found = tiles.scatter_assets(cells, kinds=4, radius=2000.0, noise=_noise)
-    return found.select(*cells.columns, "asset_no", "kind", *[r6(F.col(a)).alias(a) for a in "xyz"])
+def _scattered(cells, places):
+    return tiles.scatter_assets(cells, kinds=4, radius=2000.0, noise=_noise, places=places, rounding=r6)
 
 
 @query(f"select *, true as as_designed from ({NEEDED_SQL}) c")
 def scatter_per_cell(v):
     """Draws cannot be compared; number, kinds and height of each cell's assets can."""
-    cells = cut_lineage(chunks.needed_cells(v.latest, v.fields, ["entity_id"]), "cells")
+    cells, places = chunks.needed_cells_and_places(v.latest, v.fields)
     place = ["cx", "cy", "cz"]
-    rows = _scattered(cells.select(*place).distinct())  # a cell has the same assets with every body
+    places = cut_lineage(places, "places")
+    rows = _scattered(places, places)  # a cell has the same assets with every body
     height = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
     checked = rows.groupBy(*place).agg(
         F.count(F.lit(1)).alias("n"), F.max("asset_no").alias("last"), F.min("kind").alias("k0"), F.max("kind").alias("k1"),
